@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from . import clean_queries, profile_queries  # noqa: F401
+from . import clean_queries, profile_queries, score_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
