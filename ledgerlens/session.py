@@ -28,3 +28,9 @@ def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ensure_checkpoint_folder(spark: SparkSession) -> None:
+    """Let iterative MLlib algorithms checkpoint to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
