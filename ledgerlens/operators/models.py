@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RISK_THRESHOLD
-from ..session import ensure_checkpoint_folder
+from ..session import cut_lineage, ensure_checkpoint_folder
 from .evaluation import confusion_metrics
 from .splitting import stratified_folds, stratified_split
 
@@ -241,6 +241,8 @@ def grid_search(spec: Spec, df: DataFrame, features: Sequence[str], label: str =
     rows, counts = _prepared(df, features, label, spec.kind)
     rows = rows.withColumns({f"_f{i}": F.col(c) for i, c in enumerate(features)})
     rows = stratified_folds(rows, label, list(key), folds, spec.seed)
+    inputs = [f"_f{i}" for i in range(len(features))]
+    rows = cut_lineage(rows.select(*inputs, LABEL, WEIGHT, "fold"), "training")  # read by every fold and point
     n = sum(counts.values())
     est = _estimator(spec, n)
     params = {

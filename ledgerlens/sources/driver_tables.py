@@ -5,7 +5,7 @@ Rules are written with expressions Spark and DuckDB evaluate alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.risk import amount_risk, balance_risk, rule_score, type_risk
@@ -16,6 +16,13 @@ PRIORITY_TYPE = [
     ("4-NOT SPECIFIED", "DEBIT"), ("5-LOW", "CASH_IN"),
 ]
 DRIFT_STEP = 372
+FIRST_SECOND = 1704067200  # 2024-01-01
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One transaction per order; ``tx_id`` and the booking time ``ts`` come first."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"
-    )
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    """One transaction per order."""
+    return booked(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def booked(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Transactions of an orders table or stream and the customers' balances."""
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
     kind = None
     for priority, name in PRIORITY_TYPE:
@@ -84,7 +92,11 @@ def with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored events: one account per user, score from the event value."""
-    return table(spark, sf_dir, "events").select(
+    return alert_scores_of(table(spark, sf_dir, "events"))
+
+
+def alert_scores_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("tx_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("C"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("nameOrig"),
@@ -101,15 +113,24 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def booking_time() -> Column:
+    """Wall-clock time of a step."""
+    return F.timestamp_seconds(F.lit(FIRST_SECOND) + F.col("step") * 3600)
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes_of(transactions(spark, sf_dir))
+
+
+def outcomes_of(tx: DataFrame) -> DataFrame:
     """Two feedback records for every third transaction: an older wrong one, a newer right one."""
-    tx = transactions(spark, sf_dir).filter(F.col("tx_id") % 3 == 0)
+    tx = tx.filter(F.col("tx_id") % 3 == 0)
     version = F.explode(F.array(F.lit(0), F.lit(1)))
     return tx.select(
         F.md5(F.col("tx_id").cast("string")).alias("decision_id"), "isFraud", "step", version.alias("v")
     ).select(
         "decision_id",
-        F.timestamp_seconds(F.lit(1704067200) + F.col("step") * 3600 + (F.col("v") + 1) * 86400).alias("ts"),
+        F.timestamp_seconds(F.lit(FIRST_SECOND) + F.col("step") * 3600 + (F.col("v") + 1) * 86400).alias("ts"),
         F.when(F.col("v") == 1, F.col("isFraud")).otherwise(1 - F.col("isFraud")).alias("actual_outcome"),
     )
 
@@ -140,7 +161,11 @@ def drift_pair(spark: SparkSession, sf_dir: str, shift: float = 1.0) -> tuple[Da
 
 def metric_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric events: event type as metric name, value as reading."""
-    return table(spark, sf_dir, "events").select(
+    return metric_events_of(table(spark, sf_dir, "events"))
+
+
+def metric_events_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("name"), "value", F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id"), F.col("event_id"),
     )
