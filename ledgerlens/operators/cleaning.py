@@ -66,6 +66,7 @@ class Imputation:
 
     steps: list[tuple] = field(default_factory=list)
     handled: int = 0
+    rows: int | None = None  # rows left after the fit
 
     def transform(self, df: DataFrame) -> DataFrame:
         for c, strategy, value in self.steps:
@@ -99,28 +100,30 @@ def choose_strategy(is_number: bool, missing_pct: float) -> str:
     return "mean" if missing_pct < 5 else "median" if missing_pct < 20 else "knn"
 
 
-def _null_counts(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, int]]:
-    r = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    return r["_n"], {c: r[c] for c in cols}
+def _survey(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, int], dict[str, float]]:
+    """Rows, nulls per column and means of the numbers from one aggregate."""
+    nums = [c for c in cols if _is_number(df, c)]
+    r = df.agg(
+        F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols],
+        *[F.avg(c).alias(f"mean_{c}") for c in nums],
+    ).first()
+    return r["_n"], {c: r[c] for c in cols}, {c: r[f"mean_{c}"] for c in nums}
 
 
-def _fill_values(df: DataFrame, plan: list[tuple[str, str]]) -> dict[str, object]:
+def _fill_values(df: DataFrame, plan: list[tuple[str, str]], n: int, mean: dict[str, float]) -> dict[str, object]:
     """Fill values of one stretch of columns. A nearest-neighbour fill on one column has
     no distances to go by and equals the mean, or the mode for text."""
-    means, medians, modes = [], [], []
+    medians, modes = [], []
+    out: dict[str, object] = {}
     for c, s in plan:
         if s == "mode" or (s == "knn" and not _is_number(df, c)):
             modes.append(c)
         elif s in ("mean", "knn"):
-            means.append(c)
+            out[c] = mean[c]
         elif s == "median":
             medians.append(c)
-    out: dict[str, object] = {}
-    if means:
-        r = df.agg(*[F.avg(c).alias(c) for c in means]).first()
-        out.update({c: r[c] for c in means})
     if medians:
-        found = quantiles(df, medians, [0.5])
+        found = quantiles(df, medians, [0.5], rows=n)
         out.update({c: found[(None, c)][0] for c in medians})
     if modes:
         for r in categorical_summary(df, modes).collect():
@@ -137,7 +140,8 @@ def fit_imputation(df: DataFrame, strategy: str = "auto") -> Imputation:
     todo = [c for c in COLUMNS if c in df.columns]
     fitted = Imputation()
     while todo:
-        n, nulls = _null_counts(df, todo)
+        n, nulls, mean = _survey(df, todo)
+        fitted.rows = n
         plan, dropped = [], None
         for i, c in enumerate(todo):
             if not nulls[c]:
@@ -148,7 +152,7 @@ def fit_imputation(df: DataFrame, strategy: str = "auto") -> Imputation:
             if s == "drop":
                 dropped = i
                 break
-        fills = _fill_values(df, [p for p in plan if p[1] != "drop"])
+        fills = _fill_values(df, [p for p in plan if p[1] != "drop"], n, mean)
         fitted.steps += [(c, s, fills.get(c)) for c, s in plan]
         if dropped is None:
             break
@@ -163,30 +167,24 @@ def impute(df: DataFrame, strategy: str = "auto", fitted: Imputation | None = No
 
 # ---- outliers ----------------------------------------------------------------
 def outlier_masks(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
-                  threshold: float = 1.5) -> tuple[DataFrame, dict[str, Column]]:
-    """A mask per column (null values are no outliers) and the frame they apply to."""
+                  threshold: float = 1.5, fences: dict[str, tuple] | None = None) -> dict[str, Column]:
+    """A mask per column (null values are no outliers). ``fences`` saves fitting them again."""
     columns = outlier_columns(df) if columns is None else [c for c in columns if c in df.columns]
     if method == "iqr":
-        fences = iqr_fences(df, columns, threshold)
-        return df, {c: (F.col(c) < lo) | (F.col(c) > hi) for c, (lo, hi) in fences.items()}
+        fences = iqr_fences(df, columns, threshold) if fences is None else fences
+        return {c: (F.col(c) < lo) | (F.col(c) > hi) for c, (lo, hi) in fences.items()}
     if method == "zscore":
         r = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in columns]).first()
-        return df, {
-            c: F.abs(F.col(c) - r[c]["m"]) / r[c]["s"] > threshold for c in columns if r[c]["s"]
-        }
+        return {c: F.abs(F.col(c) - r[c]["m"]) / r[c]["s"] > threshold for c in columns if r[c]["s"]}
     if method == "isolation":
-        masks = {}
-        for c in columns:
-            scored = isolation_scores(df, c)
-            masks[c] = scored.is_outlier
-        return df, masks
+        return {c: isolation_scores(df, c).is_outlier for c in columns}
     raise ValueError(f"unknown outlier method {method}")
 
 
 def outlier_counts(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
                    threshold: float = 1.5) -> DataFrame:
     """(column, outliers, pct) from one aggregate over all masks."""
-    df, masks = outlier_masks(df, columns, method, threshold)
+    masks = outlier_masks(df, columns, method, threshold)
     stats = df.agg(F.count("*").alias("_n"), *[F.count_if(m).alias(c) for c, m in masks.items()])
     n = F.col("_n")
     return report_rows(
@@ -195,28 +193,32 @@ def outlier_counts(df: DataFrame, columns: list[str] | None = None, method: str
     )
 
 
+def clip_to(df: DataFrame, fences: dict[str, tuple]) -> DataFrame:
+    """Values moved to the nearer fence; null stays null."""
+    return df.withColumns(
+        {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(hi)), F.lit(lo)))
+         for c, (lo, hi) in fences.items()}
+    )
+
+
 def treat_outliers(df: DataFrame, treatment: str = "clip", columns: list[str] | None = None,
                    method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """Clip to the IQR fences, remove rows, log-transform non-negative columns, or cap the
     outliers at the 1% and 99% quantiles. Columns without outliers stay as they are."""
     if treatment not in TREATMENTS:
         raise ValueError(f"unknown treatment {treatment}")
-    df, masks = outlier_masks(df, columns, method, threshold)
+    columns = outlier_columns(df) if columns is None else [c for c in columns if c in df.columns]
+    if treatment == "clip" and method == "iqr":  # the identity where nothing is outside
+        return clip_to(df, iqr_fences(df, columns, threshold))
+    masks = outlier_masks(df, columns, method, threshold)
     if not masks:
         return df
-    if treatment == "clip" and method == "iqr":  # clipping is the identity without outliers
-        hit = list(masks)
-    else:
-        r = df.agg(*[F.struct(F.count_if(m).alias("n"), F.min(c).alias("lo")).alias(c) for c, m in masks.items()]).first()
-        hit = [c for c in masks if r[c]["n"]]
+    r = df.agg(*[F.struct(F.count_if(m).alias("n"), F.min(c).alias("lo")).alias(c) for c, m in masks.items()]).first()
+    hit = [c for c in masks if r[c]["n"]]
     if not hit:
         return df
     if treatment == "clip":
-        fences = iqr_fences(df, hit, threshold)
-        return df.withColumns(
-            {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(hi)), F.lit(lo)))
-             for c, (lo, hi) in fences.items()}
-        )
+        return clip_to(df, iqr_fences(df, hit, threshold))
     if treatment == "remove":
         bad = F.lit(False)
         for c in hit:
@@ -252,10 +254,15 @@ def clean(df: DataFrame, strategy: str = "auto", method: str = "iqr", threshold:
     typed = convert_types(df)
     imputation = imputation or fit_imputation(typed, strategy)
     filled = imputation.transform(typed)
-    framed, masks = outlier_masks(filled, outlier_on, method, threshold)
-    treated = treat_outliers(filled, "clip", outlier_on, method, threshold)
+    columns = outlier_columns(filled) if outlier_on is None else outlier_on
+    fences = iqr_fences(filled, columns, threshold, rows=imputation.rows)
+    masks = outlier_masks(filled, columns, method, threshold, fences)
+    if method == "iqr":
+        treated = clip_to(filled, fences)
+    else:
+        treated = treat_outliers(filled, "clip", columns, method, threshold)
     out = repair_balances(treated) if fix_balances else treated
-    found = framed.agg(*[F.count_if(m).alias(c) for c, m in masks.items()])
+    found = filled.agg(*[F.count_if(m).alias(c) for c, m in masks.items()])
     total = F.lit(0).cast("bigint")
     for c in masks:
         total = total + F.col(c)

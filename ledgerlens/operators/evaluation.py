@@ -47,7 +47,8 @@ def score_counts(df: DataFrame, by: Sequence[str], label: str, score: str, predi
     p = F.col(prediction) if prediction else (F.col(score) >= 0.5).cast("int")
     rows = df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"),
                      p.cast("int").alias("_p")).filter("_s is not null and _y is not null")
-    splits = range_splits(rows, ["_s"], rows_per_bucket)
+    # counting the input needs no score, so a model is not run for it
+    splits = range_splits(rows, ["_s"], rows_per_bucket, n=df.count())
     counted = assign_buckets(rows, splits).groupBy(*by, "_s_bucket", "_s").agg(*_counts())
     counted = counted.withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("tn") + F.col("fp")})
     return counted, ("_s_bucket" if splits["_s"] else None)

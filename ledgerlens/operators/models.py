@@ -100,6 +100,15 @@ def _prepared(df: DataFrame, features: Sequence[str], label: str, kind: str) ->
     return rows, counts
 
 
+ROWS_PER_PARTITION = 250_000
+
+
+def _balanced(rows: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
+    """Training rows in even partitions by key: one shuffle, then dozens of passes over them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-n // ROWS_PER_PARTITION)), *key)
+
+
 def check_features(df: DataFrame, features: Sequence[str]) -> None:
     missing = [c for c in features if c not in df.columns]
     if missing:
@@ -218,6 +227,8 @@ def fit(spec: Spec, df: DataFrame, features: Sequence[str], label: str = "isFrau
     if spec.kind == "boosting":
         ensure_checkpoint_folder(df.sparkSession)
     n = sum(counts.values())
+    inputs = [f"_f{i}" for i in range(len(features))]
+    rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, *([VALIDATION] if validated else []), *key), n, key)
     pipeline = Pipeline(stages=[_assembler(features), _estimator(spec, n, validated)]).fit(rows)
     meta = {
         "training_seconds": time.time() - start, "training_rows": n, "feature_count": len(features),
@@ -242,8 +253,9 @@ def grid_search(spec: Spec, df: DataFrame, features: Sequence[str], label: str =
     rows = rows.withColumns({f"_f{i}": F.col(c) for i, c in enumerate(features)})
     rows = stratified_folds(rows, label, list(key), folds, spec.seed)
     inputs = [f"_f{i}" for i in range(len(features))]
-    rows = cut_lineage(rows.select(*inputs, LABEL, WEIGHT, "fold"), "training")  # read by every fold and point
     n = sum(counts.values())
+    rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, "fold", *key), n, key)
+    rows = cut_lineage(rows, "training")  # read by every fold and point
     est = _estimator(spec, n)
     params = {
         "C": ("regParam", lambda v: 1.0 / (v * n)), "elastic_net": ("elasticNetParam", float), "max_iter": ("maxIter", int),

@@ -145,9 +145,9 @@ def final_check(df: DataFrame) -> DataFrame:
     )
 
 
-def iqr_fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple]:
+def iqr_fences(df: DataFrame, columns: list[str], factor: float = 1.5, rows: int | None = None) -> dict[str, tuple]:
     """{column: (lower, upper)} from exact quartiles; columns without values are left out."""
-    found = quantiles(df, columns, [0.25, 0.75])
+    found = quantiles(df, columns, [0.25, 0.75], rows=rows)
     out = {}
     for c in columns:
         q1, q3 = found[(None, c)]

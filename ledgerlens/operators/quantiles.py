@@ -85,22 +85,24 @@ def order_statistics(df: DataFrame, wanted: dict, found: dict, by: str | None =
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: str | None = None,
-              small_rows: int = SMALL_ROWS) -> dict:
+              small_rows: int = SMALL_ROWS, rows: int | None = None) -> dict:
     """{(group, column): [linear-interpolated quantile per prob]}; null for empty input.
 
     ``by`` is a low-cardinality column; its groups and the results go to the driver.
+    ``rows`` is the row count (or a bound on it) where the caller knows it already.
     """
-    found = extents(df, columns, by)
-    if sum(max(n for (g2, _), (n, _, _) in found.items() if g2 == g) for g in {g for g, _ in found}) <= small_rows:
+    rows = df.count() if rows is None else rows
+    if rows <= small_rows:
         ps = F.array(*[F.lit(float(p)) for p in probs])
         grouped = df.filter(F.col(by).isNotNull()).groupBy(by) if by else df
-        rows = grouped.agg(
+        taken = grouped.agg(
             *[F.percentile(F.col(c).cast("double"), ps).alias(f"q{i}") for i, c in enumerate(columns)]
         ).collect()
         return {
             (r[by] if by else None, c): list(r[f"q{i}"] or [None] * len(probs))
-            for r in rows for i, c in enumerate(columns)
+            for r in taken for i, c in enumerate(columns)
         }
+    found = extents(df, columns, by)
     wanted = {
         k: {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} if n else set()
         for k, (n, _, _) in found.items()

@@ -29,9 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file over all cores. Only a scan with fewer splits than cores is
+    shuffled, so at most one split's bytes per core move; larger tables pass as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per order."""
-    return booked(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return booked(spread(orders, "o_orderkey"), table(spark, sf_dir, "customer"))
 
 
 def booked(orders: DataFrame, customers: DataFrame) -> DataFrame:
