@@ -20,12 +20,13 @@ def _exponential(seed: int, mean: float):
 
 def generate(spark: SparkSession, n: int, fraud_rate: float = 0.1, seed: int = 42) -> DataFrame:
     """``n`` transactions; odds are scaled by their mean to hit the fraud rate."""
-    u = F.rand(seed)
+    u = F.col("u")
     kind, edge = None, 0.0
     for name, share in TYPE_MIX:
         edge += share
         kind = F.when(u < edge, name) if kind is None else kind.when(u < edge, name)
-    rows = spark.range(n).select(
+    drawn = spark.range(n).select("id", F.rand(seed).alias("u"))  # one draw, compared several times
+    rows = drawn.select(
         "id",
         (F.floor(F.rand(seed + 1) * 744) + 1).alias("step"),
         F.coalesce(kind, F.lit(TYPE_MIX[-1][0])).alias("type"),
