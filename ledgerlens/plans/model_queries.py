@@ -280,11 +280,18 @@ def _(spark, sf):
     return round_doubles(monitoring.health(performance_history(spark, sf), drift_history(spark, sf), baseline(spark, sf), AS_OF))
 
 
+_TREND = BY_DAY + """,
+last10 AS (SELECT f1_score, row_number() OVER (ORDER BY batch) - 1 AS x FROM (SELECT * FROM hist ORDER BY batch DESC LIMIT 10)),
+fit AS (SELECT count(*) AS records, regr_slope(f1_score, x) AS slope, abs(corr(f1_score, x)) AS r FROM last10),
+angle AS (SELECT *, atan(r / sqrt(1 - r * r)) AS a FROM fit),
+tested AS (SELECT *, 1 - sin(a) * (1 + cos(a) ** 2 / 2 + 3 * cos(a) ** 4 / 8 + 15 * cos(a) ** 6 / 48) AS p FROM angle)"""
+
+
 @query("m06_w05_performance_trend", scored_sql("""
-SELECT count(*) AS records, round(regr_slope(f1_score, x), 6) AS slope, 'stable' AS trend
-FROM (SELECT f1_score, row_number() OVER (ORDER BY batch) - 1 AS x FROM (SELECT * FROM hist ORDER BY batch DESC LIMIT 10))""", BY_DAY))
+SELECT records, round(slope, 6) AS slope, round(p, 6) AS p_value,
+  CASE WHEN p < 0.05 AND slope > 0.01 THEN 'improving' WHEN p < 0.05 AND slope < -0.01 THEN 'degrading' ELSE 'stable' END AS trend FROM tested""", _TREND))
 def _(spark, sf):
-    return round_doubles(monitoring.performance_trend(performance_history(spark, sf)).drop("p_value"))
+    return round_doubles(monitoring.performance_trend(performance_history(spark, sf)))
 
 
 @query("m07_recent_volume", scored_sql("""
