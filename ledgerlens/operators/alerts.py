@@ -113,11 +113,12 @@ def emitted_times(matched: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """
     key = ["threshold_name", "nameOrig"]
     us = F.unix_micros("ts")
-    instants = matched.select(
+    instants = matched.filter("ts is not null").select(
         *key, us.alias("us"), (F.col("cooldown_seconds") * 1_000_000).alias("gap")
     ).distinct()
     width = F.greatest(F.col("gap"), F.lit(1))
-    celled = instants.withColumn("cell", F.floor(F.col("us") / width).cast("bigint"))
+    # the cell is never null, so both uses of the instants share one shuffle
+    celled = instants.withColumn("cell", F.coalesce(F.floor(F.col("us") / width).cast("bigint"), F.lit(0).cast("bigint")))
     cells = celled.groupBy(*key, "cell").agg(F.count("*").alias("rows"))
     along = Window.partitionBy(*key).orderBy("cell")
     fresh = F.coalesce((F.col("cell") - F.lag("cell").over(along) > 1).cast("int"), F.lit(0))

@@ -235,9 +235,10 @@ class Encoder:
 
 def fit_encoder(df: DataFrame, categorical_columns: list[str], numeric_columns: list[str],
                 categorical: str = "label", scaling: str | None = "standard", unknown: str = "ignore") -> Encoder:
+    """Fit on ``df``. Dictionaries are written once, so transforms never scan ``df`` again."""
     enc = Encoder(categorical=categorical, unknown=unknown)
     if categorical == "label":
-        enc.dictionaries = {c: label_dictionary(df, c) for c in categorical_columns}
+        enc.dictionaries = {c: cut_lineage(label_dictionary(df, c), "dictionary") for c in categorical_columns}
     elif categorical == "onehot":
         enc.one_hot = {c: one_hot_values(df, c) for c in categorical_columns}
     else:

@@ -110,6 +110,27 @@ def _factor(category: str, name: Column) -> list[Column]:
     ]
 
 
+def keyed_risk(df: DataFrame) -> DataFrame:
+    """Type, account-pattern and hour factors from one scan and one shuffle (grouping sets)."""
+    keys = ["transaction_type", "account_pattern", "hourly_pattern"]
+    rows = df.select(
+        F.col("type").alias(keys[0]), account_pattern().alias(keys[1]), hour().alias(keys[2]), "isFraud"
+    )
+    sets = rows.groupingSets([[k] for k in keys], *keys).agg(
+        F.grouping_id(*keys).alias("set"), F.count("isFraud").alias("total_count"),
+        F.sum("isFraud").alias("fraud_count"), F.avg("isFraud").alias("fraud_rate"),
+    )
+    # the set's own key has grouping bit 0; the first key is the highest of the three bits
+    kind = F.when(F.col("set") == 3, keys[0]).when(F.col("set") == 5, keys[1]).otherwise(keys[2])
+    name = (
+        F.when(F.col("set") == 3, F.col(keys[0])).when(F.col("set") == 5, F.col(keys[1]))
+        .otherwise(F.concat(F.lit("Hour "), F.col(keys[2]).cast("string")))
+    )
+    return sets.select(
+        kind.alias("category"), name.alias("name"), F.col(keys[2]).alias("hour"), "total_count", "fraud_count", "fraud_rate"
+    ).filter("name is not null")
+
+
 def type_risk(df: DataFrame) -> DataFrame:
     return fraud_by(df, "type").select(_factor("transaction_type", F.col("type")))
 
@@ -194,14 +215,16 @@ def depletion_risk(df: DataFrame) -> DataFrame:
 
 
 def risk_factors(df: DataFrame, hours: int = TOP_HOURS) -> DataFrame:
-    """All factors: one scan for the masks, one per keyed factor."""
+    """All factors: the amount quantiles, then one scan for the masks and one for the keys."""
     masks = (
         large_transfer_mask() + percentile_masks(amount_thresholds(df))
         + zero_balance_masks() + depletion_mask()
     )
+    keyed = keyed_risk(df)
+    top = keyed.filter("category = 'hourly_pattern'").orderBy(F.desc("fraud_rate"), F.asc("hour")).limit(hours)
     return (
-        _masked(df, masks).unionByName(type_risk(df)).unionByName(account_risk(df))
-        .unionByName(hourly_risk(df, hours))
+        _masked(df, masks).unionByName(keyed.filter("category <> 'hourly_pattern'").drop("hour"))
+        .unionByName(top.drop("hour"))
     )
 
 

@@ -42,8 +42,10 @@ def assign_buckets(df: DataFrame, splits: Mapping[str, Sequence[float]], suffix:
             inputCols=cut, outputCols=[c + suffix for c in cut],
             splitsArray=[[-inf, *splits[c], inf] for c in cut], handleInvalid="keep",
         ).transform(df)
+    # never null: a null-check on the bucket would differ between the two users of the
+    # grouped values and keep Spark from sharing their shuffle
     return df.withColumns(
-        {c + suffix: F.col(c + suffix).cast("int") if c in cut else F.lit(0) for c in splits}
+        {c + suffix: F.coalesce(F.col(c + suffix).cast("int"), F.lit(-1)) if c in cut else F.lit(0) for c in splits}
     )
 
 

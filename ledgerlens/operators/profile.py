@@ -16,16 +16,21 @@ DESCRIBE_PROBS = [0.25, 0.5, 0.75]
 def describe(df: DataFrame, columns: list[str] = NUMERIC, by: str | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per column (and per group)."""
     keys = [by] if by else []
-    long = unpivot(df, keys, columns, "column", "x").filter("x is not null")
-    moments = long.groupBy(*keys, "column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-    )
-    quart = quantile_table(df, columns, DESCRIBE_PROBS, by)
-    wide = quart.groupBy(*keys, "column").agg(
+    names = ["count", "mean", "std", "min", "max"]
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        found = F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)
+        aggs += [v.alias(f"{n}{i}") for n, v in zip(names, found)]
+    wide = (df.filter(F.col(by).isNotNull()).groupBy(by) if by else df).agg(*aggs)
+    per_column = F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, c in enumerate(columns)
+    ])
+    moments = wide.select(*keys, F.inline(per_column)).filter("count > 0")
+    quart = quantile_table(df, columns, DESCRIBE_PROBS, by).groupBy(*keys, "column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in DESCRIBE_PROBS]
     )
-    out = moments.join(wide, [*keys, "column"])
+    out = moments.join(quart, [*keys, "column"])
     return out.select(*keys, "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
