@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import (
@@ -162,3 +162,9 @@ def catalogue(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(
         [r for r in rows if r[0]], "category string, feature string"
     )
+
+
+def summary(spark: SparkSession, groups: tuple[str, ...] = GROUPS) -> DataFrame:
+    """Features created per group."""
+    rows = [(g, len(_BUILDERS[g]()), sorted(_BUILDERS[g]())) for g in groups]
+    return spark.createDataFrame(rows, "feature_group string, created int, features array<string>")

@@ -209,20 +209,26 @@ def missing_patterns(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def dataset_info(df: DataFrame) -> DataFrame:
-    """Shape, then rows per type and per label, as (section, name, value)."""
-    n = df.agg(F.count("*").alias("n"))
-    names = ["section", "name", "value"]
-    width = F.lit(len(df.columns)).cast("bigint")
-    shape = report_rows(
-        n, [(F.lit("shape"), F.lit("rows"), F.col("n")), (F.lit("shape"), F.lit("columns"), width)], names
-    )
+    """Shape, column types, nulls, rows per type and label, and the amount's statistics, as
+    (section, name, detail, value)."""
+    names, types = ["section", "name", "detail", "value"], dict(df.dtypes)
+    stats = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+
+    def entry(section, name, detail, value):
+        return F.lit(section), F.lit(name), F.lit(detail), value.cast("double")
+
+    shape = report_rows(stats, [
+        entry("shape", "rows", "", F.col("_n")), entry("shape", "columns", "", F.lit(len(df.columns))),
+        *[entry("nulls", c, types[c], F.col(c)) for c in df.columns],
+    ], names)
     counts = value_counts(df, ["type", "isFraud"]).select(
         F.when(F.col("column") == "type", "transaction_types").otherwise("fraud_distribution").alias("section"),
-        F.col("value").alias("name"), F.col("rows").alias("value"),
+        F.col("value").alias("name"), F.lit("").alias("detail"), F.col("rows").cast("double").alias("value"),
     )
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    gaps = report_rows(nulls, [(F.lit("missing"), F.lit(c), F.col(c)) for c in df.columns], names)
-    return shape.unionByName(counts).unionByName(gaps)
+    amount = describe(df, ["amount"]).withColumn("count", F.col("count").cast("double")).drop("column")
+    amount = amount.unpivot([], amount.columns, "name", "value").select(
+        F.lit("amount_stats").alias("section"), "name", F.lit("").alias("detail"), "value")
+    return shape.unionByName(counts).unionByName(amount)
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:

@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import unpivot
+from .prefix import ROWS_PER_BUCKET, assign_buckets, range_splits, running_totals
 
 SMALL_ROWS = 2_000_000
 BINS = 2048
 
 
 def extents(df: DataFrame, columns: Sequence[str], by: str | None = None) -> dict:
-    """{(group, column): (non-null rows, min, max)} from one bounded aggregate."""
+    """{(group, column): (non-null rows, min, max)} from one bounded aggregate. ``by`` is a
+    class label: one row per class goes to the driver."""
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
@@ -84,30 +86,26 @@ def order_statistics(df: DataFrame, wanted: dict, found: dict, by: str | None =
     return result
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: str | None = None,
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               small_rows: int = SMALL_ROWS, rows: int | None = None) -> dict:
-    """{(group, column): [linear-interpolated quantile per prob]}; null for empty input.
+    """{(None, column): [linear-interpolated quantile per prob]}; null for empty input.
 
-    ``by`` is a low-cardinality column; its groups and the results go to the driver.
-    ``rows`` is the row count (or a bound on it) where the caller knows it already.
+    ``rows`` is the row count (or a bound on it) where the caller knows it already. Per
+    group: ``quantile_table``.
     """
     rows = df.count() if rows is None else rows
     if rows <= small_rows:
         ps = F.array(*[F.lit(float(p)) for p in probs])
-        grouped = df.filter(F.col(by).isNotNull()).groupBy(by) if by else df
-        taken = grouped.agg(
+        r = df.agg(
             *[F.percentile(F.col(c).cast("double"), ps).alias(f"q{i}") for i, c in enumerate(columns)]
-        ).collect()
-        return {
-            (r[by] if by else None, c): list(r[f"q{i}"] or [None] * len(probs))
-            for r in taken for i, c in enumerate(columns)
-        }
-    found = extents(df, columns, by)
+        ).first()
+        return {(None, c): list(r[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
+    found = extents(df, columns)
     wanted = {
         k: {f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)} if n else set()
         for k, (n, _, _) in found.items()
     }
-    at = order_statistics(df, wanted, found, by)
+    at = order_statistics(df, wanted, found)
 
     def interpolate(k, n, p):
         if not n:
@@ -122,14 +120,57 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
 def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                    by: str | None = None, **kw) -> DataFrame:
     """Long table (group, column, prob, value)."""
-    found = quantiles(df, columns, probs, by, **kw)
-    group_type = dict(df.dtypes)[by] if by else "int"
-    rows = [
-        (*([g] if by else []), c, float(p), v)
-        for (g, c), vs in found.items() for p, v in zip(probs, vs)
-    ]
-    head = f"{by} {group_type}, " if by else ""
-    return df.sparkSession.createDataFrame(rows, head + "column string, prob double, value double")
+    if by:
+        return _grouped_table(df, list(columns), [float(p) for p in probs], by, **kw)
+    found = quantiles(df, columns, probs, **kw)
+    rows = [(c, float(p), v) for (_, c), vs in found.items() for p, v in zip(probs, vs)]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+
+
+def _grouped_table(df: DataFrame, columns: list[str], probs: list[float], by: str,
+                   small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Quantiles per group for any number and size of groups, without the driver.
+
+    Beyond ``small_rows`` equal values are counted and ranked by running totals; the value
+    whose ranks cover a wanted position is kept.
+    """
+    rows = df.filter(F.col(by).isNotNull()).select(by, *[F.col(c).cast("double").alias(c) for c in columns])
+    n = rows.count()
+    if n <= small_rows:
+        ps = F.array(*[F.lit(p) for p in probs])
+        wide = rows.groupBy(by).agg(*[F.percentile(c, ps).alias(c) for c in columns])
+        long = F.array(*[
+            F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob"), F.get(F.col(c), F.lit(i)).alias("value"))
+            for c in columns for i, p in enumerate(probs)
+        ])
+        return wide.select(by, F.inline(long))
+    splits = range_splits(rows, columns, rows_per_bucket, n)
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"{c}_bucket").alias("bucket")) for c in columns
+    ])
+    counts = (
+        assign_buckets(rows, splits).select(by, F.inline(pairs)).filter("value is not null")
+        .groupBy(by, "column", "bucket", "value").agg(F.count("*").alias("n"))
+    )
+    ranked = running_totals(counts, [by, "column"], "value", {"upto": "n"}, "bucket")
+    sizes = counts.groupBy(by, "column").agg(F.sum("n").alias("size"))
+    placed = ranked.join(sizes, [by, "column"])
+
+    def covers(rank):
+        return (rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto"))
+
+    def at(p):
+        return p * (F.col("size") - 1)
+
+    wanted = F.filter(
+        F.array(*[F.lit(p) for p in probs]), lambda p: covers(F.floor(at(p))) | covers(F.ceil(at(p)))
+    )
+    hits = placed.select("*", F.explode(wanted).alias("prob"))
+    pos = at(F.col("prob"))
+    lo = F.max(F.when(covers(F.floor(pos)), F.col("value")))
+    hi = F.max(F.when(covers(F.ceil(pos)), F.col("value")))
+    share = F.max(pos - F.floor(pos))
+    return hits.groupBy(by, "column", "prob").agg((lo + (hi - lo) * share).alias("value"))
 
 
 def ranked_threshold(df: DataFrame, hash_column: str, quota: Callable[[int], Sequence[int]],

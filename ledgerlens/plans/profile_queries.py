@@ -421,13 +421,20 @@ def _(spark, sf):
     return profile.class_distribution(transactions(spark, sf))
 
 
+_KINDS = {"tx_id": "bigint", "step": "bigint", "type": "string", "nameOrig": "string", "nameDest": "string",
+          "isFraud": "int", "isFlaggedFraud": "int"}
+
+
 @query("s03_dataset_info", dirty_sql("""
-SELECT 'shape' AS section, 'rows' AS name, count(*) AS value FROM dirty UNION ALL SELECT 'shape', 'columns', 12
-UNION ALL SELECT 'transaction_types', type, count(*) FROM dirty WHERE type IS NOT NULL GROUP BY type
-UNION ALL SELECT 'fraud_distribution', CAST(isFraud AS VARCHAR), count(*) FROM dirty GROUP BY isFraud UNION ALL """
-    + union_all([f"SELECT 'missing', '{c}', count(*) - count({c}) FROM dirty" for c in ["tx_id", *COLUMNS]])))
-def _(spark, sf):
-    return profile.dataset_info(transactions_dirty(spark, sf))
+SELECT 'shape' AS section, 'rows' AS name, '' AS detail, count(*)::DOUBLE AS value FROM dirty UNION ALL SELECT 'shape', 'columns', '', 12
+UNION ALL SELECT 'transaction_types', type, '', count(*) FROM dirty WHERE type IS NOT NULL GROUP BY type
+UNION ALL SELECT 'fraud_distribution', CAST(isFraud AS VARCHAR), '', count(*) FROM dirty GROUP BY isFraud UNION ALL """
+    + union_all([f"SELECT 'nulls', '{c}', '{_KINDS.get(c, 'double')}', count(*) - count({c}) FROM dirty" for c in ["tx_id", *COLUMNS]]
+    + [f"SELECT 'amount_stats', '{n}', '', round({v}, 4) FROM dirty" for n, v in [
+        ("count", "count(amount)"), ("mean", "avg(amount)"), ("std", "stddev_samp(amount)"), ("min", "min(amount)"), ("max", "max(amount)"),
+        ("p25", "quantile_cont(amount, 0.25)"), ("p50", "quantile_cont(amount, 0.5)"), ("p75", "quantile_cont(amount, 0.75)")]])))
+def _(spark, sf):
+    return round_doubles(profile.dataset_info(transactions_dirty(spark, sf)), 4)
 
 
 # ---- patterns ------------------------------------------------------------------

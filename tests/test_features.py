@@ -60,6 +60,11 @@ def test_groups_and_catalogue(spark):
     assert ("balance", "amount_to_orig_balance_ratio") in found and ("time", "is_weekend") in found
 
 
+def test_summary_counts_every_feature(spark, made):
+    rows = features.summary(spark).collect()
+    assert sum(r.created for r in rows) == len(made[0]) - len(ROWS[0]) == 29
+
+
 def test_high_risk_explanation(spark):
     tx = spark.createDataFrame([(2, "CASH_OUT", 500000.0, "C1", 500000.0, 0.0, "C2", 0.0, 0.0, 1, 0)], TRANSACTION)
     r = tx.select(risk.factors().alias("f"), risk.rule_score().alias("s")).select(

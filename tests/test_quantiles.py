@@ -32,11 +32,17 @@ def test_quantiles_at_scale_equal_exact(skewed):
     assert np.allclose(large[(None, "x")], np.quantile(pdf.x, probs))
 
 
-def test_grouped_quantiles(skewed):
+@pytest.mark.parametrize("small,per_bucket", [(0, 100), (0, 1_000_000), (1_000_000, 1)])
+def test_grouped_quantiles(skewed, small, per_bucket):
     pdf, df = skewed
-    large = quantiles.quantiles(df, ["x"], [0.5, 0.9], by="g", small_rows=0)
-    for g, part in pdf.groupby("g"):
-        assert np.allclose(large[(g, "x")], np.quantile(part.x, [0.5, 0.9]))
+    probs = [0.0, 0.5, 0.9, 0.999]
+    table = quantiles.quantile_table(df, ["x", "y"], probs, "g", small_rows=small, rows_per_bucket=per_bucket)
+    got = {(r.g, r.column, r.prob): r.value for r in table.collect()}
+    clean = df.toPandas()
+    for g, part in clean.groupby("g"):
+        for c in ("x", "y"):
+            want = np.quantile(part[c].dropna(), probs)
+            assert np.allclose([got[(g, c, p)] for p in probs], want)
 
 
 def test_empty_column(spark):
