@@ -16,7 +16,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import unpivot
 from .prefix import ROWS_PER_BUCKET, assign_buckets, range_splits, running_totals
 
 SMALL_ROWS = 2_000_000
@@ -53,15 +52,19 @@ def order_statistics(df: DataFrame, wanted: dict, found: dict, by: str | None =
         else:
             open_.append([g, c, lo, hi, 0, ranks])
     columns = sorted({c for _, c in wanted})
+    place = {c: i for i, c in enumerate(columns)}
     group_type = dict(df.dtypes)[by] if by else "int"
-    keyed = df if by else df.withColumn("_group", F.lit(0))
-    long = unpivot(keyed, [by or "_group"], columns).filter("value is not null")
+    group = F.col(by) if by else F.lit(0)
+    # one array of doubles per row, numbered by position: narrower than names in the join
+    long = df.select(
+        group.alias("group"), F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("place", "value")
+    ).filter("value is not null")
     while open_:
-        rows = [(i, o[0] if by else 0, o[1], float(o[2]), float(o[3])) for i, o in enumerate(open_)]
+        rows = [(i, o[0] if by else 0, place[o[1]], float(o[2]), float(o[3])) for i, o in enumerate(open_)]
         cuts = df.sparkSession.createDataFrame(
-            rows, f"interval int, {by or '_group'} {group_type}, column string, lo double, hi double"
+            rows, f"interval int, group {group_type}, place int, lo double, hi double"
         )
-        inside = long.join(F.broadcast(cuts), [by or "_group", "column"]).filter("value between lo and hi")
+        inside = long.join(F.broadcast(cuts), ["group", "place"]).filter("value between lo and hi")
         at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
         counted = (
             inside.groupBy("interval", F.least(at, F.lit(bins - 1)).alias("bin"))
