@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new sub-folder of the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a local master may fall back to a temporary folder; on a cluster the
-    setting is required, since executors must all see what is written there.
+    Only a single-process local master may fall back to a temporary folder; elsewhere
+    the setting is required, since executors must all see what is written there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="ledgerlens-")
     return f"{root.rstrip('/')}/ledgerlens/{purpose}-{uuid.uuid4().hex}"
