@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import encoder
+from .words import slices
 
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*</w>")
@@ -137,15 +138,18 @@ def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", capaci
 
         for batch in batches:
             kind = batch.column(0).type
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.append(owner.ids(t.as_py() or ""), np.uint32(end_id))
-                keys.append(key)
-                ids.append(tokens)
-                starts.append(0)
-                totals.append(len(tokens))
-                held += len(tokens)
-                if held > block_windows * capacity:
-                    yield flush(False)
+            for part in slices(batch, 1):
+                done = owner.encode(part.column(1))
+                stops = np.cumsum(done.totals()).tolist()
+                for key, begin, stop in zip(part.column(0).to_pylist(), [0, *stops], stops):
+                    tokens = np.append(done.ids[begin:stop], np.uint32(end_id))
+                    keys.append(key)
+                    ids.append(tokens)
+                    starts.append(0)
+                    totals.append(len(tokens))
+                    held += len(tokens)
+                    if held > block_windows * capacity:
+                        yield flush(False)
         if keys:
             yield flush(True)
 

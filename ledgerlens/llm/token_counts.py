@@ -12,15 +12,19 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import CAREFUL, SPAN, Encoder, encoder
-from .words import slices
+from .tokens import CAREFUL, Encoder, encoder
+from .words import buffers, slices
+
+SPAN = re.compile("[^\t-\r ]+")
 
 
 class WordPrefixes:
@@ -78,37 +82,22 @@ class WordPrefixes:
 
 
 class TextPrefixes:
-    """Exact counts at every character prefix of one text."""
+    """Exact counts at every character prefix of one text, from its spans' ends and counts."""
 
-    def __init__(self, text: str, owner: Encoder, words: WordPrefixes | None = None):
+    def __init__(self, text: str, owner: Encoder, counts: np.ndarray | None = None):
         self.text, self.owner = text, owner
-        self.words = words
-        self.stop = np.asarray([m.end() for m in SPAN.finditer(text)], dtype=np.int64)
-        self.count = np.cumsum([len(p) // 4 for p in owner.pieces(text)], dtype=np.int64)
-
-    def inside(self, span: str) -> list[int]:
-        """Counts of the prefixes of one span."""
-        if self.words is None or CAREFUL.search(span):
-            return [len(self.owner.whole(span[:j])) // 4 for j in range(1, len(span) + 1)]
-        low, known = span.lower(), {}
-        out = []
-        for j in range(1, len(low) + 1):
-            total = 0
-            for word in self.owner.words_of.findall(low[:j]):
-                if word not in known:
-                    for k, n in enumerate(self.words.counts(word), 1):
-                        known[word[:k]] = n
-                total += known[word]
-            out.append(total)
-        return out
+        self.spans = [(m.start(), m.end()) for m in SPAN.finditer(text)] if owner.by_word else [(0, len(text))]
+        counts = owner.encode(pa.array([text])).count if counts is None else counts
+        self.count = np.cumsum(counts, dtype=np.int64)
+        self.stop = np.array([z for _, z in self.spans], dtype=np.int64)
 
     def at(self, n_chars: int) -> int:
         """Tokens of the first ``n_chars`` characters."""
         i = int(np.searchsorted(self.stop, n_chars, side="right"))
         base = int(self.count[i - 1]) if i else 0
-        begin = int(self.stop[i - 1]) if i else 0
-        part = self.text[begin:n_chars].lstrip("\t\n\v\f\r \x85\xa0                　")
-        return base + (self.inside(part)[-1] if part else 0)
+        if i == len(self.spans) or self.spans[i][0] >= n_chars:
+            return base
+        return base + inside(self.owner, self.text[self.spans[i][0]: self.spans[i][1]])[n_chars - self.spans[i][0] - 1]
 
     def fitting(self, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
@@ -116,15 +105,34 @@ class TextPrefixes:
         if i == len(self.count):
             return len(self.text)
         base = int(self.count[i - 1]) if i else 0
-        span = next(SPAN.finditer(self.text, int(self.stop[i - 1]) if i else 0))
-        fit = [j for j, n in enumerate(self.inside(span[0]), 1) if base + n <= budget]
-        return span.start() + (max(fit) if fit else 0)
+        begin, end = self.spans[i]
+        return begin + _fitting(inside(self.owner, self.text[begin:end]), budget - base)
+
+
+def _fitting(counts: list[int], budget: int) -> int:
+    return max((j for j, n in enumerate(counts, 1) if n <= budget), default=0)
+
+
+def inside(owner: Encoder, span: str) -> list[int]:
+    """Counts of the prefixes of one span of 1 to all characters."""
+    if not owner.by_word or CAREFUL.search(span):
+        return [len(owner.whole(span[:j])) for j in range(1, len(span) + 1)]
+    words, low, known, out = _word_prefixes(owner), span.lower(), {}, []
+    for j in range(1, len(low) + 1):
+        total = 0
+        for word in owner.words_of.findall(low[:j]):
+            if word not in known:
+                for k, n in enumerate(words.counts(word), 1):
+                    known[word[:k]] = n
+            total += known[word]
+        out.append(total)
+    return out
 
 
-def _by_word(owner: Encoder) -> WordPrefixes | None:
-    if owner.by_word and not hasattr(owner, "prefixes"):
+def _word_prefixes(owner: Encoder) -> WordPrefixes:
+    if not hasattr(owner, "prefixes"):
         owner.prefixes = WordPrefixes(owner)
-    return getattr(owner, "prefixes", None)
+    return owner.prefixes
 
 
 def count_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", limit: int = 2048,
@@ -134,16 +142,19 @@ def count_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", limit: i
         owner = encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, 1):
-                sizes, counts, fits = [], [], []
-                for t in part.column(1).to_pylist():
-                    t = t or ""
-                    sizes.append(len(t.encode()))
-                    n = sum(map(len, owner.pieces(t))) // 4
-                    counts.append(n)
-                    fits.append(len(t) if n <= limit else TextPrefixes(t, owner, _by_word(owner)).fitting(limit))
+                done = owner.encode(part.column(1))
+                totals = done.totals()
+                bounds = buffers(part.column(1))[1]
+                chars = pc.fill_null(pc.utf8_length(part.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = np.append(0, np.cumsum(done.count))
+                for i in np.flatnonzero(totals > limit).tolist():
+                    a, z = done.first[i], done.first[i + 1]
+                    k = a + int(np.searchsorted(upto[a + 1: z + 1] - upto[a], limit, side="right"))
+                    before = done.data[bounds[i]: done.start[k]].tobytes().decode()
+                    span = SPAN.match(done.data[done.start[k]: bounds[i + 1]].tobytes().decode())[0]
+                    chars[i] = len(before) + _fitting(inside(owner, span), limit - int(upto[k] - upto[a]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()),
-                     pa.array([n > limit for n in counts], pa.bool_()), pa.array(fits, pa.int64())],
+                    [part.column(0), pa.array(np.diff(bounds)), pa.array(totals), pa.array(totals > limit), pa.array(chars)],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     kind = df.schema[id].dataType.simpleString()
