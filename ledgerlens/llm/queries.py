@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts
+from . import (
+    decontaminate, language_id, license_scan, near_dedup, neighbours, packing, sharding, suffix_dedup, token_counts, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +40,49 @@ def packing_query(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@_query("op3_license_scan", license_scan.scan_sql())
+def license_query(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+@_query("op4_warc", warc.round_trip_sql())
+def warc_query(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+@_query("op5_suffix_dedup")
+def suffix_query(spark, sf_dir):
+    return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@_query("op6_neighbours")
+def neighbour_query(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20)
+
+
 @_query("op7_sharding")
 def sharding_query(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+
+
+@_query("op8_decontamination")
+def decontamination_query(spark, sf_dir):
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_near_dedup")
+def near_dedup_query(spark, sf_dir):
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id",
+                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@_query("op10_language_id")
+def language_query(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(documents.where(~out))
+    named = documents.select("doc_id", out.alias("held_out"), language_id.identify(model, F.col("text")).alias("found"))
+    return named.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"),
+                        F.col("found.rejected").alias("rejected"))
