@@ -154,15 +154,15 @@ def find_items(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
 def contaminated(text: Column, items: DataFrame, item_id: str = "item_id", item_text: str = "text", rate: float = RATE,
                  block_chars: int = 8 << 20) -> Column:
     """Whether a text column contains any item."""
-    tests = []
-    for block in _blocks(items, item_id, item_text, block_chars):
+    def holds(block: list[tuple[object, str]]) -> Column:
         @F.arrow_udf("boolean")
-        def holds(texts: pa.Array, block=block) -> pa.Array:
+        def any_item(texts: pa.Array) -> pa.Array:
             index = _index(block, rate)
             return pa.array([bool(index.matches(t.as_py())) for t in texts], pa.bool_())
 
-        tests.append(F.coalesce(holds(text), F.lit(False)))
-    return reduce(lambda a, b: a | b, tests)
+        return F.coalesce(any_item(text), F.lit(False))
+
+    return reduce(lambda a, b: a | b, [holds(b) for b in _blocks(items, item_id, item_text, block_chars)])
 
 
 _INDEXES: dict[tuple, Index] = {}

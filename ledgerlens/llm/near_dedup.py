@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -199,22 +199,35 @@ _KINDS = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
                     missed: float = 1e-5, r: int = SIGNATURE) -> DataFrame:
-    """Per row: id, text hash, set size, set key, the smallest id of its component and of its class."""
+    """Per row: id, text hash, set size, the smallest id of its component, and the component's first document.
+
+    ``first`` holds the id (null only if all are) and the text hash of one document of the component.
+    """
     m = signatures_needed(percent / 100, missed, r)
     rows = settle(describe(df, id, text, size, m, r), "rows")
     named = rows.where(F.col("set_key").isNotNull())
-    classes = settle(named.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"),
-                                                  F.first("signatures").alias("signatures")), "classes")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = settle(named.groupBy("set_key").agg(F.min(place).alias("rep"), F.first("signatures").alias("signatures")), "classes")
     candidates = settle(connected_components(candidate_edges(classes, m), "candidates"), "candidates")
     links = settle(verified_edges(df, classes, candidates, id, text, size, percent), "links")
     found = connected_components(links, "components")
-    label = F.coalesce("component", "set_key")
     labelled = settle(classes.join(found, classes["set_key"] == found["node"], "left")
-                      .select("set_key", "rep.doc_id", label.alias("component")), "labelled")
-    first = settle(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "first")
-    of_class = settle(labelled.join(first, "component").select(F.col("set_key").alias("of"), "component_id", F.col("doc_id").alias("class_id")), "of")
-    some = named.join(of_class, F.col("set_key") == F.col("of")).select(
-        "doc_id", "text_hash", "n_shingles", "set_key", "component_id", "class_id")
-    none = rows.where(F.col("set_key").isNull()).select(
-        "doc_id", "text_hash", "n_shingles", "set_key", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+                      .select("set_key", "rep", F.coalesce("component", "set_key").alias("component")), "labelled")
+    first = settle(labelled.groupBy("component").agg(F.min("rep").alias("first")), "first")
+    of_class = settle(labelled.join(first, "component").select(F.col("set_key").alias("of"), "first"), "of")
+    columns = ["doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), "first"]
+    some = named.join(of_class, F.col("set_key") == F.col("of")).select(*columns)
+    none = rows.where(F.col("set_key").isNull()).withColumn("first", place).select(*columns)
     return some.unionByName(none)
+
+
+def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` with one row of each near-duplicate group; rows of equal id and text are one document."""
+    found = near_duplicates(df, id, text, size, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = found.where(own == F.col("first")).select(F.xxhash64("doc_id", "text_hash").alias("_llm_key")).distinct()
+    kept = settle(kept, "kept")
+    keyed = df.withColumn("_llm_own", F.xxhash64(F.col(id), F.xxhash64(whole_text(F.col(text)))))
+    joined = keyed.join(kept, F.col("_llm_own") == F.col("_llm_key"), "left_semi")
+    once = F.row_number().over(Window.partitionBy("_llm_own").orderBy("_llm_own"))
+    return joined.withColumn("_llm_once", once).where("_llm_once = 1").select(*df.columns)
