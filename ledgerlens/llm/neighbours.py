@@ -124,7 +124,7 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
     id_kind = df.schema[id].dataType.simpleString()
     if not total:
         return df.sparkSession.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
-    blocks = max(least_blocks, math.ceil(total / block_rows))
+    blocks = min(max(least_blocks, math.ceil(total / block_rows)), max(1, total // (8 * (k + 1))))  # none of few rows
     reach = max(1, int(window * blocks / 2))
     picked = entries.where(F.pmod("number", F.lit(1 << 20)) < max(1, math.ceil(2 * sample * (1 << 20) / total))).orderBy("number").limit(sample)
     drawn = picked.select("vector").collect()  # at most ``sample`` vectors

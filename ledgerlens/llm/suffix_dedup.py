@@ -170,30 +170,45 @@ def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
                         (F.col("stop") - F.col("first_word")).cast("long").alias("n_words"), F.col("later").alias("removed"))
 
 
+def cut_bounds(spans: list[dict]) -> list[tuple[int, int]]:
+    """Word bounds to cut: removed spans without the words of kept ones, so first places stay whole."""
+    kept = sorted((s["first_word"], s["first_word"] + s["n_words"]) for s in spans if not s["removed"])
+    out = []
+    for s in sorted((s for s in spans if s["removed"]), key=lambda s: s["first_word"]):
+        at, stop = s["first_word"], s["first_word"] + s["n_words"]
+        for a, z in kept:
+            if z > at and a < stop:
+                if a > at:
+                    out.append((at, a))
+                at = z
+        if at < stop:
+            out.append((at, stop))
+    return out
+
+
 def cut_words(texts: pa.Array, spans: list[list[dict] | None]) -> list[str]:
-    """Texts without the given word spans and the white space after each word of them."""
+    """Texts without the words to cut and the white space after each of them."""
     data, offsets = buffers(texts)
     w = find_words(data, offsets)
     raw, out = data.tobytes(), []
     for i, cuts in enumerate(spans):
         at, keep, first, last = int(offsets[i]), [], int(w.first[i]), int(w.first[i + 1])
-        for s in sorted(cuts or [], key=lambda s: s["first_word"]):
-            lo, hi = first + s["first_word"], first + s["first_word"] + s["n_words"]
-            keep.append(raw[at: int(w.start[lo])])
-            at = int(w.start[hi]) if hi < last else int(offsets[i + 1])
+        for a, z in cut_bounds(cuts or []):
+            keep.append(raw[at: int(w.start[first + a])])
+            at = int(w.start[first + z]) if first + z < last else int(offsets[i + 1])
         keep.append(raw[at: int(offsets[i + 1])])
         out.append(b"".join(keep).decode())
     return out
 
 
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with later occurrences of repeated passages cut from ``text``.
+    """``df`` with later occurrences of repeated passages cut from ``text``; words of a first one stay.
 
     Texts of which no word is left are dropped; texts without removed spans stay as they are.
     """
-    spans = repeated_spans(df, id, text).where("removed")
-    cuts = settle(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_llm_cuts"))
-                  .select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), "_llm_cuts"), "cuts")
+    spans = repeated_spans(df, id, text)
+    cuts = settle(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_word", "n_words", "removed")).alias("_llm_cuts"))
+                  .where(F.exists("_llm_cuts", lambda c: c["removed"])).select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), "_llm_cuts"), "cuts")
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
