@@ -57,3 +57,16 @@ def report_rows(stats: DataFrame, entries: list[tuple], schema_names: list[str])
     """One-row statistics to a long report; ``entries`` hold one Column per output field."""
     rows = F.array(*[F.struct(*[v.alias(n) for n, v in zip(schema_names, e)]) for e in entries])
     return stats.select(F.inline(rows))
+
+
+_WHOLE = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}
+
+
+def coerced(c: str, kind: str) -> Column:
+    """``c`` as ``kind``, null where it does not fit; a whole number may be written ``1.0`` or ``1e3``."""
+    direct = F.col(c).try_cast(kind)
+    if kind not in _WHOLE:
+        return direct
+    number = F.col(c).try_cast("double")
+    whole = (F.floor(number).cast("double") == number) & (F.abs(number) < float(1 << _WHOLE[kind]))
+    return F.coalesce(direct, F.when(whole, number).try_cast(kind))

@@ -18,6 +18,7 @@ from ..session import cut_lineage
 from .quality import since
 
 CHANNELS = ("EMAIL", "SMS", "WEBHOOK", "LOG_ONLY")
+NO_ACCOUNT = "unknown"  # fixed value
 # Longest run of close events folded in one task; longer runs go through jump tables.
 FOLD_ROWS = 50_000
 
@@ -97,6 +98,8 @@ def match(df: DataFrame, thresholds: Sequence[Threshold] = DEFAULT_THRESHOLDS) -
         chain = F.when(hit, made) if chain is None else chain.when(hit, made)
     if chain is None:
         chain = F.lit(None).cast("struct<threshold_name:string,severity:string,cooldown_seconds:bigint,channels:array<string>>")
+    if "nameOrig" in df.columns:  # alerts without an account share one cooldown
+        df = df.withColumn("nameOrig", F.coalesce("nameOrig", F.lit(NO_ACCOUNT)))
     return df.withColumn("_m", chain).filter("_m is not null").select(*df.columns, "_m.*")
 
 
@@ -247,9 +250,8 @@ def history(alerts: DataFrame, as_of, hours: int = 24, severity: str | None = No
     return out.filter(F.col("severity") == severity) if severity else out
 
 
-def newest_first(alerts: DataFrame, n: int | None = None) -> DataFrame:
-    out = alerts.orderBy(F.desc("ts"), "alert_id")
-    return out.limit(n) if n else out
+def newest_first(alerts: DataFrame) -> DataFrame:
+    return alerts.orderBy(F.desc("ts"), "alert_id")
 
 
 def statistics(alerts: DataFrame) -> DataFrame:

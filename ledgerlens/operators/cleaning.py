@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import report_rows
+from ..functions.columns import coerced, report_rows
 from ..functions.features import expected_origin_balance, off_balance
 from ..schema import COLUMNS, LABELS, TRANSACTION
 from .isolation import isolation_scores
@@ -44,7 +44,7 @@ def convert_types(df: DataFrame, types: Mapping[str, str] | None = None) -> Data
     """Cast to the given (default: expected) types; what does not fit becomes null."""
     types = types or {f.name: f.dataType.simpleString() for f in TRANSACTION.fields}
     return df.withColumns(
-        {c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns and dict(df.dtypes)[c] != t}
+        {c: coerced(c, t) for c, t in types.items() if c in df.columns and dict(df.dtypes)[c] != t}
     )
 
 
@@ -53,7 +53,7 @@ def fill_numbers_with_zero(df: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in TRANSACTION.fields}
     return df.withColumns(
         {
-            c: F.coalesce(F.col(c).try_cast(types[c]), F.lit(0).cast(types[c]))
+            c: F.coalesce(coerced(c, types[c].simpleString()), F.lit(0).cast(types[c]))
             for c in COLUMNS if c in df.columns and isinstance(types[c], T.NumericType)
         }
     )
@@ -123,7 +123,7 @@ def _fill_values(df: DataFrame, plan: list[tuple[str, str]], n: int, mean: dict[
         elif s == "median":
             medians.append(c)
     if medians:
-        found = quantiles(df, medians, [0.5], rows=n)
+        found = quantiles(df, medians, [0.5])
         out.update({c: found[(None, c)][0] for c in medians})
     if modes:
         for r in categorical_summary(df, modes).collect():
@@ -255,7 +255,7 @@ def clean(df: DataFrame, strategy: str = "auto", method: str = "iqr", threshold:
     imputation = imputation or fit_imputation(typed, strategy)
     filled = imputation.transform(typed)
     columns = outlier_columns(filled) if outlier_on is None else outlier_on
-    fences = iqr_fences(filled, columns, threshold, rows=imputation.rows)
+    fences = iqr_fences(filled, columns, threshold)
     masks = outlier_masks(filled, columns, method, threshold, fences)
     if method == "iqr":
         treated = clip_to(filled, fences)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import report_rows, unpivot
 from ..schema import MEASURES
-from .prefix import ROWS_PER_BUCKET, assign_buckets, range_splits, running_totals
+from .prefix import assign_buckets, range_splits, running_totals
 
 COLUMNS = ["step", *MEASURES]
 
@@ -23,14 +23,14 @@ def pearson(df: DataFrame, columns: list[str] = COLUMNS) -> DataFrame:
     return report_rows(stats, [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)], ["x", "y", "r"])
 
 
-def with_ranks(df: DataFrame, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def with_ranks(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
     """Columns replaced by their average ranks.
 
     Equal values are counted first, ranked by running totals, and joined back; the
     adaptive skew join splits rows that share a frequent value.
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    splits = range_splits(rows, columns, rows_per_bucket)
+    splits = range_splits(rows, columns, buckets)
     long = unpivot(rows.withColumn("_row", F.monotonically_increasing_id()), ["_row"], columns)
     bucketed = assign_buckets(rows, splits)
     pairs = F.array(*[
@@ -43,14 +43,14 @@ def with_ranks(df: DataFrame, columns: list[str], rows_per_bucket: int = ROWS_PE
     return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
 
 
-def spearman(df: DataFrame, columns: list[str] = COLUMNS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def spearman(df: DataFrame, columns: list[str] = COLUMNS, buckets: int | None = None) -> DataFrame:
     """Pearson correlation of average ranks; with nulls each pair ranks its complete rows."""
     nulls = df.agg(F.count_if(_any_null(columns))).first()[0]
     if not nulls:
-        return pearson(with_ranks(df, columns, rows_per_bucket), columns)
+        return pearson(with_ranks(df, columns, buckets), columns)
     out = None
     for a, b in combinations(columns, 2):
-        part = pearson(with_ranks(df.filter(~_any_null([a, b])), [a, b], rows_per_bucket), [a, b])
+        part = pearson(with_ranks(df.filter(~_any_null([a, b])), [a, b], buckets), [a, b])
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -62,7 +62,7 @@ def _any_null(columns):
     return cond
 
 
-def kendall_pair(df: DataFrame, x: str, y: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def kendall_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
     """Kendall's tau-b of one pair: (x, y, r).
 
     Discordant pairs are counted bit by bit over the dense rank of ``y``: two ranks
@@ -71,7 +71,7 @@ def kendall_pair(df: DataFrame, x: str, y: str, rows_per_bucket: int = ROWS_PER_
     rows before it. All bits run in one job; no pair of rows is ever built.
     """
     rows = df.filter(~_any_null([x, y])).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    splits = range_splits(rows, ["x", "y"], rows_per_bucket)
+    splits = range_splits(rows, ["x", "y"], buckets)
     rows = assign_buckets(rows, splits)
     cells = rows.groupBy("x", "y", "x_bucket").agg(F.count("*").cast("double").alias("n"))
     distinct = rows.select("y", "y_bucket").distinct().withColumn("one", F.lit(1))
@@ -104,9 +104,9 @@ def kendall_pair(df: DataFrame, x: str, y: str, rows_per_bucket: int = ROWS_PER_
     return stats.select(F.lit(x).alias("x"), F.lit(y).alias("y"), F.when(size > 0, score / size).alias("r"))
 
 
-def kendall(df: DataFrame, columns: list[str] = COLUMNS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def kendall(df: DataFrame, columns: list[str] = COLUMNS, buckets: int | None = None) -> DataFrame:
     out = None
     for a, b in combinations(columns, 2):
-        part = kendall_pair(df, a, b, rows_per_bucket)
+        part = kendall_pair(df, a, b, buckets)
         out = part if out is None else out.unionByName(part)
     return out

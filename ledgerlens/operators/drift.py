@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import kolmogorov
-from .prefix import ROWS_PER_BUCKET, assign_buckets, range_splits, running_totals
+from .prefix import assign_buckets, range_splits, running_totals
 
 # ---- fixed values -----------------------------------------------------------------
 DRIFT_P_VALUE = 0.05
@@ -21,7 +21,7 @@ def common_features(reference: DataFrame, current: DataFrame, features: Sequence
 
 
 def ks_drift(reference: DataFrame, current: DataFrame, features: Sequence[str],
-             p_limit: float = DRIFT_P_VALUE, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+             p_limit: float = DRIFT_P_VALUE, buckets: int | None = None) -> DataFrame:
     """(feature, n_reference, n_current, drift_score, p_value, is_drift) per common feature.
 
     Equal values are merged per feature before the shuffle; cumulative counts come from
@@ -33,7 +33,7 @@ def ks_drift(reference: DataFrame, current: DataFrame, features: Sequence[str],
         return df.select(*[F.col(c).cast("double").alias(c) for c in cols], F.lit(is_ref).alias("_ref"))
 
     rows = side(reference, 1).unionByName(side(current, 0))
-    splits = range_splits(rows.select(cols), cols, rows_per_bucket)
+    splits = range_splits(rows.select(cols), cols, buckets)
     bucketed = assign_buckets(rows, splits)
     pairs = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(f"{c}_bucket").alias("bucket")) for c in cols

@@ -20,9 +20,7 @@ from .quantiles import quantiles
 CATEGORICAL_SHARE, CATEGORICAL_DISTINCT = 0.05, 20
 NULL_TEXT = "nan"
 
-SMALL_DICTIONARY = 1_000_000
 BROADCAST_DICTIONARY = 200_000
-ONE_HOT_LIMIT = 10_000
 
 
 def detect_types(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -55,16 +53,10 @@ def text_of(c: str) -> Column:
 def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes follow the order of the text form; null is its own category.
 
-    Up to a checked number of values one window numbers them. Beyond it the values are
-    range-sorted once into a table, numbered within each sorted part and shifted by the
-    sizes of the parts before it.
+    The values are range-sorted once into a table, numbered within each sorted part and
+    shifted by the sizes of the parts before it.
     """
-    values = df.select(text_of(column).alias("value")).distinct()
-    n = values.count()
-    if n <= SMALL_DICTIONARY:
-        code = F.row_number().over(Window.orderBy("value")) - 1
-        return values.select("value", code.cast("bigint").alias("code"))
-    return sorted_codes(values)
+    return sorted_codes(df.select(text_of(column).alias("value")).distinct())
 
 
 def sorted_codes(values: DataFrame) -> DataFrame:
@@ -84,7 +76,8 @@ def sorted_codes(values: DataFrame) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, dictionary: DataFrame, unknown: str = "ignore") -> DataFrame:
-    """Replace the column by its code. Unknown values get code 0, or fail with ``error``.
+    """Replace the column by its code. Unknown values get code 0, null with
+    ``missing``, or fail with ``error``.
 
     The dictionary is broadcast only below a checked size; a larger one is joined by
     shuffle, where the adaptive skew join splits a dominant value.
@@ -95,17 +88,23 @@ def label_encode(df: DataFrame, column: str, dictionary: DataFrame, unknown: str
     code = F.col("_code")
     if unknown == "error":
         code = F.coalesce(code, F.raise_error(F.concat(F.lit("unknown category: "), text_of(column))).cast("bigint"))
-    else:
+    elif unknown == "ignore":
         code = F.coalesce(code, F.lit(0).cast("bigint"))
     return joined.withColumn(column, code).drop("_value", "_code")
 
 
 def one_hot_values(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories; they become columns, so their number must be small."""
-    rows = df.select(text_of(column).alias("v")).distinct().limit(ONE_HOT_LIMIT + 1).collect()
-    if len(rows) > ONE_HOT_LIMIT:
-        raise ValueError(f"{column} has over {ONE_HOT_LIMIT} categories; use label encoding")
-    return sorted(r["v"] for r in rows)
+    """Sorted categories, which become columns; use ``one_hot_vector`` for columns of many values."""
+    return sorted(r["v"] for r in df.select(text_of(column).alias("v")).distinct().collect())
+
+
+def one_hot_vector(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """Replace the column by a sparse 0/1 vector at its code, for any number of categories."""
+    size = dictionary.count()
+    coded = label_encode(df.withColumn("_code_of", F.col(column)), "_code_of", dictionary, unknown="missing")
+    vector = F.struct(F.lit(size).alias("size"), F.when(F.col("_code_of").isNotNull(), F.array(F.col("_code_of")))
+                      .otherwise(F.array().cast("array<bigint>")).alias("indices"))
+    return coded.withColumn(column, vector).drop("_code_of")
 
 
 def one_hot_encode(df: DataFrame, column: str, values: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..functions.pvalues import normal_two_sided, rank_sum_exact, signed_rank_exact, student_t_two_sided
-from .prefix import ROWS_PER_BUCKET, assign_buckets, range_splits, running_totals
+from .prefix import assign_buckets, range_splits, running_totals
 
 METRICS = ["accuracy", "precision", "recall", "f1_score", "auc_roc"]
 
@@ -42,25 +42,24 @@ def _rates() -> dict[str, Column]:
 
 
 def score_counts(df: DataFrame, by: Sequence[str], label: str, score: str, prediction: str | None = None,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, str | None]:
+                 buckets: int | None = None) -> tuple[DataFrame, str | None]:
     """Confusion counts per (group, score), and the bucket column if the scores need one."""
     p = F.col(prediction) if prediction else (F.col(score) >= 0.5).cast("int")
     rows = df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"),
                      p.cast("int").alias("_p")).filter("_s is not null and _y is not null")
-    # counting the input needs no score, so a model is not run for it
-    splits = range_splits(rows, ["_s"], rows_per_bucket, n=df.count())
+    splits = range_splits(rows, ["_s"], buckets)
     counted = assign_buckets(rows, splits).groupBy(*by, "_s_bucket", "_s").agg(*_counts())
     counted = counted.withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("tn") + F.col("fp")})
     return counted, ("_s_bucket" if splits["_s"] else None)
 
 
-def _swept(df, by, label, score, prediction, rows_per_bucket):
-    counted, bucket = score_counts(df, by, label, score, prediction, rows_per_bucket)
+def _swept(df, by, label, score, prediction, buckets):
+    counted, bucket = score_counts(df, by, label, score, prediction, buckets)
     return running_totals(counted, by, "_s", {"cum_tp": "pos", "cum_fp": "neg"}, bucket, descending=True)
 
 
 def metrics_by(df: DataFrame, by: Sequence[str], label: str, prediction: str, score: str,
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Confusion, rates, AUC (ties averaged) and average precision per group. One class
     only: AUC is null."""
     by = list(by)
@@ -68,7 +67,7 @@ def metrics_by(df: DataFrame, by: Sequence[str], label: str, prediction: str, sc
     area = F.sum(neg * (cum - pos / 2))
     step = F.sum(pos * cum / (cum + F.col("cum_fp")))
     wins, losses = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    swept = _swept(df, by, label, score, prediction, rows_per_bucket)
+    swept = _swept(df, by, label, score, prediction, buckets)
     grouped = swept.groupBy(*by).agg(
         F.sum("tp").alias("true_positives"), F.sum("tn").alias("true_negatives"),
         F.sum("fp").alias("false_positives"), F.sum("fn").alias("false_negatives"),
@@ -88,10 +87,10 @@ def confusion_metrics(df: DataFrame, by: Sequence[str], label: str, prediction:
 
 
 def curve_points(df: DataFrame, by: Sequence[str], label: str, score: str,
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """(threshold, tpr, fpr, precision, recall) at every distinct score per group."""
     by = list(by)
-    swept = _swept(df, by, label, score, None, rows_per_bucket)
+    swept = _swept(df, by, label, score, None, buckets)
     whole = swept.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     tied = swept.join(F.broadcast(whole), by) if by else swept.withColumns(
         {c: whole.select(c).scalar() for c in ("_p", "_n")}

@@ -29,7 +29,6 @@ LIMITS = [  # alert, severity, metric, comparison, limit
     ("drift_alerts_high", "high", "drift_alerts", "above", 5.0),
     ("response_time_high", "medium", "response_time", "above", 1.0),
 ]
-HISTOGRAM_VALUES = 1000
 RULES = [  # rule, metric, window, measure, limit
     ("HighErrorRate", "error", "5 minutes", "rate", 0.1),
     ("HighResponseTime", "response", "5 minutes", "p95", 2.0),
@@ -184,11 +183,9 @@ def instruments(events: DataFrame) -> DataFrame:
     )
 
 
-def histogram_window(events: DataFrame, n: int = HISTOGRAM_VALUES) -> DataFrame:
-    """Statistics of the last ``n`` readings per name; tasks forward their own last ``n`` only."""
-    w = Window.partitionBy("name").orderBy(F.desc("ts"), F.desc("event_id"))
-    last = events.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-    return last.groupBy("name").agg(
+def histogram_window(events: DataFrame, as_of, hours: float = 24) -> DataFrame:
+    """Statistics per name of all readings in the ``hours`` before ``as_of``."""
+    return since(events, as_of, hours=hours).groupBy("name").agg(
         F.count("*").alias("readings"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg")
     )
 

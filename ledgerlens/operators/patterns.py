@@ -46,8 +46,8 @@ def fraud_time_series(df: DataFrame, unit: str = "hour", measure: str = "count")
     if unit == "hour":
         spine = df.sparkSession.range(24).select(F.col("id").alias("period"))
     else:
-        last = per_period.agg(F.max("period").alias("last"))
-        spine = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("period"))
+        last = per_period.agg(F.max("period")).first()[0]
+        spine = df.sparkSession.range(0 if last is None else last + 1).select(F.col("id").alias("period"))
     return spine.join(per_period, "period", "left").select(
         "period", F.coalesce("value", F.lit(0.0)).alias("value")
     )

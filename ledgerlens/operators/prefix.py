@@ -14,22 +14,19 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+BUCKETS_PER_PARTITION = 2
 
 
-def range_splits(rows: DataFrame, columns: Sequence[str],
-                 rows_per_bucket: int = ROWS_PER_BUCKET, n: int | None = None) -> dict[str, list[float]]:
-    """Cut points per column, about ``rows_per_bucket`` rows apart; empty if one bucket will do.
+def range_splits(rows: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
+    """Cut points per column for ``buckets`` ranges (default: two per shuffle partition).
 
-    Only sketches and the cut points themselves reach the driver: one number per
-    million rows.
+    The number of cut points and the error of the sketches depend on the cluster's settings,
+    not on the rows.
     """
-    n = rows.count() if n is None else n
-    buckets = -(-n // rows_per_bucket)
-    if buckets <= 1:
-        return {c: [] for c in columns}
+    if buckets is None:
+        buckets = BUCKETS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / buckets for i in range(1, buckets)]
-    found = rows.approxQuantile(list(columns), probs, 1.0 / (4 * buckets))
+    found = rows.approxQuantile(list(columns), probs, 1.0 / (4 * buckets)) if probs else [[] for _ in columns]
     return {c: sorted(set(f)) for c, f in zip(columns, found)}
 
 

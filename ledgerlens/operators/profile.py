@@ -26,11 +26,11 @@ def describe(df: DataFrame, columns: list[str] = NUMERIC, by: str | None = None)
     per_column = F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in names]) for i, c in enumerate(columns)
     ])
-    moments = wide.select(*keys, F.inline(per_column)).filter("count > 0")
+    moments = wide.select(*keys, F.inline(per_column))
     quart = quantile_table(df, columns, DESCRIBE_PROBS, by).groupBy(*keys, "column").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{int(p * 100)}") for p in DESCRIBE_PROBS]
     )
-    out = moments.join(quart, [*keys, "column"])
+    out = moments.join(quart, [*keys, "column"], "left")
     return out.select(*keys, "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import flag, report_rows
+from ..functions.columns import coerced, flag, report_rows
 from ..functions.features import off_balance
 from ..schema import (
     BALANCES, COLUMNS, DEFAULTS_FOR_SCORING, FIRST_STEP, LAST_STEP, TRANSACTION, TYPES,
@@ -50,7 +50,7 @@ def coercibility(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Non-null values of each column that its target type cannot hold."""
     stats = df.agg(
         *[
-            F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c)
+            F.count_if(F.col(c).isNotNull() & coerced(c, t).isNull()).alias(c)
             for c, t in types.items()
         ]
     )
@@ -145,9 +145,9 @@ def final_check(df: DataFrame) -> DataFrame:
     )
 
 
-def iqr_fences(df: DataFrame, columns: list[str], factor: float = 1.5, rows: int | None = None) -> dict[str, tuple]:
+def iqr_fences(df: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple]:
     """{column: (lower, upper)} from exact quartiles; columns without values are left out."""
-    found = quantiles(df, columns, [0.25, 0.75], rows=rows)
+    found = quantiles(df, columns, [0.25, 0.75])
     out = {}
     for c in columns:
         q1, q3 = found[(None, c)]
@@ -196,12 +196,6 @@ def split_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
-def check_batch_size(n: int, smallest: int = 1, largest: int = 1000) -> None:
-    """Bounds of an interactive request batch (tables have none)."""
-    if not smallest <= n <= largest:
-        raise ValueError(f"a request batch holds {smallest} to {largest} transactions, got {n}")
-
-
 def fill_missing_columns(df: DataFrame) -> DataFrame:
     """Add absent scoring columns with their defaults."""
     types = {f.name: f.dataType for f in TRANSACTION.fields}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---- fixed values ------------------------------------------------------------------
@@ -29,13 +29,36 @@ def next_versions(runs: DataFrame) -> DataFrame:
 
 
 def register(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """Append new runs (without version) under the next version of their name."""
-    numbered = new.join(next_versions(runs), "model_name", "left").withColumn(
-        "version", F.coalesce("next_version", F.lit("v1.0.0"))
-    ).drop("next_version")
+    """Append new runs (without version) under the next versions of their name, by time and id."""
+    order = F.row_number().over(Window.partitionBy("model_name").orderBy("created_at", "model_id"))
+    base = F.coalesce(version_number("next_version"), F.lit(1)) - 1
+    numbered = new.withColumn("_n", order).join(next_versions(runs), "model_name", "left").withColumn(
+        "version", F.concat(F.lit("v"), (base + F.col("_n")).cast("string"), F.lit(".0.0"))
+    )
     return runs.unionByName(numbered.select(runs.columns))
 
 
+def set_status(runs: DataFrame, model_id: str, status: str) -> DataFrame:
+    """The table with one run's status changed."""
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status}")
+    return runs.withColumn("status", F.when(F.col("model_id") == model_id, status).otherwise(F.col("status")))
+
+
+def add_tags(runs: DataFrame, model_id: str, tags: Sequence[str]) -> DataFrame:
+    """The table with tags added to one run, each once."""
+    more = F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(*[F.lit(t) for t in tags]).cast("array<string>"))
+    return runs.withColumn("tags", F.when(F.col("model_id") == model_id, more).otherwise(F.col("tags")))
+
+
+def delete(runs: DataFrame, model_id: str, force: bool = False) -> DataFrame:
+    """The table without one run; a run in production stays unless forced."""
+    gone = F.col("model_id") == model_id
+    if not force:
+        gone = gone & (F.coalesce("status", F.lit("")) != "production")
+    return runs.filter(~F.coalesce(gone, F.lit(False)))
+
+
 def list_models(runs: DataFrame, name: str | None = None, kind: str | None = None, status: str | None = None,
                 tags: Sequence[str] = ()) -> DataFrame:
     """Filtered runs; a run must carry all the tags. Order by ``created_at`` descending to show."""

@@ -10,7 +10,6 @@ from .profile import type_distribution
 from .quality import since
 
 # ---- fixed values -------------------------------------------------------------------
-DETAIL_ROWS, HISTORY_ROWS = 10_000, 100
 REPORT_DAYS = {"daily": 1, "weekly": 7, "monthly": 30}
 COMPLIANCE_LIMITS = {"accuracy": 0.8, "false_positive_rate": 0.3, "false_negative_rate": 0.3, "f1_score": 0.5}
 
@@ -50,9 +49,9 @@ def transaction_analysis(df: DataFrame) -> DataFrame:
     )
 
 
-def detail_rows(df: DataFrame, order: str, n: int = DETAIL_ROWS) -> DataFrame:
-    """First ``n`` rows by a key, for the detail sheet of a report."""
-    return df.orderBy(order).limit(n)
+def detail_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every row with the columns of a report's detail sheet, to be written as a table."""
+    return df.select(*columns)
 
 
 def model_performance(scored: DataFrame, label: str = "isFraud") -> DataFrame:
@@ -86,6 +85,6 @@ def report_period(df: DataFrame, as_of, kind: str = "daily", time_column: str =
     return since(df, as_of, time_column, days=REPORT_DAYS[kind])
 
 
-def report_history(runs: DataFrame, n: int = HISTORY_ROWS) -> DataFrame:
-    """Last ``n`` report runs, newest first."""
-    return runs.orderBy(F.desc("ts"), "report_type").limit(n)
+def report_history(runs: DataFrame) -> DataFrame:
+    """All report runs, newest first."""
+    return runs.orderBy(F.desc("ts"), "report_type")

@@ -98,8 +98,8 @@ def stratified_downsample(df: DataFrame, label: str, key: list[str], above: int
     return hashed.filter(keep).drop("_h")
 
 
-def uniform_sample(df: DataFrame, key: list[str], size: int = 50_000, above: int = 100_000, seed: int = 42) -> DataFrame:
-    """All rows up to ``above``; beyond it exactly ``size`` rows."""
+def uniform_sample(df: DataFrame, key: list[str], size: int, seed: int = 42) -> DataFrame:
+    """Exactly ``size`` rows, or all if there are fewer."""
     hashed = df.withColumn("_h", row_hash(key, seed))
-    n, (limit,) = ranked_threshold(hashed, "_h", lambda n: [size - 1])[None]
-    return df if n <= above or limit is None else hashed.filter(F.col("_h") <= limit).drop("_h")
+    _, (limit,) = ranked_threshold(hashed, "_h", lambda n: [min(size, n) - 1])[None]
+    return hashed.filter(F.col("_h") <= limit).drop("_h") if limit is not None else df.limit(0)

@@ -246,7 +246,7 @@ def _(spark, sf):
 
 @query("e11_uniform_sample", tx_sql(f"SELECT tx_id FROM tx ORDER BY {_HASH} LIMIT 1000"))
 def _(spark, sf):
-    return splitting.uniform_sample(transactions(spark, sf).select("tx_id"), ["tx_id"], size=1000, above=1000)
+    return splitting.uniform_sample(transactions(spark, sf).select("tx_id"), ["tx_id"], size=1000)
 
 
 @query("e12_training_columns", tx_sql(union_all(

@@ -359,9 +359,9 @@ def _(spark, sf):
 
 @query("m13_histogram_window", """
 SELECT event_type AS name, count(*) AS readings, min(value) AS min, max(value) AS max, round(avg(value), 4) AS avg
-FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 1000 GROUP BY event_type""")
+FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type""")
 def _(spark, sf):
-    return round_doubles(monitoring.histogram_window(metric_events(spark, sf)), 4)
+    return round_doubles(monitoring.histogram_window(metric_events(spark, sf), "2024-01-20 00:00:00", hours=240), 4)
 
 
 METRIC_SUMMARY_SQL = """

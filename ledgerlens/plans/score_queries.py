@@ -233,11 +233,10 @@ def _(spark, sf):
 
 
 @query("l08_w06_newest_alerts", events_sql("""
-SELECT alert_id, severity, epoch_us(ts) AS us FROM alerts WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'
-ORDER BY ts DESC, alert_id LIMIT 50""", _EMITTED, recursive=True))
+SELECT alert_id, severity, epoch_us(ts) AS us FROM alerts WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'""", _EMITTED, recursive=True))
 def _(spark, sf):
     past = alerts.history(raised(spark, sf), EVENTS_AS_OF, hours=120)
-    return alerts.newest_first(past, 50).select("alert_id", "severity", F.unix_micros("ts").alias("us"))
+    return alerts.newest_first(past).select("alert_id", "severity", F.unix_micros("ts").alias("us"))
 
 
 @query("l09_alert_statistics", events_sql("""

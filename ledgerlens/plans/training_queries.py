@@ -148,9 +148,9 @@ def _(spark, sf):
     return reports.transaction_analysis(transactions(spark, sf))
 
 
-@query("o02_w04_detail_rows", tx_sql("SELECT tx_id, type, amount FROM tx ORDER BY tx_id LIMIT 10000"))
+@query("o02_w04_detail_rows", tx_sql("SELECT tx_id, type, amount FROM tx"))
 def _(spark, sf):
-    return reports.detail_rows(transactions(spark, sf).select("tx_id", "type", "amount"), "tx_id")
+    return reports.detail_rows(transactions(spark, sf), ["tx_id", "type", "amount"])
 
 
 @query("o03_model_performance", scored_sql(union_all([
@@ -182,8 +182,8 @@ def _(spark, sf):
 
 
 @query("o06_report_history", scored_sql("""
-SELECT batch, 'fraud_summary' AS report_type, total_predictions AS rows FROM hist ORDER BY batch DESC LIMIT 20""", BY_DAY))
+SELECT batch, 'fraud_summary' AS report_type, total_predictions AS rows FROM hist""", BY_DAY))
 def _(spark, sf):
     """One report run per day of data."""
     runs = _dated(spark, sf).groupBy(F.floor(F.col("step") / 24).alias("batch")).agg(F.count("*").alias("rows"), F.max("ts").alias("ts"))
-    return reports.report_history(runs.withColumn("report_type", F.lit("fraud_summary")), 20).drop("ts")
+    return reports.report_history(runs.withColumn("report_type", F.lit("fraud_summary"))).drop("ts")

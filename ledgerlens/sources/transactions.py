@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import coerced
 from ..functions.features import normalized_type
 from ..schema import LABELS, TRANSACTION
 
 
 def _clean_numbers(df: DataFrame) -> DataFrame:
-    """NaN to null and one spelling of ``type``; ints and flags keep their type."""
+    """NaN and infinities to null and one spelling of ``type``; ints and flags keep their type."""
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            out[f.name] = F.when(~F.isnan(f.name), F.col(f.name))
+            out[f.name] = F.when(~F.isnan(f.name) & (F.abs(f.name) < float("inf")), F.col(f.name))
     if "type" in df.columns:
         out["type"] = normalized_type()
     return df.withColumns(out)
@@ -24,17 +25,17 @@ def _clean_numbers(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """Whole CSV with header; large files are split by Spark, so no chunk size is needed.
 
-    Columns are matched by name: every field is read as text and cast with
-    ``try_cast``, so a bad number becomes null instead of failing the scan.
+    Every field is read as text and coerced, so a bad number becomes null instead of failing
+    the scan. All files must have the first one's header: another order of columns fails.
     """
-    raw = spark.read.options(header=True, **options).csv(path)
-    return typed(raw)
+    names = spark.read.options(header=True, **options).csv(path).schema
+    return typed(spark.read.schema(names).options(header=True, enforceSchema=False, **options).csv(path))
 
 
 def typed(raw: DataFrame) -> DataFrame:
     types = {f.name: f.dataType for f in TRANSACTION.fields}
     cols: list[Column] = [
-        F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in raw.columns
+        coerced(c, types[c].simpleString()).alias(c) if c in types else F.col(c) for c in raw.columns
     ]
     return _clean_numbers(raw.select(cols))
 
@@ -45,10 +46,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_csv(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Incremental scan: new files of ``folder`` become micro-batches."""
-    reader = spark.readStream.schema(TRANSACTION).option("header", True)
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in TRANSACTION.fields])
+    reader = spark.readStream.schema(text).options(header=True, enforceSchema=False)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _clean_numbers(reader.csv(folder))
+    return typed(reader.csv(folder))
 
 
 def narrow_flags(df: DataFrame) -> DataFrame:

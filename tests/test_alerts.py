@@ -33,7 +33,7 @@ def rows_of(seed, n=900):
     rows, t = [], 1_700_000_000_000_000
     for i in range(n):
         t += rng.choice([0, 1_000_000, 7_500_000, 20_000_000, 61_000_000])
-        name = "HOT" if rng.random() < 0.5 else f"C{rng.randint(0, 8)}"
+        name = "HOT" if rng.random() < 0.5 else rng.choice([None, f"C{rng.randint(0, 8)}"])
         rows.append((i, t, name, "TRANSFER", 5.0, rng.choice([0.5, 0.6, 0.79, 0.8, 0.9, 1.0])))
     return rows
 
@@ -94,5 +94,13 @@ def test_registry(spark):
     two = registry.register(one, new.withColumn("model_id", F.lit("m2")))
     assert [r.version for r in two.orderBy("version").collect()] == ["v1.0.0", "v2.0.0"]
     assert registry.list_models(two, tags=["x", "z"]).count() == 0 and registry.list_models(two, status="staging").count() == 2
+    both = registry.register(two, new.select(*[F.lit(None).cast("string").alias("model_id") if c == "model_id" else c for c in new.columns])
+                             .withColumn("model_id", F.explode(F.array(F.lit("m4"), F.lit("m3")))))
+    assert {r.model_id: r.version for r in both.collect()} == {"m1": "v1.0.0", "m2": "v2.0.0", "m3": "v3.0.0", "m4": "v4.0.0"}
+    live = registry.set_status(two, "m1", "production")
+    assert registry.delete(live, "m1").count() == 2 and registry.delete(live, "m1", force=True).count() == 1 and registry.delete(live, "m2").count() == 1
+    assert {r.model_id: r.tags for r in registry.add_tags(two, "m2", ["y", "z"]).collect()} == {"m1": ["x", "y"], "m2": ["x", "y", "z"]}
+    with pytest.raises(ValueError):
+        registry.set_status(two, "m1", "lost")
     up = registry.update_metrics(two, spark.createDataFrame([("m1", {"f1": 0.7, "auc": 0.9})], "model_id string, metrics map<string,double>"))
     assert {r.model_id: r.metrics for r in up.collect()} == {"m1": {"f1": 0.7, "auc": 0.9}, "m2": {"f1": 0.5}}

@@ -36,8 +36,6 @@ def test_missing_columns_fail(tx):
     with pytest.raises(ValueError):
         quality.require_columns(tx.drop("amount"))
     assert quality.require_columns(tx.withColumn("more", F.lit(1))).columns[-1] == "more"
-    with pytest.raises(ValueError):
-        quality.check_batch_size(1001)
 
 
 def test_repair(tx):

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import quality
@@ -23,6 +24,19 @@ def test_columns_are_matched_by_name(spark, tmp_path):
     assert set(quality.missing_columns(df)) == set(COLUMNS) - {"amount", "step"}
 
 
+def test_whole_numbers_may_have_a_point(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("step,amount,isFraud\n1.0,2,1e0\n1.5,Infinity,-0.0\n1e30,NaN,x\n")
+    rows = sources.read_csv(spark, str(tmp_path / "c.csv")).collect()
+    assert [(r.step, r.amount, r.isFraud) for r in rows] == [(1, 2.0, 1), (None, None, 0), (None, None, None)]
+
+
+def test_files_of_another_column_order_fail(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("oldbalanceOrg,newbalanceOrig\n1,2\n")
+    (tmp_path / "2.csv").write_text("newbalanceOrig,oldbalanceOrg\n2,1\n")
+    with pytest.raises(Exception, match="header"):
+        sources.read_csv(spark, str(tmp_path)).collect()
+
+
 def test_generator(spark):
     df = synthetic.generate(spark, 20000, 0.1)
     r = df.agg(F.avg("isFraud").alias("rate"), F.min("step").alias("lo"), F.max("step").alias("hi"),
