@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import tidy
+
 RATE = 0.08
 _BLANKS = re.compile(r"\s+")
 
@@ -147,7 +149,7 @@ def find_items(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str =
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
 
-        out.append(rows.mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, distance long, end long, budget long"))
+        out.append(rows.mapInArrow(tidy(search), f"doc_id {kind}, item_id {item_kind}, distance long, end long, budget long"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import LOWER, buffers, slices
+from .words import LOWER, buffers, release, slices, tidy
 
 WIDTH = 1 << 13
 UNKNOWN = "und"
 _FOLD = LOWER.copy()
 _FOLD[:128][~np.array([chr(b).isalpha() for b in range(128)])] = 32
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 
 def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
                 n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WIDTH)), pa.array(np.append(n, total))], names=["feature", "n"])
 
-    found = (rows.select("text").mapInArrow(frequencies, "feature long, n long")
+    found = (rows.select("text").mapInArrow(tidy(frequencies), "feature long, n long")
              .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())  # WIDTH + 1 rows
     if found.empty or not found["n"].sum():
         return None
@@ -133,7 +133,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
                     [part.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
                      pa.array([c[a].astype(np.int32) for c, a in zip(counts, at)], pa.list_(pa.int32()))], names=["lang", "at", "n"])
 
-    drawn = picked.mapInArrow(sparse, "lang string, at array<int>, n array<int>").collect()  # at most sample rows a language
+    drawn = picked.mapInArrow(tidy(sparse), "lang string, at array<int>, n array<int>").collect()  # at most sample rows a language
     langs, centroids, nearest = [], [], []
     for name in sorted({r["lang"] for r in drawn}):
         own = sorted((tuple(r["at"]), tuple(r["n"])) for r in drawn if r["lang"] == name)
@@ -162,7 +162,9 @@ def identify(model: Model | None, text: Column) -> Column:
 
     @F.arrow_udf("lang string, score double, rejected boolean")
     def nearest(texts: pa.Array) -> pa.Array:
-        return model.predict(texts)
+        out = model.predict(texts)
+        release()
+        return out
 
     return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), nearest(F.lower(text))).otherwise(unknown)
 

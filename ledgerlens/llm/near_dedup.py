@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import settle, whole_text
-from .words import buffers, find_words, mix, sequence_hash, slices
+from .words import buffers, find_words, mix, release, sequence_hash, slices, tidy
 
 SIGNATURE = 3
 BLOCK = 128
@@ -95,7 +95,7 @@ def describe(df: DataFrame, id: str, text: str, size: int, m: int, r: int) -> Da
     kind = df.schema[id].dataType.simpleString()
     body = whole_text(F.col(text))
     return df.select(F.col(id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInArrow(
-        rows, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, signatures array<long>")
+        tidy(rows), f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, signatures array<long>")
 
 
 def candidate_edges(classes: DataFrame, m: int) -> DataFrame:
@@ -175,7 +175,7 @@ def verified_edges(df: DataFrame, classes: DataFrame, candidates: DataFrame, id:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=names)
 
     spread_sets = rows.select("component", "blocks", "node", "block", "share", "text").mapInArrow(
-        replicate, "component binary, low int, high int, node binary, members binary")
+        tidy(replicate), "component binary, low int, high int, node binary, members binary")
     grouping = [F.when(F.col("high") >= 0, F.col("component")).alias("whole"), "low", "high"]
 
     def verify(table: pa.Table) -> pa.Table:
@@ -189,6 +189,7 @@ def verified_edges(df: DataFrame, classes: DataFrame, candidates: DataFrame, id:
                 if nodes[root] != node:
                     u.append(node)
                     v.append(nodes[root])
+        release()
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
     return spread_sets.groupBy(*grouping).applyInArrow(verify, "u binary, v binary")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import settle
+from .words import release, tidy
 
 BITS = 7
 _SPARE = 4
@@ -148,9 +149,9 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
         return run
 
     dealt = entries.select("key", "vector", "ids").mapInArrow(
-        place(0), f"curve int, block int, key string, vector array<double>, ids array<{id_kind}>")
+        tidy(place(0)), f"curve int, block int, key string, vector array<double>, ids array<{id_kind}>")
     different = wanted.groupBy("key").agg(F.first("vector").alias("vector"))
-    sought = different.select("key", "vector").mapInArrow(place(reach), "curve int, block int, key string, vector array<double>")
+    sought = different.select("key", "vector").mapInArrow(tidy(place(reach)), "curve int, block int, key string, vector array<double>")
     take = k + 1 + _SPARE
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -165,6 +166,7 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
             other.append(best.ravel())
             score.append(exact.ravel())
         own, other, score = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (own, other, score))
+        release()
         return pa.table({"query": left.column("key").take(pa.array(own, pa.int64())), "key": right.column("key").take(pa.array(other, pa.int64())),
                          "ids": right.column("ids").take(pa.array(other, pa.int64())), "score": pa.array(score, pa.float64())})
 

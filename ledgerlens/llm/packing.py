@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import encoder
-from .words import slices
+from .words import slices, tidy
 
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SENTENCE_END = re.compile(r"[.!?]+[\"')\]]*</w>")
@@ -155,4 +155,4 @@ def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", capaci
 
     id_kind = df.schema[id].dataType.simpleString()
     rows = df.select(F.col(id).alias("doc_id"), F.col(text).cast("string"))
-    return rows.mapInArrow(pack, f"doc_id {id_kind}, {SCHEMA}")
+    return rows.mapInArrow(tidy(pack), f"doc_id {id_kind}, {SCHEMA}")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import settle, whole_text
-from .words import buffers, find_words, mix, sequence_hash, slices
+from .words import buffers, find_words, mix, release, sequence_hash, slices, tidy
 
 PASSAGE, GRAM, REACH = 50, 8, 36
 _BASE = 0x9FB21C651E98DF25
@@ -123,7 +123,7 @@ def repeated_runs(df: DataFrame, id: str, text: str) -> DataFrame:
                      pa.array(z.astype(np.int32)), pa.array(key, pa.int64()), pa.array(stretch, pa.int64())],
                     names=["doc_id", "text_hash", "a", "z", "key", "stretch"])
 
-    kept = settle(documents.mapInArrow(keep, f"doc_id {kind}, text_hash long, a int, z int, key long, stretch long"), "suffixes")
+    kept = settle(documents.mapInArrow(tidy(keep), f"doc_id {kind}, text_hash long, a int, z int, key long, stretch long"), "suffixes")
     often = settle(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"))
                    .where("n > 1").select("key", (F.col("least") == F.col("most")).alias("even")), "keys")
     shared = settle(kept.join(often, "key"), "shared")
@@ -147,7 +147,7 @@ def repeated_runs(df: DataFrame, id: str, text: str) -> DataFrame:
                     names=["doc_id", "text_hash", "a", "run"])
 
     runs = settle(held.select("doc_id", "text_hash", "text", "stretches").mapInArrow(
-        hashes, f"doc_id {kind}, text_hash long, a int, run long"), "runs")
+        tidy(hashes), f"doc_id {kind}, text_hash long, a int, run long"), "runs")
     twice = settle(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(_place("a")).alias("first")).where("n > 1")
                    .select("run", "first"), "twice")
     single = runs.join(twice, "run").select("doc_id", "text_hash", "a", F.col("a").alias("z"), (_place("a") != F.col("first")).alias("later"))
@@ -212,7 +212,9 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-        return pa.array(cut_words(texts, cuts.to_pylist()), pa.string())
+        out = pa.array(cut_words(texts, cuts.to_pylist()), pa.string())
+        release()
+        return out
 
     own = F.xxhash64(whole_text(df[text]))
     joined = df.join(cuts, df[id].eqNullSafe(F.col("_llm_id")) & (own == F.col("_llm_hash")), "left")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import CAREFUL, Encoder, encoder
-from .words import buffers, slices
+from .words import buffers, slices, tidy
 
 SPAN = re.compile("[^\t-\r ]+")
 
@@ -159,7 +159,7 @@ def count_tokens(df: DataFrame, id: str = "doc_id", text: str = "text", limit: i
 
     kind = df.schema[id].dataType.simpleString()
     rows = df.select(F.col(id), F.col(text).cast("string"))
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return rows.mapInArrow(tidy(count), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_table(df: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -174,4 +174,4 @@ def prefix_table(df: DataFrame, id: str = "doc_id", text: str = "text", vocabula
                      pa.array([t.count for t in tables], pa.list_(pa.int64()))], names=["doc_id", "ends", "counts"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id), F.col(text).cast("string")).mapInArrow(build, f"doc_id {kind}, ends array<long>, counts array<long>")
+    return df.select(F.col(id), F.col(text).cast("string")).mapInArrow(tidy(build), f"doc_id {kind}, ends array<long>, counts array<long>")

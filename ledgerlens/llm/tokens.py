@@ -22,7 +22,7 @@ import regex
 from .words import buffers, find_words
 
 CAREFUL = re.compile("[^\x00-\x1b\x20-įı-˿‐-‧‰-⁞₠-₿]|<\\|")
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 _SUSPECT = np.zeros(256, dtype=bool)
 _SUSPECT[list(range(0x1C, 0x20)) + [0xC4] + list(range(0xCC, 256))] = True
 

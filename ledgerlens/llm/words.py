@@ -6,8 +6,9 @@ break. Hashes are 64-bit polynomials over bytes (words) and over word hashes (se
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,12 @@ _STEP = 1 << 18
 _LONG = 1 << 16
 _BYTE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = 0xD6E8FEB86659FD93
-_ALL = (1 << 64) - 1
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -113,7 +119,25 @@ def sequence_hash(h: np.ndarray, length: int) -> np.ndarray:
     return mix(total + np.uint64(length))
 
 
-def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give memory that a task has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The task of ``mapInArrow``, releasing its memory at the end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded text size; one longer text makes a piece of its own."""
     if not batch.num_rows:
         return

@@ -196,7 +196,8 @@ def test_decontamination_against_brute_force(spark, none):
                 if n <= int(decontaminate.RATE * len(s)):
                     want.append((d, i, n))
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 15
-    hit = documents(spark, rows).where(decontaminate.contaminated(documents(spark, rows)["text"], bench))
+    docs = documents(spark, rows)
+    hit = docs.where(decontaminate.contaminated(docs["text"], bench))
     assert decontaminate.find_items(none, bench).count() == 0 and decontaminate.find_items(documents(spark, rows), bench.limit(0)).count() == 0
     assert {r["doc_id"] for r in hit.select("doc_id").collect()} == {d for d, _, _ in want}
 
