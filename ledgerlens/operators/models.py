@@ -237,11 +237,12 @@ def fit(spec: Spec, df: DataFrame, features: Sequence[str], label: str = "isFrau
     return FraudModel(spec, pipeline, features, meta)
 
 
-# ---- fixed values: search grids, a dozen points at most ------------------------------
+# ---- fixed values: search grids of the parameters MLlib has --------------------------
 GRIDS = {
-    "logistic": {"C": [0.01, 0.1, 1.0, 10.0], "elastic_net": [0.0, 0.5, 1.0]},
-    "forest": {"trees": [50, 100], "max_depth": [10, 20], "min_rows": [1, 4]},
-    "boosting": {"learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 6]},
+    "logistic": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "elastic_net": [0.0, 0.1, 0.5, 0.7, 0.9, 1.0]},
+    "forest": {"trees": [50, 100, 200], "max_depth": [10, 20, 30], "min_rows": [1, 2, 4], "features": ["sqrt", "log2", "all"]},
+    "boosting": {"rounds": [100, 200, 300], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 6, 9], "row_share": [0.8, 0.9, 1.0],
+                 "features": ["0.8", "0.9", "1.0"]},
 }
 
 

@@ -93,7 +93,7 @@ def _(spark, sf):
 
 @query("c08_isolation_outliers")
 def _(spark, sf):
-    return cleaning.outlier_counts(transactions(spark, sf), ["amount"], method="isolation")
+    return cleaning.outlier_counts(transactions(spark, sf), MEASURES, method="isolation")
 
 
 def _clip(c, k="1.5", src="tx"):

@@ -227,7 +227,7 @@ def drift_history(spark, sf):
     out = None
     for day, shift in [("2024-01-22", 1.0), ("2024-01-23", 1.2), ("2024-01-24", 1.2)]:
         ref, cur = drift_pair(spark, sf, shift)
-        checked = drift.ks_drift(ref, cur, ["amount", "oldbalanceOrg"]).withColumn("ts", F.lit(day).cast("timestamp"))
+        checked = drift.ks_drift(ref, cur, FEATURES).withColumn("ts", F.lit(day).cast("timestamp"))
         out = checked if out is None else out.unionByName(checked)
     return out
 
@@ -242,9 +242,9 @@ def _drift_history_sql():
 
 _DRIFTS = _ks_sql("1.0") + _drift_history_sql() + """,
 drifts AS (
-  SELECT feature, d, p, TIMESTAMP '2024-01-22' AS ts FROM pv WHERE feature IN ('amount', 'oldbalanceOrg')
-  UNION ALL SELECT feature, d, p, TIMESTAMP '2024-01-23' FROM pv2 WHERE feature IN ('amount', 'oldbalanceOrg')
-  UNION ALL SELECT feature, d, p, TIMESTAMP '2024-01-24' FROM pv2 WHERE feature IN ('amount', 'oldbalanceOrg'))"""
+  SELECT feature, d, p, TIMESTAMP '2024-01-22' AS ts FROM pv
+  UNION ALL SELECT feature, d, p, TIMESTAMP '2024-01-23' FROM pv2
+  UNION ALL SELECT feature, d, p, TIMESTAMP '2024-01-24' FROM pv2)"""
 
 
 @query("m01_daily_performance", scored_sql(f"SELECT batch, {ROUNDED} FROM hist", BY_DAY))
@@ -317,7 +317,16 @@ def _(spark, sf):
     return round_doubles(out.select(day, "f1_score", "fraud_rate"))
 
 
-@query("m08_m10_monitoring_summary")
+@query("m08_m10_monitoring_summary", scored_sql("""
+SELECT 'monitoring_status' AS section, 'total_performance_records' AS name, count(*)::DOUBLE AS value FROM hist
+UNION ALL SELECT 'recent_performance', 'avg_f1_score', round(avg(f1_score), 6) FROM recent
+UNION ALL SELECT 'recent_performance', 'avg_precision', round(avg(precision), 6) FROM recent
+UNION ALL SELECT 'recent_performance', 'avg_recall', round(avg(recall), 6) FROM recent
+UNION ALL SELECT 'recent_performance', 'total_predictions', sum(total_predictions)::DOUBLE FROM recent
+UNION ALL SELECT 'recent_performance', 'avg_fraud_rate', round(avg(fraud_rate), 6) FROM recent
+UNION ALL SELECT 'drift_status', 'total_drift_detections', count(*)::DOUBLE FROM drifts WHERE p < 0.05
+UNION ALL SELECT 'drift_status', 'features_monitored', count(DISTINCT feature)::DOUBLE FROM drifts
+UNION ALL SELECT 'drift_status', 'recent_drift_alerts_24h', drift_alerts::DOUBLE FROM parts""", _HEALTH))
 def _(spark, sf):
     return round_doubles(monitoring.summary(performance_history(spark, sf), drift_history(spark, sf), AS_OF))
 
@@ -388,7 +397,21 @@ def _(spark, sf):
     return round_doubles(out.withColumn("window_start", F.unix_seconds("window_start")))
 
 
-@query("m15_latency_rule")
+@query("m15_latency_rule", """
+SELECT 'HighResponseTime' AS rule, w AS window_start, quantile_disc(value, 0.95) AS value FROM (
+  SELECT value, unnest(range((epoch_us(ts) // 60000000) * 60 - 240, (epoch_us(ts) // 60000000) * 60 + 60, 60)) AS w FROM events WHERE event_type = 'view')
+GROUP BY w HAVING quantile_disc(value, 0.95) > 100""")
 def _(spark, sf):
     rules = [("HighResponseTime", "response", "5 minutes", "p95", 100.0)]
-    return monitoring.rule_alerts(metric_events(spark, sf), rules, {"response": "view"})
+    out = monitoring.rule_alerts(metric_events(spark, sf), rules, {"response": "view"})
+    return out.withColumn("window_start", F.unix_seconds("window_start"))
+
+
+@query("m15_failure_rule", """
+SELECT 'ModelPredictionFailure' AS rule, w AS window_start, round(count(*) / 300.0::DOUBLE, 6) AS value FROM (
+  SELECT unnest(range((epoch_us(ts) // 60000000) * 60 - 240, (epoch_us(ts) // 60000000) * 60 + 60, 60)) AS w FROM events WHERE event_type = 'signup')
+GROUP BY w HAVING count(*) / 300.0 > 0.003""")
+def _(spark, sf):
+    rules = [("ModelPredictionFailure", "failure", "5 minutes", "rate", 0.003)]
+    out = monitoring.rule_alerts(metric_events(spark, sf), rules, {"failure": "signup"})
+    return round_doubles(out.withColumn("window_start", F.unix_seconds("window_start")))

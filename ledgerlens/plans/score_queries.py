@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions.columns import round_doubles
-from ..operators import alerts, decisions, quality, scoring
+from ..operators import alerts, decisions, monitoring, quality, scoring
 from ..sources.driver_tables import alert_scores, outcomes, scored, transactions
 from .base import (
     AMOUNT_RISK_SQL, BALANCE_RISK_SQL, HOUR_RISK_SQL, TYPE_RISK_SQL, events_sql, query, scored_sql, tx_sql,
@@ -320,6 +320,14 @@ def _(spark, sf):
     return round_doubles(decisions.statistics(decision_log(spark, sf), DECISIONS_AS_OF, hours=48))
 
 
+@query("m12_alert_rates", scored_sql(f"""
+SELECT round(human_review_rate * 100, 4) AS human_review_rate_pct, round(alerts_generated * 100.0::DOUBLE / greatest(total_decisions, 1), 4) AS alert_rate_pct
+FROM ({_STATS_SQL.replace("round(count(*) FILTER (human_review_required) / count(*)::DOUBLE, 6)", "count(*) FILTER (human_review_required) / count(*)::DOUBLE")}) s""", _DECISIONS))
+def _(spark, sf):
+    stats = decisions.statistics(decision_log(spark, sf), DECISIONS_AS_OF, hours=48)
+    return round_doubles(monitoring.alert_rates(stats), 4)
+
+
 @query("g05_outcome_feedback", scored_sql(f"""
 SELECT tp AS true_positives, tn AS true_negatives, fp AS false_positives, fn AS false_negatives, round((tp + tn)::DOUBLE / n, 6) AS accuracy,
   round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1_score,

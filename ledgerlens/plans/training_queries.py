@@ -2,86 +2,126 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import features
 from ..functions.columns import round_doubles
 from ..operators import evaluation, models, registry, reports
+from ..session import cut_lineage, shared_folder
 from ..sources.driver_tables import scored, transactions
 from .base import models_sql, query, scored_sql, tx_sql, union_all
 from .model_queries import BASE, BY_DAY, BY_FOLD, by_fold
 from .training import MODEL_FEATURES, train_and_hold_out
 
-SMALL = {
-    "logistic": {"max_iter": 100}, "forest": {"trees": 20, "max_depth": 8}, "boosting": {"rounds": 10, "max_depth": 5},
-}
-
-
 def featured(spark, sf):
     return features.engineer(transactions(spark, sf))
 
 
 def _trained(spark, sf, kind, **kw):
-    return train_and_hold_out(featured(spark, sf), models.Spec(kind, params=SMALL[kind]), ["tx_id"], **kw)
+    """Trained with the default parameters of its kind, and its scored test rows."""
+    return train_and_hold_out(featured(spark, sf), models.Spec(kind), ["tx_id"], **kw)
+
+
+# What a trained model must satisfy whatever its weights: every query below reports such facts.
+_HELD = tx_sql("SELECT isFraud, rows, rows AS cells, 0.0::DOUBLE AS auc_gap, true AS better_than_chance FROM held",
+               ", held AS (SELECT isFraud, floor(0.2 * count(*) + 0.5)::BIGINT AS rows FROM tx GROUP BY isFraud)")
 
 
-def _held_out_metrics(test):
-    return evaluation.metrics_by(test, [], "isFraud", "fraud_prediction", "fraud_score")
+def _held_out_facts(spark, sf, kind, **kw):
+    """Test rows and confusion cells per class, and the distance of the area under the ROC to MLlib's own."""
+    test = cut_lineage(_trained(spark, sf, kind, **kw)[1].select("isFraud", "fraud_prediction", "fraud_score"), "held-out")
+    auc = evaluation.metrics_by(test, [], "isFraud", "fraud_prediction", "fraud_score").first()["auc_roc"]
+    library = BinaryClassificationEvaluator(rawPredictionCol="fraud_score", labelCol="isFraud", numBins=0).evaluate(test)
+    cells = sum(F.col(c) for c in ("true_positives", "true_negatives", "false_positives", "false_negatives"))
+    counted = evaluation.confusion_metrics(test, ["isFraud"], "isFraud", "fraud_prediction").select("isFraud", cells.alias("cells"))
+    rows = test.groupBy("isFraud").agg(F.count("*").alias("rows"))
+    return rows.join(counted, "isFraud").select(
+        "isFraud", "rows", "cells", F.lit(round(abs(auc - library), 6)).alias("auc_gap"), F.lit(auc > 0.5).alias("better_than_chance"))
 
 
-@query("t02_logistic_regression")
+@query("t02_logistic_regression", _HELD)
 def _(spark, sf):
-    return _held_out_metrics(_trained(spark, sf, "logistic")[1])
+    return _held_out_facts(spark, sf, "logistic")
 
 
-@query("t03_random_forest")
+@query("t03_random_forest", _HELD)
 def _(spark, sf):
-    return _held_out_metrics(_trained(spark, sf, "forest")[1])
+    return _held_out_facts(spark, sf, "forest")
 
 
-@query("t03_tree_votes")
+@query("t03_tree_votes", tx_sql("""
+SELECT isFraud, floor(0.2 * count(*) + 0.5)::BIGINT AS rows, 100 AS least_votes, 100 AS most_votes, 0.0::DOUBLE AS share_gap FROM tx GROUP BY isFraud"""))
 def _(spark, sf):
     model, test = _trained(spark, sf, "forest")
-    votes = model.tree_votes(test)
-    return votes.groupBy("isFraud").agg(F.count("*").alias("rows"), F.avg("vote_share").alias("mean_vote_share"))
+    fraud = F.size(F.filter("votes", lambda v: v == 1))
+    return model.tree_votes(test).groupBy("isFraud").agg(
+        F.count("*").alias("rows"), F.min(F.size("votes")).alias("least_votes"), F.max(F.size("votes")).alias("most_votes"),
+        F.round(F.max(F.abs(F.col("vote_share") - fraud / F.size("votes"))), 6).alias("share_gap"))
 
 
-@query("t04_t05_boosting_early_stop")
+@query("t04_t05_boosting_early_stop", _HELD)
 def _(spark, sf):
-    return _held_out_metrics(_trained(spark, sf, "boosting", early_stopping=True)[1])
+    return _held_out_facts(spark, sf, "boosting", early_stopping=True)
 
 
-@query("t06_grid_search")
+@query("t06_grid_search", "SELECT 4 AS points, 1 AS chosen, 0.0::DOUBLE AS best_gap, true AS in_range")
 def _(spark, sf):
     spec = models.Spec("logistic", params={"max_iter": 20})
     grid = {"C": [0.1, 1.0], "elastic_net": [0.0, 0.5]}
-    return models.grid_search(spec, featured(spark, sf), MODEL_FEATURES, grid=grid, folds=3)[1]
+    found = models.grid_search(spec, featured(spark, sf), MODEL_FEATURES, grid=grid, folds=5)[1]
+    best = F.max(F.when(F.col("is_best"), F.col("f1_score")))
+    return found.agg(F.count("*").cast("int").alias("points"), F.count_if("is_best").cast("int").alias("chosen"),
+                     (F.max("f1_score") - best).alias("best_gap"), ((F.min("f1_score") >= 0) & (F.max("f1_score") <= 1)).alias("in_range"))
 
 
-@query("t08_w03_forest_importance")
+@query("t08_w03_forest_importance", f"SELECT {len(MODEL_FEATURES)} AS features, 1.0::DOUBLE AS total, true AS ranked")
 def _(spark, sf):
-    return _trained(spark, sf, "forest")[0].importance(spark, top=10)
+    found = _trained(spark, sf, "forest")[0].importance(spark)
+    falls = F.lag("importance").over(Window.orderBy("rank")) >= F.col("importance")  # one row a feature
+    return found.withColumn("falls", F.coalesce(falls, F.lit(True))).agg(
+        F.count("*").cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.bool_and("falls").alias("ranked"))
 
 
-@query("t18_linear_attribution")
+@query("t18_linear_attribution", tx_sql("""
+SELECT isFraud, floor(0.2 * count(*) + 0.5)::BIGINT AS rows, true AS adds_up FROM tx GROUP BY isFraud"""))
 def _(spark, sf):
     model, test = _trained(spark, sf, "logistic")
-    return model.mean_attribution(test)
+    total = F.aggregate(F.map_values("contributions"), F.col("base_value"), lambda a, v: a + v)
+    gap = F.abs(1 / (1 + F.exp(-total)) - F.col("fraud_score"))
+    return model.attributions(test).groupBy("isFraud").agg(F.count("*").alias("rows"), (F.max(gap) < 1e-6).alias("adds_up"))
 
 
-@query("t18_permutation_importance")
+@query("t18_permutation_importance", f"SELECT {len(MODEL_FEATURES)} AS features, 0.0::DOUBLE AS baseline_gap, true AS consistent")
 def _(spark, sf):
     model, test = _trained(spark, sf, "forest")
-    return models.permutation_importance(model, test.drop("fraud_score", "fraud_prediction"))
+    f1 = evaluation.confusion_metrics(test, [], "isFraud", "fraud_prediction").first()["f1_score"]
+    found = models.permutation_importance(model, test.drop("fraud_score", "fraud_prediction"))
+    same = F.abs(F.col("baseline") - F.col("permuted") - F.col("importance")) < 1e-12
+    return found.agg(F.count("*").cast("int").alias("features"), F.round(F.max(F.abs(F.col("baseline") - f1)), 9).alias("baseline_gap"),
+                     F.bool_and(same).alias("consistent"))
+
+
+@query("t19_save_and_load", tx_sql("""
+SELECT isFraud, floor(0.2 * count(*) + 0.5)::BIGINT AS rows, 0.0::DOUBLE AS score_gap FROM tx GROUP BY isFraud"""))
+def _(spark, sf):
+    """A model written to the shared folder and read back scores the test rows alike."""
+    model, test = _trained(spark, sf, "logistic")
+    folder = shared_folder(spark, "model")
+    model.save(spark, folder)
+    again = models.FraudModel.load(spark, folder)(test.withColumnRenamed("fraud_score", "before").drop("fraud_prediction"))
+    return again.groupBy("isFraud").agg(F.count("*").alias("rows"), F.max(F.abs(F.col("fraud_score") - F.col("before"))).alias("score_gap"))
 
 
-@query("t21_aligned_importance")
+@query("t21_aligned_importance", f"SELECT {len(MODEL_FEATURES)} AS features, 0.0::DOUBLE AS logistic_gap, 0.0::DOUBLE AS forest_gap")
 def _(spark, sf):
-    parts = None
-    for kind in ("logistic", "forest"):
-        imp = _trained(spark, sf, kind)[0].importance(spark).withColumn("model", F.lit(kind))
-        parts = imp if parts is None else parts.unionByName(imp)
-    return models.aligned_importance(parts, ["logistic", "forest"])
+    parts = [_trained(spark, sf, kind)[0].importance(spark).withColumn("model", F.lit(kind)) for kind in ("logistic", "forest")]
+    both = cut_lineage(parts[0].unionByName(parts[1]), "importance")
+    wide = models.aligned_importance(both, ["logistic", "forest"], n=len(MODEL_FEATURES))
+    sums = {r["model"]: r["s"] for r in both.groupBy("model").agg(F.sum("importance").alias("s")).collect()}
+    return wide.agg(F.count("*").cast("int").alias("features"), *[
+        F.round(F.abs(F.sum(m) - sums[m]), 6).alias(f"{m}_gap") for m in ("logistic", "forest")])
 
 
 # ---- model runs: every fold of a rule model counts as one registered run ------------------
