@@ -61,7 +61,7 @@ def neighbour_query(spark, sf_dir):
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20)
 
 
-@_query("op7_sharding")
+@_query("op7_sharding", sharding.shard_documents_sql())
 def sharding_query(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 

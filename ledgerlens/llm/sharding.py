@@ -46,7 +46,8 @@ def number_in_shards(df: DataFrame, shard: str, order: Sequence[str], buckets: i
     them, so no shard is gathered; raise ``buckets`` with the rows.
     """
     rows = df.groupBy(shard, *order).agg(F.count(F.lit(1)).alias("_n"))
-    rows = settle(rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")), "shards")
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in order])), 1, 8)
+    rows = settle(rows.withColumn("_bucket", (F.conv(digits, 16, 10).cast("long") % buckets).cast("int")), "shards")
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (rows.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_total"))
                .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total"))
@@ -69,3 +70,30 @@ def shard_documents(df: DataFrame, shards: int = 8) -> DataFrame:
     numbered = number_in_shards(placed, "shard", ["doc_id", "size", "text_crc32"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
                            rendezvous(F.col("doc_id"), [1.0] * (shards + 1)).alias("grown_shard"))
+
+
+def shard_documents_sql(shards: int = 8) -> str:
+    """The same placement in SQL; the checksum is computed byte by byte with the usual table (polynomial 0xEDB88320)."""
+    def bid(s: int) -> str:
+        return f"-ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '#{s}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+    def place(n: int) -> str:
+        bids = ", ".join(bid(s) for s in range(n))
+        return f"CAST(list_position([{bids}], list_min([{bids}])) - 1 AS INTEGER)"
+
+    return f"""
+WITH step AS (
+  SELECT list(c ORDER BY n) AS p FROM (
+    SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(n))),
+bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (
+  SELECT doc_id, CAST(len(h) // 2 + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, p[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM bytes, step),
+placed AS (SELECT *, {place(shards)} AS shard, {place(shards + 1)} AS grown_shard,
+  ('0x' || substr(md5(concat_ws('|', doc_id, size, text_crc32)), 1, 8))::BIGINT % {BUCKETS} AS bucket FROM sums)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM placed"""
