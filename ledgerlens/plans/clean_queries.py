@@ -216,12 +216,16 @@ def _(spark, sf):
     return round_doubles(encoding.unscale(encoding.scale(tx, both), both), 2)
 
 
-@query("e08_fit_transform", tx_sql("""
-SELECT tx_id, dense_rank() OVER (ORDER BY type) - 1 AS type, round((amount - avg(amount) OVER ()) / stddev_pop(amount) OVER (), 6) AS amount,
-  round((oldbalanceOrg - avg(oldbalanceOrg) OVER ()) / stddev_pop(oldbalanceOrg) OVER (), 6) AS oldbalanceOrg, isFraud FROM tx"""))
+_TEXTS = ["type", "nameOrig", "nameDest"]
+
+
+@query("e08_fit_transform", tx_sql(
+    "SELECT tx_id, isFraud, " + ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}" for c in _TEXTS) + ", "
+    + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in ["step", *MEASURES]) + " FROM tx"))
 def encoded_transactions(spark, sf):
-    tx = transactions(spark, sf).select("tx_id", "type", "amount", "oldbalanceOrg", "isFraud")
-    return round_doubles(encoding.fit_encoder(tx, ["type"], ["amount", "oldbalanceOrg"]).transform(tx))
+    """All text columns as codes and all numbers scaled."""
+    tx = transactions(spark, sf).select("tx_id", "isFraud", *_TEXTS, "step", *MEASURES)
+    return round_doubles(encoding.fit_encoder(tx, _TEXTS, ["step", *MEASURES]).transform(tx))
 
 
 # ---- splits ------------------------------------------------------------------------
@@ -283,7 +287,7 @@ def _(spark, sf):
     return round_doubles(correlation.spearman(transactions(spark, sf)))
 
 
-_KENDALL = ["step", "amount", "oldbalanceDest"]
+_KENDALL = ["step", *MEASURES]
 
 
 @query("a15_kendall", tx_sql(union_all(
