@@ -88,11 +88,12 @@ def confusion_metrics(df: DataFrame, by: Sequence[str], label: str, prediction:
 
 def curve_points(df: DataFrame, by: Sequence[str], label: str, score: str,
                  buckets: int | None = None) -> DataFrame:
-    """(threshold, tpr, fpr, precision, recall) at every distinct score per group."""
+    """(threshold, tpr, fpr, precision, recall) at every distinct score per group: a table that can be as
+    long as the input."""
     by = list(by)
     swept = _swept(df, by, label, score, None, buckets)
     whole = swept.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    tied = swept.join(F.broadcast(whole), by) if by else swept.withColumns(
+    tied = swept.join(whole, by) if by else swept.withColumns(
         {c: whole.select(c).scalar() for c in ("_p", "_n")}
     )
     tp, fp = F.col("cum_tp"), F.col("cum_fp")

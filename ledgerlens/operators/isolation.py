@@ -53,15 +53,23 @@ class IsolationScores:
 
 
 def _sampled(df: DataFrame, column: str, trees: int, sample: int, seed: int) -> DataFrame:
-    """About ``sample`` rows for each tree, at most; the sample size does not grow with the data."""
-    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    """About ``sample`` rows for each tree, at most; the sample size does not grow with the data.
+
+    Rows are drawn by a hash of all their columns, so the sample does not depend on partitions.
+    """
+    rows = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.xxhash64(*df.columns).alias("k"))
     n = rows.count()
     share = min(1.0, 2.0 * trees * sample / max(n, 1))
-    picked = rows.sample(fraction=share, seed=seed) if share < 1 else rows.withColumn(
-        "copy", F.explode(F.sequence(F.lit(1), F.lit(int(min(trees, -(-2 * trees * sample // max(n, 1)))))))
-    )
-    keyed = picked.select("x", F.floor(F.rand(seed) * trees).cast("int").alias("tree"), F.rand(seed + 1).alias("r"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("r"))
+    copies = 1 if share < 1 else int(min(trees, -(-2 * trees * sample // max(n, 1))))
+    whole = 1 << 40
+    picked = rows.filter(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(whole)) < int(share * whole)).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+
+    def drawn(salt):
+        return F.xxhash64("k", "copy", F.lit(salt))
+
+    keyed = picked.select("x", F.pmod(drawn(seed + 1), F.lit(trees)).cast("int").alias("tree"), drawn(seed + 2).alias("r"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("r", "x"))
     return keyed.withColumn("rank", rank).filter(F.col("rank") <= sample).select("tree", "x")
 
 

@@ -100,13 +100,12 @@ def _prepared(df: DataFrame, features: Sequence[str], label: str, kind: str) ->
     return rows, counts
 
 
-ROWS_PER_PARTITION = 250_000
-
-
-def _balanced(rows: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
-    """Training rows in even partitions by key: one shuffle, then dozens of passes over them."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(cores, -(-n // ROWS_PER_PARTITION)), *key)
+def _balanced(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Training rows in even partitions by key (one per core at least, else as many as the cluster's
+    shuffles have): one shuffle, then dozens of passes over them."""
+    session = rows.sparkSession
+    parts = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *key)
 
 
 def check_features(df: DataFrame, features: Sequence[str]) -> None:
@@ -228,7 +227,7 @@ def fit(spec: Spec, df: DataFrame, features: Sequence[str], label: str = "isFrau
         ensure_checkpoint_folder(df.sparkSession)
     n = sum(counts.values())
     inputs = [f"_f{i}" for i in range(len(features))]
-    rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, *([VALIDATION] if validated else []), *key), n, key)
+    rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, *([VALIDATION] if validated else []), *key), key)
     pipeline = Pipeline(stages=[_assembler(features), _estimator(spec, n, validated)]).fit(rows)
     meta = {
         "training_seconds": time.time() - start, "training_rows": n, "feature_count": len(features),
@@ -255,7 +254,7 @@ def grid_search(spec: Spec, df: DataFrame, features: Sequence[str], label: str =
     rows = stratified_folds(rows, label, list(key), folds, spec.seed)
     inputs = [f"_f{i}" for i in range(len(features))]
     n = sum(counts.values())
-    rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, "fold", *key), n, key)
+    rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, "fold", *key), key)
     rows = cut_lineage(rows, "training")  # read by every fold and point
     est = _estimator(spec, n)
     params = {

@@ -54,6 +54,7 @@ def stratified_split(df: DataFrame, label: str, key: list[str], test_share: floa
 
 def train_test(df: DataFrame, label: str, key: list[str], test_share: float = 0.2,
                seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training rows, test rows); rows without a label are in neither."""
     marked = stratified_split(df, label, key, test_share, seed)
     return marked.filter(~F.col("is_test")).drop("is_test"), marked.filter("is_test").drop("is_test")
 
