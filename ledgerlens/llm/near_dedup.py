@@ -232,3 +232,23 @@ def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", size: int
     joined = keyed.join(kept, F.col("_llm_own") == F.col("_llm_key"), "left_semi")
     once = F.row_number().over(Window.partitionBy("_llm_own").orderBy("_llm_own"))
     return joined.withColumn("_llm_once", once).where("_llm_once = 1").select(*df.columns)
+
+
+def near_duplicates_sql(size: int, percent: int) -> str:
+    """Set sizes and components in SQL, by all pairs that share a shingle."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shingle = " || ' ' || ".join(f"ws[i + {k}]" for k in range(size))
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {size} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {size - 2}), lambda i: {shingle}) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, edge.v FROM reach JOIN edge ON reach.r = edge.u),
+least AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id JOIN least ON d = w.doc_id"""

@@ -50,7 +50,7 @@ def warc_query(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-@_query("op5_suffix_dedup")
+@_query("op5_suffix_dedup", suffix_dedup.repeated_spans_sql())
 def suffix_query(spark, sf_dir):
     return suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -71,7 +71,7 @@ def decontamination_query(spark, sf_dir):
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-@_query("op9_near_dedup")
+@_query("op9_near_dedup", near_dedup.near_duplicates_sql(3, 85))
 def near_dedup_query(spark, sf_dir):
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id",

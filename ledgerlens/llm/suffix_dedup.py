@@ -221,3 +221,19 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     kept = joined.withColumn(text, F.when(F.col("_llm_cuts").isNotNull(), without(text, "_llm_cuts")).otherwise(F.col(text)))
     kept = kept.where(F.col("_llm_cuts").isNull() | F.col(text).rlike(r"[^ \t\n\x0B\f\r]"))
     return kept.select(*df.columns)
+
+
+def repeated_spans_sql() -> str:
+    """The same spans in SQL, by a digest of every run of words."""
+    return rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+runs AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(ws) - {PASSAGE - 2}), lambda i: md5(array_to_string(ws[i:i + {PASSAGE - 1}], ' ')))) AS run,
+    unnest(range(0, len(ws) - {PASSAGE - 1})) AS a FROM words WHERE len(ws) >= {PASSAGE}),
+placed AS (SELECT doc_id, a, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) > 1 AS removed FROM runs),
+steps AS (
+  SELECT doc_id, a, removed, coalesce(CAST(a > lag(a) OVER (PARTITION BY doc_id, removed ORDER BY a) + {PASSAGE} AS INTEGER), 1) AS new
+  FROM placed WHERE n > 1),
+islands AS (SELECT doc_id, a, removed, sum(new) OVER (PARTITION BY doc_id, removed ORDER BY a) AS island FROM steps)
+SELECT doc_id, CAST(min(a) AS BIGINT) AS first_word, CAST(max(a) + {PASSAGE} - min(a) AS BIGINT) AS n_words, removed
+FROM islands GROUP BY doc_id, removed, island"""
