@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import cut_lineage
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 2000
+
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the folder of ``spark.checkpoint.dir`` and read it back.
 
     It cuts the lineage without tying rows to an executor, and a join of two settled
-    tables exchanges both sides, so the adaptive skew join may split a hot key.
+    tables exchanges both sides, so the adaptive skew join may split a hot key. While it is
+    written, Arrow batches hold at most ``TEXT_ROWS`` rows, since rows here carry whole texts.
     """
-    return cut_lineage(df, purpose)
+    conf = df.sparkSession.conf
+    before = conf.get(ARROW_ROWS)
+    conf.set(ARROW_ROWS, str(min(int(before), TEXT_ROWS) if int(before) > 0 else TEXT_ROWS))
+    try:
+        return cut_lineage(df, purpose)
+    finally:
+        conf.set(ARROW_ROWS, before)
 
 
 def whole_text(text: Column) -> Column:
