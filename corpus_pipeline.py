@@ -30,11 +30,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words and more that occur in an earlier place; drop texts left blank."""
-    cut = suffix_dedup.remove_repeats(docs)
-    if "n_chars" not in docs.columns:
-        return cut
-    kind = docs.schema["n_chars"].dataType
-    return cut.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    return suffix_dedup.remove_repeats(docs, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

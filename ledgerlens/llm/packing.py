@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +97,7 @@ def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", capaci
         vocab = owner.library.get_vocab(with_added_tokens=True)
         ends_sentence = np.zeros(max([*vocab.values(), end_id]) + 1, dtype=bool)
         ends_sentence[[i for t, i in vocab.items() if _SENTENCE_END.fullmatch(t)]] = True
-        sequence = TaskContext.get().partitionId() << 40
+        sequence = None
         keys, ids, starts, totals, held = [], [], [], [], 0
         kind = None
 
@@ -138,6 +137,8 @@ def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", capaci
 
         for batch in batches:
             kind = batch.column(0).type
+            if sequence is None and batch.num_rows:
+                sequence = batch.column(2)[0].as_py() << 40
             for part in slices(batch, 1):
                 done = owner.encode(part.column(1))
                 stops = np.cumsum(done.totals()).tolist()
@@ -154,5 +155,6 @@ def pack_documents(df: DataFrame, id: str = "doc_id", text: str = "text", capaci
             yield flush(True)
 
     id_kind = df.schema[id].dataType.simpleString()
-    rows = df.select(F.col(id).alias("doc_id"), F.col(text).cast("string"))
+    # the scan's own partition number stays the same if a later step coalesces partitions into one task
+    rows = df.select(F.col(id).alias("doc_id"), F.col(text).cast("string"), F.spark_partition_id().cast("long"))
     return rows.mapInArrow(tidy(pack), f"doc_id {id_kind}, {SCHEMA}")

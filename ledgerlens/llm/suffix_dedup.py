@@ -201,9 +201,10 @@ def cut_words(texts: pa.Array, spans: list[list[dict] | None]) -> list[str]:
     return out
 
 
-def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """``df`` with later occurrences of repeated passages cut from ``text``; words of a first one stay.
 
+    ``length`` names a column of text lengths, which is set anew where the text was cut.
     Texts of which no word is left are dropped; texts without removed spans stay as they are.
     """
     spans = repeated_spans(df, id, text)
@@ -219,6 +220,9 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     own = F.xxhash64(whole_text(df[text]))
     joined = df.join(cuts, df[id].eqNullSafe(F.col("_llm_id")) & (own == F.col("_llm_hash")), "left")
     kept = joined.withColumn(text, F.when(F.col("_llm_cuts").isNotNull(), without(text, "_llm_cuts")).otherwise(F.col(text)))
+    if length:
+        now = F.length(text).cast(df.schema[length].dataType)
+        kept = kept.withColumn(length, F.when(F.col("_llm_cuts").isNotNull(), now).otherwise(F.col(length)))
     kept = kept.where(F.col("_llm_cuts").isNull() | F.col(text).rlike(r"[^ \t\n\x0B\f\r]"))
     return kept.select(*df.columns)
 
@@ -226,7 +230,8 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 def repeated_spans_sql() -> str:
     """The same spans in SQL, by a digest of every run of words."""
     return rf"""
-WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
 runs AS (
   SELECT doc_id, unnest(list_transform(range(1, len(ws) - {PASSAGE - 2}), lambda i: md5(array_to_string(ws[i:i + {PASSAGE - 1}], ' ')))) AS run,
     unnest(range(0, len(ws) - {PASSAGE - 1})) AS a FROM words WHERE len(ws) >= {PASSAGE}),

@@ -92,7 +92,8 @@ def test_spans_equal_brute_force(spark):
 
 def test_cut_passages_stay_in_one_place(spark):
     rows = repeat_rows()
-    cut = suffix_dedup.remove_repeats(documents(spark, rows))
+    cut = suffix_dedup.remove_repeats(documents(spark, rows), length="n_chars")
+    assert cut.where("n_chars <> length(coalesce(text, ''))").count() == 0
     assert cut.columns == documents(spark, rows).columns
     texts = {r["doc_id"]: r["text"] for r in cut.select("doc_id", "text").collect()}
     removed = {d for d, _, _, gone in brute.repeats([(d, t) for d, t, _ in rows], 50) if gone}
@@ -209,6 +210,13 @@ def test_queries_run_on_the_smallest_tables(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_sequences_keep_their_names_when_partitions_are_coalesced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(6, "doc_id").sortWithinPartitions("doc_id")
+    pieces = packing.pack_documents(docs)
+    apart, together = (sorted(tuple(r) for r in p.select("doc_id", "start", "sequence_id", "offset").collect()) for p in (pieces, pieces.coalesce(1)))
+    assert apart == together and len({r[2] >> 40 for r in apart}) == 6
+
+
 def test_packing_padding_is_small(spark):
     pieces = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1))
     sizes = pieces.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
