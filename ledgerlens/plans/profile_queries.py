@@ -9,7 +9,7 @@ from ..functions.columns import report_rows, round_doubles
 from ..operators import patterns, profile, quality
 from ..schema import CATEGORICAL, COLUMNS, MEASURES, NUMERIC
 from ..sources.driver_tables import transactions, transactions_dirty, with_duplicates
-from .base import dirty_sql, query, tx_sql, union_all
+from .base import ORACLES, dirty_sql, query, tx_sql, union_all
 
 BIG = "BIGINT"
 LIST = ", ".join(COLUMNS)
@@ -351,7 +351,12 @@ def _(spark, sf):
     return profile.missing_patterns(transactions_dirty(spark, sf))
 
 
-@query("a11_quality_bundle")
+@query("a11_quality_bundle", f"""
+SELECT 'issues' AS section, concat_ws(':', issue, "column") AS name, rows AS value FROM ({ORACLES["p09_quality_issues"]})
+UNION ALL SELECT 'consistency', "check", rows FROM ({ORACLES["p05_p07_consistency_report"]})
+UNION ALL SELECT 'missing', unnest([{", ".join(f"'{c}'" for c in COLUMNS)}, '(rows with missing)']), 0
+UNION ALL SELECT 'missing', '(complete rows)', (SELECT n FROM ({tx_sql("SELECT count(*) AS n FROM tx")}))
+  + (SELECT rows FROM ({ORACLES["p05_p07_consistency_report"]}) WHERE "check" = 'duplicate_rows')""")
 def _(spark, sf):
     return profile.quality_bundle(with_duplicates(spark, sf))
 
@@ -531,6 +536,15 @@ def _(spark, sf):
     return round_doubles(patterns.risk_summary(transactions(spark, sf)))
 
 
-@query("r13_pattern_analysis_bundle")
+@query("r13_pattern_analysis_bundle", f"""
+SELECT 'ranked_factors' AS section, name, round(fraud_rate, 4) AS value FROM ({ORACLES["r11_ranked_risk_factors"]})
+UNION ALL SELECT 'category_summary', category, round(avg_fraud_rate, 4) FROM ({ORACLES["r12_risk_category_summary"]})
+UNION ALL SELECT 'fraud_by_hour', CAST(period AS VARCHAR), value FROM ({ORACLES["r01_fraud_series_hour_count"]})
+UNION ALL SELECT 'fraud_by_day', CAST(period AS VARCHAR), value FROM ({tx_sql('''
+SELECT s.p AS period, coalesce(v, 0)::DOUBLE AS value FROM (SELECT unnest(range(0, (SELECT max(step // 24) FROM tx) + 1)) AS p) s
+LEFT JOIN (SELECT step // 24 AS p, count(*) FILTER (isFraud = 1) AS v FROM tx GROUP BY 1) t ON s.p = t.p''')})
+UNION ALL SELECT 'behavior', name, value FROM (UNPIVOT (SELECT unusual_balance_fraud_rate, merchant_dest_fraud_rate, customer_dest_fraud_rate
+  FROM ({ORACLES["r03_customer_behavior"]})) ON COLUMNS(*) INTO NAME name VALUE value)""")
 def _(spark, sf):
-    return round_doubles(patterns.pattern_bundle(transactions(spark, sf)))
+    """The parts' rates to six and then four digits, as their counterparts report them."""
+    return round_doubles(round_doubles(patterns.pattern_bundle(transactions(spark, sf))), 4)
