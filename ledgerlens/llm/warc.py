@@ -9,9 +9,10 @@ Reading: archives are read front to back in fixed pieces; each gzip member is in
 its block framed by Content-Length and checked against the record's digest. A broken member,
 a wrong length or a wrong digest is an error.
 
-Defined cases: a null payload is empty; a null url is written as an empty target; rows of equal
-id are records of their own, the first revisited by the others only if their ids differ; an empty table gives
-no archive and no row; other columns are not written. Names are taken from ``spark.checkpoint.dir``.
+Defined cases: a null payload is empty; a null url is written as an empty target; rows of equal id
+are records of their own, all responses if theirs is the smallest id of the payload; a row with a
+null id is a response and never referred to; an empty table gives no archive and no row; other
+columns are not written. Archives lie in the folder of ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -198,7 +199,7 @@ def round_trip(df: DataFrame, id: str = "page_id", url: str = "url", payload: st
     archives = write_archives(mark_revisits(body, id, "payload", least_bytes), folder, id, url, "payload")
     kind = df.schema[id].dataType
     return read_archives(archives, with_payload=False).select(
-        F.col("id").cast(kind).alias(id), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+        F.col("id").try_cast(kind).alias(id), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast(kind).alias("refers_to"))
 
 
 def round_trip_sql() -> str:
