@@ -6,6 +6,10 @@ orderings. Each ordering is range-partitioned into blocks at quantiles of a boun
 keys. A query searches the window of neighbouring blocks around its own key on every curve; the
 windows' best candidates are merged and reranked by exact inner product in double precision.
 
+The curves order lifted vectors, so that near on a curve means a large inner product for vectors of
+any norm: entries get one more component that brings them to the largest norm of all, queries are
+scaled to that norm and get a zero. Scores are taken from the vectors as they are.
+
 The window is a share of the ordering (``window``), because in data without cluster structure the
 neighbours of a vector spread over a fixed share of every curve; lower it for clustered data.
 Equal vectors are one entry with their smallest ``k + 1`` ids, all that a result can hold.
@@ -104,6 +108,17 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def lifted(entries: np.ndarray, largest: float) -> np.ndarray:
+    """Entries with a component more, all of norm ``largest``."""
+    norm = np.linalg.norm(entries, axis=1)
+    return np.column_stack([entries, np.sqrt(np.maximum(largest - norm, 0)) * np.sqrt(largest + norm)])
+
+
+def levelled(queries: np.ndarray, largest: float) -> np.ndarray:
+    """Queries scaled to norm ``largest``, which keeps the order of their scores, with a zero more."""
+    return np.column_stack([queries * (largest / np.linalg.norm(queries, axis=1, keepdims=True)), np.zeros(len(queries))])
+
+
 def distinct_vectors(rows: DataFrame, ids: int, salts: int = 8) -> DataFrame:
     """One row per different vector with its smallest ``ids`` ids, chosen in two rounds."""
     keyed = rows.withColumn("key", F.sha2(F.to_json("vector"), 256))
@@ -121,7 +136,8 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
     """
     wanted = settle(usable(queries, id, vector).withColumn("key", F.sha2(F.to_json("vector"), 256)), "queries")
     entries = settle(distinct_vectors(usable(df, id, vector), k + 1).withColumn("number", F.xxhash64("key")), "entries")
-    total = entries.count()
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    total, largest = entries.agg(F.count(F.lit(1)), F.max(norm)).first()
     id_kind = df.schema[id].dataType.simpleString()
     if not total:
         return df.sparkSession.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
@@ -131,14 +147,14 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
     drawn = picked.select("vector").collect()  # at most ``sample`` vectors
     if not drawn:
         drawn = entries.orderBy("number").limit(sample).select("vector").collect()
-    fitted = Curves.fit(np.array([r["vector"] for r in drawn]), blocks, curves, dims, seed)
+    fitted = Curves.fit(lifted(np.array([r["vector"] for r in drawn]), largest), blocks, curves, dims, seed)
 
-    def place(width: int):
+    def place(width: int, moved):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = _vectors(batch.column(1))
                 for c in range(curves):
-                    own = fitted.block(c, v) if len(v) else np.zeros(0, np.int64)
+                    own = fitted.block(c, moved(v, largest)) if len(v) else np.zeros(0, np.int64)
                     for step in range(-width, width + 1):
                         at = own + step
                         fits = pa.array(np.flatnonzero((at >= 0) & (at < blocks)))
@@ -149,9 +165,9 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
         return run
 
     dealt = entries.select("key", "vector", "ids").mapInArrow(
-        tidy(place(0)), f"curve int, block int, key string, vector array<double>, ids array<{id_kind}>")
+        tidy(place(0, lifted)), f"curve int, block int, key string, vector array<double>, ids array<{id_kind}>")
     different = wanted.groupBy("key").agg(F.first("vector").alias("vector"))
-    sought = different.select("key", "vector").mapInArrow(tidy(place(reach)), "curve int, block int, key string, vector array<double>")
+    sought = different.select("key", "vector").mapInArrow(tidy(place(reach, levelled)), "curve int, block int, key string, vector array<double>")
     take = k + 1 + _SPARE
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -141,6 +141,21 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbours.search(df.limit(0), df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def varied_norms(n, width, sigma=0.7, seed=12):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, width))
+    return v / np.linalg.norm(v, axis=1, keepdims=True) * np.exp(sigma * rng.normal(size=(n, 1)))
+
+
+def test_neighbours_recall_of_varied_norms(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(varied_norms(6000, 64))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding", k=20).groupBy("query_id").agg({"vec_id": "collect_list"}).collect()
+    want = brute_neighbours(rows, lambda i: i % 20 == 0, 20)
+    recall = sum(len(set(r[1]) & set(want[r[0]])) for r in got) / (20 * len(want))
+    assert len(got) == len(want) and recall >= 0.9, recall
+
+
 def test_hilbert_keys_walk_the_grid():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = neighbours.hilbert_keys(grid, bits=3)
