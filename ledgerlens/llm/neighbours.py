@@ -10,6 +10,10 @@ The curves order lifted vectors, so that near on a curve means a large inner pro
 any norm: entries get one more component that brings them to the largest norm of all, queries are
 scaled to that norm and get a zero. Scores are taken from the vectors as they are.
 
+A group of a curve and a block is dealt out over parts, each of a bounded number of entries and of
+queries whatever the table holds: entries and queries are counted for each group, then split by hash.
+Every part of the entries meets every part of the queries in a task of its own.
+
 The window is a share of the ordering (``window``), because in data without cluster structure the
 neighbours of a vector spread over a fixed share of every curve; lower it for clustered data.
 Equal vectors are one entry with their smallest ``k + 1`` ids, all that a result can hold.
@@ -35,6 +39,7 @@ from .words import release, tidy
 
 BITS = 7
 _SPARE = 4
+_COPIES = 8192
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -128,10 +133,74 @@ def distinct_vectors(rows: DataFrame, ids: int, salts: int = 8) -> DataFrame:
     return final.groupBy("key").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def deal(queries: DataFrame, entries: DataFrame, fitted: Curves, largest: float, reach: int, query_rows: int, entry_rows: int):
+    """Queries and entries by ``curve``, ``block`` and ``part``: each pair that is to be scored on a curve meets in one part.
+
+    Both have ``key``, ``vector`` and ``number`` (a hash) first. The parts of a block are every part of
+    its entries with every part of its queries, as many as it takes to have about the given rows in each.
+    """
+    curves, blocks = len(fitted.bounds), len(fitted.bounds[0]) + 1
+    sides = {"queries": (queries, reach, levelled, query_rows), "entries": (entries, 0, lifted, entry_rows)}
+
+    def targets(batch: pa.RecordBatch, width: int, moved):
+        v = moved(_vectors(batch.column(1)), largest) if batch.num_rows else None
+        for c in range(curves if batch.num_rows else 0):
+            own = fitted.block(c, v)
+            for step in range(-width, width + 1):
+                rows = np.flatnonzero((own + step >= 0) & (own + step < blocks))
+                yield c, rows, (own + step)[rows]
+
+    def count(width: int, moved):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((curves, blocks), np.int64)
+            for batch in batches:
+                for c, _, at in targets(batch, width, moved):
+                    n[c] += np.bincount(at, minlength=blocks)
+            c, at = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n[c, at])], names=["curve", "block", "n"])
+        return run
+
+    parts = {side: np.zeros((curves, blocks), np.int64) for side in sides}
+    for side, (rows, width, moved, most) in sides.items():
+        counts = rows.mapInArrow(tidy(count(width, moved)), "curve int, block int, n long").groupBy("curve", "block").agg(F.sum("n").alias("n"))
+        for r in counts.collect():  # one row a curve and block
+            parts[side][r["curve"], r["block"]] = math.ceil(r["n"] / most)
+
+    def place(side: str, width: int, moved):
+        own_parts, other_parts = parts[side], parts["entries" if side == "queries" else "queries"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                number = batch.column(2).to_numpy()
+                for c, rows, at in targets(batch, width, moved):
+                    own, copies = number[rows] % own_parts[c, at], other_parts[c, at]
+                    ends = np.cumsum(copies)
+                    for lo in range(0, int(ends[-1]) if len(ends) else 0, _COPIES):
+                        copy = np.arange(lo, min(lo + _COPIES, int(ends[-1])))
+                        i = np.searchsorted(ends, copy, side="right")
+                        other = copy - (ends[i] - copies[i])
+                        part = other * own_parts[c, at[i]] + own[i] if side == "queries" else own[i] * copies[i] + other
+                        taken = pa.array(rows[i])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(i), c, np.int32)), pa.array(at[i].astype(np.int32)), pa.array(part),
+                             *[column.take(taken) for column in batch.columns]],
+                            names=["curve", "block", "part", *batch.schema.names])
+        return run
+
+    def dealt(side: str) -> DataFrame:
+        rows, width, moved, _ = sides[side]
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInArrow(tidy(place(side, width, moved)), f"curve int, block int, part long, {fields}")
+
+    return dealt("queries"), dealt("entries")
+
+
 def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20, curves: int = 10, dims: int = 6,
-           window: float = 0.1875, least_blocks: int = 16, block_rows: int = 16384, sample: int = 8192, seed: int = 7) -> DataFrame:
+           window: float = 0.1875, least_blocks: int = 16, block_rows: int = 16384, sample: int = 8192, seed: int = 7,
+           query_rows: int = 8192) -> DataFrame:
     """The ``k`` nearest rows found for each query: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
+    About ``block_rows`` entries and ``query_rows`` queries, as the hash deals them, meet in a task.
     ``queries`` is a part of ``df`` with the same columns; a row is never its own neighbour.
     """
     wanted = settle(usable(queries, id, vector).withColumn("key", F.sha2(F.to_json("vector"), 256)), "queries")
@@ -141,7 +210,8 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
     id_kind = df.schema[id].dataType.simpleString()
     if not total:
         return df.sparkSession.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
-    blocks = min(max(least_blocks, math.ceil(total / block_rows)), max(1, total // (8 * (k + 1))))  # none of few rows
+    blocks = min(max(least_blocks, math.ceil(total / block_rows)), max(1, total // (8 * (k + 1))),  # none of few rows
+                 max(1, sample // 8))  # nor more than the sample can bound
     reach = max(1, int(window * blocks / 2))
     picked = entries.where(F.pmod("number", F.lit(1 << 20)) < max(1, math.ceil(2 * sample * (1 << 20) / total))).orderBy("number").limit(sample)
     drawn = picked.select("vector").collect()  # at most ``sample`` vectors
@@ -149,25 +219,9 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
         drawn = entries.orderBy("number").limit(sample).select("vector").collect()
     fitted = Curves.fit(lifted(np.array([r["vector"] for r in drawn]), largest), blocks, curves, dims, seed)
 
-    def place(width: int, moved):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = _vectors(batch.column(1))
-                for c in range(curves):
-                    own = fitted.block(c, moved(v, largest)) if len(v) else np.zeros(0, np.int64)
-                    for step in range(-width, width + 1):
-                        at = own + step
-                        fits = pa.array(np.flatnonzero((at >= 0) & (at < blocks)))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(fits), c, np.int32)), pa.array(at[fits.to_numpy()].astype(np.int32)),
-                             *[batch.column(i).take(fits) for i in range(batch.num_columns)]],
-                            names=["curve", "block", *batch.schema.names])
-        return run
-
-    dealt = entries.select("key", "vector", "ids").mapInArrow(
-        tidy(place(0, lifted)), f"curve int, block int, key string, vector array<double>, ids array<{id_kind}>")
-    different = wanted.groupBy("key").agg(F.first("vector").alias("vector"))
-    sought = different.select("key", "vector").mapInArrow(tidy(place(reach, levelled)), "curve int, block int, key string, vector array<double>")
+    different = wanted.groupBy("key").agg(F.first("vector").alias("vector")).withColumn("number", F.xxhash64("key"))
+    sought, dealt = deal(different.select("key", "vector", "number"), entries.select("key", "vector", "number", "ids"),
+                         fitted, largest, reach, query_rows, block_rows)
     take = k + 1 + _SPARE
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -186,7 +240,7 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
         return pa.table({"query": left.column("key").take(pa.array(own, pa.int64())), "key": right.column("key").take(pa.array(other, pa.int64())),
                          "ids": right.column("ids").take(pa.array(other, pa.int64())), "score": pa.array(score, pa.float64())})
 
-    found = sought.groupBy("curve", "block").cogroup(dealt.groupBy("curve", "block")).applyInArrow(
+    found = sought.groupBy("curve", "block", "part").cogroup(dealt.groupBy("curve", "block", "part")).applyInArrow(
         nearest, f"query string, key string, ids array<{id_kind}>, score double")
     once = F.row_number().over(Window.partitionBy("query", "key").orderBy("score"))
     merged = found.withColumn("once", once).where("once = 1")

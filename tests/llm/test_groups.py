@@ -156,6 +156,28 @@ def test_neighbours_recall_of_varied_norms(spark):
     assert len(got) == len(want) and recall >= 0.9, recall
 
 
+def test_tasks_of_neighbours_are_bounded(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1800, 16))
+    v[:600] = v[0] + 1e-4 * rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = df.selectExpr("cast(vec_id as string) as key", "embedding as vector", "xxhash64(vec_id) as number")
+    largest = float(np.linalg.norm(v, axis=1).max())
+    fitted = neighbours.Curves.fit(neighbours.lifted(v, largest), 10, 3, 6, 7)
+    pairs = []
+    for most in (10**6, 60):
+        sought, dealt = neighbours.deal(rows.where("vec_id % 2 = 0"), rows, fitted, largest, 1, most, most)
+        group = ["curve", "block", "part"]
+        largest_group = [side.groupBy(*group).count().toPandas()["count"].max() for side in (sought, dealt)]
+        met = sought.join(dealt.withColumnRenamed("key", "other"), group).groupBy("curve", "block", "key", "other").count().toPandas()
+        assert met["count"].max() == 1
+        pairs.append((len(met), set(zip(met["key"], met["other"]))))
+        assert max(largest_group) <= 2 * most and (most == 60 or min(largest_group) > 300)
+    assert pairs[0] == pairs[1]
+    one, many = (sorted(tuple(r) for r in neighbours.search(df, df.where("vec_id % 9 = 0"), "vec_id", "embedding", k=5, query_rows=n).collect()) for n in (8192, 10))
+    assert one == many
+
+
 def test_hilbert_keys_walk_the_grid():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = neighbours.hilbert_keys(grid, bits=3)
