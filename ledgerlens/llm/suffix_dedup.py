@@ -17,6 +17,7 @@ are one document for the order of places; an empty table gives no span; other co
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,35 +155,59 @@ def repeated_runs(df: DataFrame, id: str, text: str) -> DataFrame:
     return alike.unionByName(single)
 
 
-def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans of repeated words per document: ``first_word``, ``n_words``, and ``removed`` if earlier elsewhere.
-
-    Kept spans join runs that occur first there, removed spans the later ones; both may overlap.
-    """
+def _joined(df: DataFrame, id: str, text: str, gap: int) -> DataFrame:
+    """Stretches of repeated runs, joined where the next run begins up to ``gap`` words after the last word of those before."""
     runs = repeated_runs(df, id, text).select("doc_id", "text_hash", "a", (F.col("z") + PASSAGE).alias("stop"), "later").distinct()
     key = ["doc_id", "text_hash", "later"]
     before = Window.partitionBy(*key).orderBy("a", "stop")
     reach = F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    starts = runs.withColumn("new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1)))
+    starts = runs.withColumn("new", F.coalesce((F.col("a") > reach + gap).cast("int"), F.lit(1)))
     islands = starts.withColumn("island", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy(*key, "island").agg(F.min("a").alias("first_word"), F.max("stop").alias("stop"))
     return spans.select("doc_id", "text_hash", F.col("first_word").cast("long"),
                         (F.col("stop") - F.col("first_word")).cast("long").alias("n_words"), F.col("later").alias("removed"))
 
 
-def cut_bounds(spans: list[dict]) -> list[tuple[int, int]]:
-    """Word bounds to cut: removed spans without the words of kept ones, so first places stay whole."""
-    kept = sorted((s["first_word"], s["first_word"] + s["n_words"]) for s in spans if not s["removed"])
-    out = []
-    for s in sorted((s for s in spans if s["removed"]), key=lambda s: s["first_word"]):
-        at, stop = s["first_word"], s["first_word"] + s["n_words"]
-        for a, z in kept:
-            if z > at and a < stop:
-                if a > at:
-                    out.append((at, a))
-                at = z
+def repeated_spans(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spans of repeated words per document: ``first_word``, ``n_words``, and ``removed`` if earlier elsewhere.
+
+    Kept spans join runs that occur first there, removed spans the later ones; both may overlap.
+    """
+    return _joined(df, id, text, 0)
+
+
+def cut_bounds(stretches: list[dict]) -> list[tuple[int, int]]:
+    """Word bounds to cut, in order, so that no later run stays whole.
+
+    ``stretches`` are of adjacent runs: every run inside a removed one has an earlier place. A later run
+    loses the words that no kept run covers; one without such words is cut whole. So first
+    places stay whole unless they overlap a later run which they cover, and each word still stands at
+    an earlier place.
+    """
+    kept: list[list[int]] = []
+    for a, z in sorted((s["first_word"], s["first_word"] + s["n_words"]) for s in stretches if not s["removed"]):
+        if kept and a <= kept[-1][1]:
+            kept[-1][1] = max(kept[-1][1], z)
+        else:
+            kept.append([a, z])
+    ends, cuts = [z for _, z in kept], []
+    for at, stop in ((s["first_word"], s["first_word"] + s["n_words"]) for s in stretches if s["removed"]):
+        for a, z in kept[bisect_right(ends, at):]:
+            if a >= stop:
+                break
+            if a > at:
+                cuts.append((at, a))
+            if min(z, stop) - max(a, at) >= PASSAGE:
+                cuts.append((max(a, at), min(z, stop)))
+            at = z
         if at < stop:
-            out.append((at, stop))
+            cuts.append((at, stop))
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(cuts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], z))
+        else:
+            out.append((a, z))
     return out
 
 
@@ -202,12 +227,12 @@ def cut_words(texts: pa.Array, spans: list[list[dict] | None]) -> list[str]:
 
 
 def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
-    """``df`` with later occurrences of repeated passages cut from ``text``; words of a first one stay.
+    """``df`` with later occurrences of repeated passages cut from ``text`` (see ``cut_bounds``).
 
     ``length`` names a column of text lengths, which is set anew where the text was cut.
     Texts of which no word is left are dropped; texts without removed spans stay as they are.
     """
-    spans = repeated_spans(df, id, text)
+    spans = _joined(df, id, text, 1 - PASSAGE)  # of adjacent runs
     cuts = settle(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_word", "n_words", "removed")).alias("_llm_cuts"))
                   .where(F.exists("_llm_cuts", lambda c: c["removed"])).select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), "_llm_cuts"), "cuts")
 

@@ -106,6 +106,20 @@ def test_cut_passages_stay_in_one_place(spark):
     assert suffix_dedup.remove_repeats(null_ids).count() > 0
 
 
+def test_no_passage_is_left_at_two_places(spark):
+    rng = random.Random(11)
+    p, q = ([f"{name}{i}" for i in range(n)] for name, n in (("p", 60), ("q", 97)))
+    around = {k: [f"{k}{i}" for i in range(20)] for k in "xyzuvw"}
+    fill = iter(sentence(rng, 40).replace(" ", f" r{i} ").split() for i in range(9))
+    texts = [next(fill) + p, next(fill) + around["x"] + p + around["y"] + next(fill), around["x"] + p + around["y"] + next(fill), next(fill) + q,
+             around["z"] + q + around["u"], next(fill) + around["z"] + q + around["u"], around["v"] + p[:30] + q + around["w"] + p, next(fill) + p[30:] + q]
+    cut = {r[0]: r[1].split() for r in suffix_dedup.remove_repeats(documents(spark, [(i, " ".join(t), None) for i, t in enumerate(texts)])).select("doc_id", "text").collect()}
+    runs = {tuple(t[i:i + 50]) for t in texts for i in range(len(t) - 49)}
+    left = Counter(tuple(t[i:i + 50]) for t in cut.values() for i in range(len(t) - 49))
+    assert not [r for r, n in left.items() if n > 1 and r in runs]
+    assert {w for t in texts for w in t} == {w for t in cut.values() for w in t} and cut[0] == texts[0] and cut[3] == texts[3]
+
+
 def brute_neighbours(rows, wanted, k):
     keep = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     x, ids = np.stack([v for _, v in keep]), np.array([i for i, _ in keep])
