@@ -124,9 +124,15 @@ def levelled(queries: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack([queries * (largest / np.linalg.norm(queries, axis=1, keepdims=True)), np.zeros(len(queries))])
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """Rows with the ``key`` of their vector, those of equal id and vector as one."""
+    keyed = rows.withColumn("key", F.sha2(F.to_json("vector"), 256))
+    return keyed.groupBy("id", "key").agg(F.first("vector").alias("vector"))
+
+
 def distinct_vectors(rows: DataFrame, ids: int, salts: int = 8) -> DataFrame:
     """One row per different vector with its smallest ``ids`` ids, chosen in two rounds."""
-    keyed = rows.withColumn("key", F.sha2(F.to_json("vector"), 256))
+    keyed = once(rows)
     salted = Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(salts))).orderBy("id")
     few = keyed.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= ids)
     final = few.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= ids)
@@ -203,7 +209,7 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
     About ``block_rows`` entries and ``query_rows`` queries, as the hash deals them, meet in a task.
     ``queries`` is a part of ``df`` with the same columns; a row is never its own neighbour.
     """
-    wanted = settle(usable(queries, id, vector).withColumn("key", F.sha2(F.to_json("vector"), 256)), "queries")
+    wanted = settle(once(usable(queries, id, vector)), "queries")
     entries = settle(distinct_vectors(usable(df, id, vector), k + 1).withColumn("number", F.xxhash64("key")), "entries")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     total, largest = entries.agg(F.count(F.lit(1)), F.max(norm)).first()
@@ -242,8 +248,8 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
 
     found = sought.groupBy("curve", "block", "part").cogroup(dealt.groupBy("curve", "block", "part")).applyInArrow(
         nearest, f"query string, key string, ids array<{id_kind}>, score double")
-    once = F.row_number().over(Window.partitionBy("query", "key").orderBy("score"))
-    merged = found.withColumn("once", once).where("once = 1")
+    again = F.row_number().over(Window.partitionBy("query", "key").orderBy("score"))
+    merged = found.withColumn("again", again).where("again = 1")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0], "key")
     top = settle(merged.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1 + _SPARE)
                  .groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near")), "near")

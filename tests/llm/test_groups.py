@@ -170,6 +170,16 @@ def test_neighbours_recall_of_varied_norms(spark):
     assert len(got) == len(want) and recall >= 0.9, recall
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))] + [(500 + i, None) for i in range(3)]
+    rows[200:] = [(i, rows[5][1]) for i, _ in rows[200:]]
+    more = rows + [rows[5]] * 30 + [rows[8]] * 30
+    once, often = (spark.createDataFrame(r, "vec_id long, embedding array<double>").repartition(3) for r in (rows, more))
+    want, got = (sorted(tuple(r) for r in neighbours.search(df, df.where("vec_id < 20"), "vec_id", "embedding", k=20).collect()) for df in (once, often))
+    assert got == want and len(want) == 400
+
+
 def test_tasks_of_neighbours_are_bounded(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(1800, 16))
