@@ -99,6 +99,13 @@ class Curves:
         return np.searchsorted(self.bounds[c], self.key(c, vectors), side="right")
 
 
+def windows(own: np.ndarray, window: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last block to search around each own block: at least the share ``window`` of all, moved inwards at the ends."""
+    reach = max(1, math.ceil((window * blocks - 1) / 2))
+    first = np.clip(own - reach, 0, max(0, blocks - 2 * reach - 1))
+    return first, np.minimum(first + 2 * reach, blocks - 1)
+
+
 def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
     """Rows that take part: ``id``, ``vector`` as doubles."""
     v = F.col(vector).cast("array<double>")
@@ -139,24 +146,25 @@ def distinct_vectors(rows: DataFrame, ids: int, salts: int = 8) -> DataFrame:
     return final.groupBy("key").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def deal(queries: DataFrame, entries: DataFrame, fitted: Curves, largest: float, reach: int, query_rows: int, entry_rows: int):
+def deal(queries: DataFrame, entries: DataFrame, fitted: Curves, largest: float, window: float, query_rows: int, entry_rows: int):
     """Queries and entries by ``curve``, ``block`` and ``part``: each pair that is to be scored on a curve meets in one part.
 
     Both have ``key``, ``vector`` and ``number`` (a hash) first. The parts of a block are every part of
     its entries with every part of its queries, as many as it takes to have about the given rows in each.
     """
     curves, blocks = len(fitted.bounds), len(fitted.bounds[0]) + 1
-    sides = {"queries": (queries, reach, levelled, query_rows), "entries": (entries, 0, lifted, entry_rows)}
+    sides = {"queries": (queries, window, levelled, query_rows), "entries": (entries, None, lifted, entry_rows)}
 
-    def targets(batch: pa.RecordBatch, width: int, moved):
+    def targets(batch: pa.RecordBatch, width: float | None, moved):
         v = moved(_vectors(batch.column(1)), largest) if batch.num_rows else None
         for c in range(curves if batch.num_rows else 0):
             own = fitted.block(c, v)
-            for step in range(-width, width + 1):
-                rows = np.flatnonzero((own + step >= 0) & (own + step < blocks))
-                yield c, rows, (own + step)[rows]
+            first, last = (own, own) if width is None else windows(own, width, blocks)
+            for step in range(int((last - first).max()) + 1):
+                rows = np.flatnonzero(first + step <= last)
+                yield c, rows, (first + step)[rows]
 
-    def count(width: int, moved):
+    def count(width: float | None, moved):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros((curves, blocks), np.int64)
             for batch in batches:
@@ -172,7 +180,7 @@ def deal(queries: DataFrame, entries: DataFrame, fitted: Curves, largest: float,
         for r in counts.collect():  # one row a curve and block
             parts[side][r["curve"], r["block"]] = math.ceil(r["n"] / most)
 
-    def place(side: str, width: int, moved):
+    def place(side: str, width: float | None, moved):
         own_parts, other_parts = parts[side], parts["entries" if side == "queries" else "queries"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +226,6 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
         return df.sparkSession.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
     blocks = min(max(least_blocks, math.ceil(total / block_rows)), max(1, total // (8 * (k + 1))),  # none of few rows
                  max(1, sample // 8))  # nor more than the sample can bound
-    reach = max(1, int(window * blocks / 2))
     picked = entries.where(F.pmod("number", F.lit(1 << 20)) < max(1, math.ceil(2 * sample * (1 << 20) / total))).orderBy("number").limit(sample)
     drawn = picked.select("vector").collect()  # at most ``sample`` vectors
     if not drawn:
@@ -227,7 +234,7 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
 
     different = wanted.groupBy("key").agg(F.first("vector").alias("vector")).withColumn("number", F.xxhash64("key"))
     sought, dealt = deal(different.select("key", "vector", "number"), entries.select("key", "vector", "number", "ids"),
-                         fitted, largest, reach, query_rows, block_rows)
+                         fitted, largest, window, query_rows, block_rows)
     take = k + 1 + _SPARE
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:

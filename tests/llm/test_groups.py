@@ -155,6 +155,22 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbours.search(df.limit(0), df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def window_recall(vectors, wanted, blocks, k=20, window=0.1875, curves=10, dims=6):
+    """Recall of the windows that a search with production parameters looks through."""
+    largest = np.linalg.norm(vectors, axis=1).max()
+    entries, queries = neighbours.lifted(vectors, largest), neighbours.levelled(vectors[wanted], largest)
+    fitted = neighbours.Curves.fit(entries[:8192], blocks, curves, dims, 7)
+    scores = vectors[wanted] @ vectors.T
+    scores[np.arange(len(wanted)), wanted] = -np.inf
+    best = np.argpartition(-scores, k, axis=1)[:, :k]
+    found = np.zeros(best.shape, bool)
+    for c in range(curves):
+        first, last = neighbours.windows(fitted.block(c, queries), window, blocks)
+        at = fitted.block(c, entries)[best]
+        found |= (at >= first[:, None]) & (at <= last[:, None])
+    return found.mean()
+
+
 def varied_norms(n, width, sigma=0.7, seed=12):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, width))
@@ -170,6 +186,15 @@ def test_neighbours_recall_of_varied_norms(spark):
     assert len(got) == len(want) and recall >= 0.9, recall
 
 
+@pytest.mark.parametrize("blocks", [16, 21, 22, 42, 61])
+def test_windows_hold_their_share(spark, blocks):
+    first, last = neighbours.windows(np.arange(blocks), 0.1875, blocks)
+    assert ((last - first + 1) / blocks >= 0.1875).all() and (first >= 0).all() and (last < blocks).all()
+    vectors = np.array([r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()], float)
+    for v in (vectors, varied_norms(4000, 64)):
+        assert window_recall(v, np.arange(0, len(v), 20), blocks) >= 0.93
+
+
 def test_neighbours_of_repeated_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))] + [(500 + i, None) for i in range(3)]
@@ -190,7 +215,7 @@ def test_tasks_of_neighbours_are_bounded(spark):
     fitted = neighbours.Curves.fit(neighbours.lifted(v, largest), 10, 3, 6, 7)
     pairs = []
     for most in (10**6, 60):
-        sought, dealt = neighbours.deal(rows.where("vec_id % 2 = 0"), rows, fitted, largest, 1, most, most)
+        sought, dealt = neighbours.deal(rows.where("vec_id % 2 = 0"), rows, fitted, largest, 0.3, most, most)
         group = ["curve", "block", "part"]
         largest_group = [side.groupBy(*group).count().toPandas()["count"].max() for side in (sought, dealt)]
         met = sought.join(dealt.withColumnRenamed("key", "other"), group).groupBy("curve", "block", "key", "other").count().toPandas()
