@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array (operator 5).
+"""Repeated passages by sparse suffixes, grouped by hash in place of a suffix array (operator 5).
 
 A passage repeats if ``passage`` consecutive words stand at two places of the corpus. Of all
 suffixes only those at minimisers are kept: every run of ``passage`` words has the leftmost
