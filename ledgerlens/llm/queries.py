@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, language_id, license_scan, near_dedup, neighbours, packing, sharding, suffix_dedup, token_counts, warc,
+    centroids, decontaminate, importance, language_id, license_scan, near_dedup, neighbours, packing, sharding, suffix_dedup,
+    token_counts, toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,22 @@ def language_query(spark, sf_dir):
     named = documents.select("doc_id", out.alias("held_out"), language_id.identify(model, F.col("text")).alias("found"))
     return named.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"),
                         F.col("found.rejected").alias("rejected"))
+
+
+@_query("op11_toxicity")
+def toxicity_query(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_id.held_out(F.col("doc_id"))
+    model = toxicity.fit(documents.where(~out), _table(spark, sf_dir, "labels"))
+    return documents.select("doc_id", out.alias("held_out"), toxicity.score(model, F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query("op12_importance_resampling", importance.resample_sql())
+def importance_query(spark, sf_dir):
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_centroid_clustering", centroids.cluster_embeddings_sql())
+def clustering_query(spark, sf_dir):
+    return centroids.cluster_embeddings(_table(spark, sf_dir, "embeddings"))
