@@ -254,25 +254,27 @@ class Model:
         return np.clip(0.98 * level + 0.02 * rising, 0.0, 1.0)
 
 
-def log_odds(toxic, clean, all_toxic, all_clean, log, root, margin: float = 1.5):
+def log_odds(toxic, clean, all_toxic, all_clean, log, root, margin: float = 2.0):
     """Logarithm of the ratio of both shares, less ``margin`` standard errors; for numbers or columns."""
     ratio = log((toxic + 0.5) / (all_toxic + 1.0)) - log((clean + 0.5) / (all_clean + 1.0))
     return ratio - margin * root(1.0 / (toxic + 0.5) + 1.0 / (clean + 0.5))
 
 
 def _monotone(evidence: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising step curve of the weighted share of toxic texts (adjacent violators pooled), each step with half a text more of either kind."""
-    blocks: list[list[float]] = []  # evidence sum, toxic, weight, rows
+    """Rising curve of the weighted share of toxic texts: level where adjacent violators are pooled, straight between.
+
+    Each level counts one text more with the mean share.
+    """
+    blocks: list[list[float]] = []  # least and most evidence, toxic, weight, rows
     for e in np.unique(evidence):
         own = evidence == e
-        blocks.append([e * own.sum(), (weight * toxic)[own].sum(), weight[own].sum(), own.sum()])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+        blocks.append([e, e, (weight * toxic)[own].sum(), weight[own].sum(), own.sum()])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
             last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-    at = np.array([b[0] / b[3] for b in blocks])
+            blocks[-1] = [blocks[-1][0], last[1], *(x + y for x, y in zip(blocks[-1][2:], last[2:]))]
     mean = float((weight * toxic).sum() / weight.sum())
-    share = np.array([(b[1] + mean * b[2] / b[3]) / (b[2] + b[2] / b[3]) for b in blocks])
-    return at, np.maximum.accumulate(share)
+    share = np.maximum.accumulate([(t + mean * w / n) / (w + w / n) for _, _, t, w, n in blocks])
+    return np.array([x for b in blocks for x in b[:2]]), np.repeat(share, 2)
 
 
 def _drawn(documents: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
@@ -333,7 +335,28 @@ def _by_text(text: np.ndarray, stem: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield int(text[a]), stem[a:z]
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192, lexicon: int = 8192, least_texts: int = 3, least_weight: float = 1.5) -> Model:
+def choose_stems(counts: dict[int, tuple[int, int]], all_toxic: int, all_clean: int, least_texts: int, least_weight: float) -> dict[int, float]:
+    """The heaviest stems first; none below a chosen one, and one above chosen ones by what these leave of its texts."""
+    def weigh(t: int, c: int) -> float:
+        return float(log_odds(t, c, all_toxic, all_clean, np.log, np.sqrt)) if t >= least_texts else 0.0
+
+    chosen: dict[int, float] = {}
+    below: dict[int, list[int]] = {}  # of each possible prefix, the texts of the chosen stems under it
+    for weight, stem in sorted(((weigh(*n), k) for k, n in counts.items()), reverse=True):
+        over = [stem & int(_MASKS[k]) for k in range(SHORTEST, LONGEST + 1)]
+        if weight < least_weight or any(o in chosen for o in over if o != stem):
+            continue
+        t, c = counts[stem]
+        if stem in below:
+            weight = weigh(max(0, t - below[stem][0]), max(0, c - below[stem][1]))
+        if weight >= least_weight:
+            chosen[stem] = weight
+            for o in set(over) - {stem}:
+                below[o] = [x + y for x, y in zip(below.get(o, [0, 0]), (t, c))]
+    return chosen
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192, lexicon: int = 8192, least_texts: int = 5, least_weight: float = 1.5) -> Model:
     """Learn from the texts of ``documents`` that ``labels`` marks with ``toxic`` 0 or 1."""
     seeds = _seed_keys()
     drawn, sizes = _drawn(documents, labels, sample)
@@ -351,15 +374,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 8192, lexicon: in
     rows = {r["stem"] % (1 << 64): r for r in [*top.collect(), *general.collect()]}  # at most lexicon rows and the seeds
 
     def learned(halves: Sequence[int]) -> Lexicon:
-        weights = {}
         n1, n0 = (sum(of[label][h] for h in halves) for label in (1, 0))
-        for k, r in rows.items():
-            t, c = (sum(r[f"{x}{h}"] for h in halves) for x in "tc")
-            w = float(log_odds(t, c, n1, n0, np.log, np.sqrt))
-            if t >= least_texts and w >= least_weight:
-                weights[k] = w
-            elif seeds.get(k) in (INSULT, THREAT) and t + c >= 8:
-                weights[k] = 0.0  # a general word that is common in clean texts here
+        counts = {k: tuple(sum(r[f"{x}{h}"] for h in halves) for x in "tc") for k, r in rows.items()}
+        weights = choose_stems(counts, n1, n0, least_texts, least_weight)
+        for k, (t, c) in counts.items():
+            if seeds.get(k) in (INSULT, THREAT) and t + c >= 8:
+                weights.setdefault(k, 0.0)  # a general word that is common in clean texts here
         return Lexicon.of(weights, seeds)
 
     other = {0: learned([1]), 1: learned([0])}
