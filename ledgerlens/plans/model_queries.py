@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
-from ..operators import drift, evaluation, monitoring
+from ..operators import drift, evaluation, monitoring, timers
 from ..schema import MEASURES
-from ..sources.driver_tables import drift_pair, metric_events, model_scores, scored, transactions
+from ..sources.driver_tables import drift_pair, metric_events, model_scores, scored, table, transactions
 from .base import models_sql, query, scored_sql, tx_sql, union_all
 
 EPOCH = 1704067200
@@ -373,6 +374,42 @@ def _(spark, sf):
     return round_doubles(monitoring.histogram_window(metric_events(spark, sf), "2024-01-20 00:00:00", hours=240), 4)
 
 
+# Clicks start a user's timer, purchases stop it.
+TIMERS_SQL = """
+WITH moves AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'click' AS is_start FROM events WHERE event_type IN ('click', 'purchase')),
+summed AS (SELECT *, sum(CASE WHEN is_start THEN 1 ELSE -1 END) OVER w AS h FROM moves WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+grounded AS (SELECT *, least(0, coalesce(min(h) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS g FROM summed),
+placed AS (SELECT *, CAST(CASE WHEN is_start THEN h - g WHEN h < g THEN 0 ELSE h - g + 1 END AS BIGINT) AS depth FROM grounded),
+followed AS (SELECT *, lead(event_id) OVER w AS stop_id, lead(us) OVER w AS stop_us FROM placed WINDOW w AS (PARTITION BY user_id, depth ORDER BY us, event_id)),
+timers AS (
+  SELECT user_id, event_id AS start_id, stop_id, us AS start_us, stop_us, (stop_us - us) / 1000.0::DOUBLE AS duration_ms, depth, 'matched' AS status
+  FROM followed WHERE is_start AND stop_us - us <= 43200000000
+  UNION ALL SELECT user_id, event_id, NULL, us, NULL, NULL, depth, 'unfinished' FROM followed WHERE is_start AND (stop_us IS NULL OR stop_us - us > 43200000000)
+  UNION ALL SELECT user_id, NULL, stop_id, NULL, stop_us, NULL, 0, 'unstarted' FROM followed WHERE is_start AND stop_us - us > 43200000000
+  UNION ALL SELECT user_id, NULL, event_id, NULL, us, NULL, 0, 'unstarted' FROM followed WHERE NOT is_start AND depth = 0)"""
+
+
+def timer_events(events: DataFrame) -> DataFrame:
+    kinds = events.where(F.col("event_type").isin("click", "purchase"))
+    return kinds.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "click").alias("is_start"))
+
+
+@query("m13_timers", TIMERS_SQL + "SELECT * FROM timers")
+def _(spark, sf):
+    return timers.match_timers(timer_events(table(spark, sf, "events")), ["user_id"], expiry_seconds=12 * 3600)
+
+
+@query("m13_timer_histogram", TIMERS_SQL + """
+SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END || '_duration_ms' AS name, count(*) AS readings, min(duration_ms) AS min, max(duration_ms) AS max,
+  round(avg(duration_ms), 4) AS avg FROM timers
+WHERE status = 'matched' AND stop_us BETWEEN epoch_us(TIMESTAMP '2024-01-10 00:00:00') AND epoch_us(TIMESTAMP '2024-01-20 00:00:00') GROUP BY 1""")
+def _(spark, sf):
+    found = timers.match_timers(timer_events(table(spark, sf, "events")), ["user_id"], expiry_seconds=12 * 3600)
+    readings = timers.timer_readings(found, F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
+    return round_doubles(monitoring.histogram_window(readings, "2024-01-20 00:00:00", hours=240), 4)
+
+
 METRIC_SUMMARY_SQL = """
 SELECT epoch(time_bucket(INTERVAL '5 minutes', ts))::BIGINT AS window_start, event_type AS name, count(*) AS count, min(value) AS min, max(value) AS max,
   round(avg(value), 4) AS avg, round(sum(value), 4) AS sum FROM events GROUP BY 1, 2"""

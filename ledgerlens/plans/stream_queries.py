@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import decisions, scoring
 from ..sources import driver_tables as tables
-from ..streaming import cooldown, run, scoring as stream_scoring, windows
+from ..streaming import cooldown, run, scoring as stream_scoring, timers, windows
 from .base import events_sql, query, scored_sql
+from .model_queries import TIMERS_SQL, timer_events
 from .score_queries import _DECISIONS, _EMITTED, LEVEL_SQL, SLOW
 
 
@@ -61,6 +62,14 @@ def _(spark, sf):
     return round_doubles(run.drain(out, "rule").withColumn("window_start", F.unix_seconds("window_start")))
 
 
+@query("m13_timers_stream", TIMERS_SQL + """,
+passed AS (SELECT (epoch_ms(max(ts)) - 600000) * 1000 AS until FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT user_id, start_id, stop_id, start_us, stop_us, status, duration_ms FROM timers, passed
+WHERE CASE WHEN status = 'unfinished' THEN start_us + 43200000000 <= until ELSE stop_us <= until END""")
+def _(spark, sf):
+    return run.drain(timers.timer_stream(timer_events(tables.stream(spark, sf, "events")), ["user_id"], expiry_seconds=12 * 3600), "timers")
+
+
 @query("g04_stream_decision_statistics", scored_sql("""
 SELECT ts // 86400 * 86400 AS window_start, count(*) AS total_decisions, count(*) FILTER (prediction = 1) AS fraud_predictions,
   count(*) FILTER (risk_level = 'low') AS low_count, count(*) FILTER (risk_level = 'medium') AS medium_count, count(*) FILTER (risk_level = 'high') AS high_count,
