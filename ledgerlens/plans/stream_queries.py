@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import decisions, scoring
 from ..sources import driver_tables as tables
-from ..streaming import cooldown, run, scoring as stream_scoring, timers, windows
-from .base import events_sql, query, scored_sql
+from ..session import shared_folder
+from ..streaming import cooldown, progress, run, scoring as stream_scoring, timers, windows
+from .base import RULE_SCORE_SQL, events_sql, query, scored_sql, tx_sql
 from .model_queries import TIMERS_SQL, timer_events
 from .score_queries import _DECISIONS, _EMITTED, LEVEL_SQL, SLOW
 
@@ -32,6 +33,49 @@ def _(spark, sf):
     return run.drain(out.select("tx_id", "fraud_score", "fraud_prediction", "risk_level"), "score")
 
 
+# Requests with broken fields; every 43rd comes in a second wave, when most of those are later than ten days.
+_REQUESTS = f""",
+requests AS (SELECT * REPLACE (CASE WHEN tx_id % 29 = 0 THEN -amount ELSE amount END AS amount, CASE WHEN tx_id % 31 = 0 THEN 'GIFT' ELSE type END AS type) FROM tx),
+passed AS (SELECT max(step) - 240 AS until FROM tx WHERE tx_id % 43 <> 0),
+judged AS (SELECT *, tx_id % 43 = 0 AND step <= until AS late, concat_ws(',', CASE WHEN tx_id % 29 = 0 THEN 'amount' END,
+  CASE WHEN tx_id % 31 = 0 THEN 'type' END) AS errors FROM requests, passed)"""
+
+
+def _waves(spark, sf):
+    """Score the planted requests in two waves; the folder of the outputs and the totals of both runs."""
+    tx = tables.transactions(spark, sf)
+    k = F.col("tx_id")
+    tx = tx.withColumns({"amount": F.when(k % 29 == 0, -F.col("amount")).otherwise(F.col("amount")),
+                         "type": F.when(k % 31 == 0, F.lit("GIFT")).otherwise(F.col("type"))})
+    folder = shared_folder(spark, "requests")
+    runs = []
+    with progress.totals(spark) as seen:
+        for wave in (k % 43 != 0, k % 43 == 0):
+            tx.filter(wave).write.mode("append").parquet(f"{folder}/in")
+            stream = stream_scoring.once_each(spark.readStream.schema(tx.schema).parquet(f"{folder}/in"), tables.booking_time(), "10 days")
+            scoring_run = stream_scoring.start_scoring(stream, folder, F.col("ts"), once=True)
+            scoring_run.awaitTermination()
+            runs.append(seen.of(scoring_run))
+    return folder, runs
+
+
+@query("d02_dead_letters", tx_sql(f"""
+SELECT tx_id, CASE WHEN errors = '' THEN 'scored' ELSE 'quarantined' END AS status, CASE WHEN errors = '' THEN {RULE_SCORE_SQL} END AS fraud_score, errors
+FROM judged WHERE NOT late""", _REQUESTS))
+def _(spark, sf):
+    folder, _ = _waves(spark, sf)
+    scored = run.read_output(spark, folder, "decisions").select(
+        F.col("transaction_id").cast("long").alias("tx_id"), F.lit("scored").alias("status"), "fraud_score", F.lit("").alias("errors"))
+    broken = run.read_output(spark, folder, "quarantine").select(
+        "tx_id", F.lit("quarantined").alias("status"), F.lit(None).cast("double").alias("fraud_score"), F.array_join("errors", ",").alias("errors"))
+    return scored.unionByName(broken)
+
+
+@query("d02_late_rows", tx_sql("SELECT count(*) AS received, count(*) FILTER (late) AS late FROM judged", _REQUESTS))
+def _(spark, sf):
+    return progress.as_row(spark, _waves(spark, sf)[1])
+
+
 @query("l03_alert_cooldown_stream", events_sql(
     "SELECT tx_id, threshold_name, nameOrig, epoch_us(ts) AS us FROM alerts", _EMITTED, recursive=True))
 def _(spark, sf):

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import alerts, decisions
+from ledgerlens.operators.scoring import rule_scorer
 from ledgerlens.sources import driver_tables
-from ledgerlens.streaming import cooldown, run, scoring, windows
+from ledgerlens.streaming import cooldown, progress, run, scoring, windows
 
 from .conftest import SF
 from .test_alerts import T, frame, greedy, rows_of
@@ -58,3 +59,33 @@ def test_empty_feedback_window(spark):
     d = decisions.decide(driver_tables.scored(spark, SF), ts=driver_tables.booking_time())
     got = decisions.feedback(d, driver_tables.outcomes(spark, SF), "2030-01-01").collect()
     assert len(got) == 1 and not got[0].total_predictions
+
+
+def test_a_batch_is_scored_once_and_late_rows_are_counted(spark, tmp_path):
+    tx = driver_tables.transactions(spark, SF).orderBy("tx_id").limit(200)
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(df):
+        calls.add(1)  # on the driver: once a plan
+        return rule_scorer()(df)
+
+    folder, runs = str(tmp_path / "out"), []
+    waves = [(tx, 700), (tx.limit(5), 3), (tx.limit(4).withColumn("tx_id", F.col("tx_id") + 10_000), 3), (tx.limit(3).withColumn("tx_id", F.col("tx_id") + 20_000), 699)]
+    with progress.totals(spark) as seen:
+        for rows, step in waves:
+            rows.withColumn("step", F.lit(step).cast(tx.schema["step"].dataType)).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = scoring.once_each(spark.readStream.schema(tx.schema).parquet(str(tmp_path / "in")), driver_tables.booking_time(), "2 days")
+            query = scoring.start_scoring(stream, folder, F.col("ts"), scorer=scorer, once=True)
+            query.awaitTermination()
+            runs.append(seen.of(query))
+    assert [r.received for r in runs] == [200, 5, 4, 3] and [r.late for r in runs] == [0, 5, 4, 0]
+    assert run.read_output(spark, folder, "decisions").count() == 203
+    assert calls.value == sum(r.batches for r in runs)
+
+
+def test_repeated_requests_are_scored_once(spark, tmp_path):
+    tx = driver_tables.transactions(spark, SF).orderBy("tx_id").limit(50)
+    tx.unionByName(tx).write.parquet(str(tmp_path / "in"))
+    stream = scoring.once_each(spark.readStream.schema(tx.schema).parquet(str(tmp_path / "in")), driver_tables.booking_time(), "2 days")
+    scoring.start_scoring(stream, str(tmp_path / "out"), F.col("ts"), once=True).awaitTermination()
+    assert run.read_output(spark, str(tmp_path / "out"), "decisions").count() == 50
