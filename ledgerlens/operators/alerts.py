@@ -271,6 +271,11 @@ def retained(alerts: DataFrame, as_of, days: int = RETENTION_DAYS_ALERTS) -> Dat
     return since(alerts, as_of, days=days)
 
 
+def oldest_kept(as_of, days: int = RETENTION_DAYS_ALERTS) -> Column:
+    """The limit before which ``retention.drop_before`` deletes."""
+    return F.lit(as_of).cast("timestamp") - F.make_dt_interval(days=F.lit(days))
+
+
 def severity_share(alerts: DataFrame) -> DataFrame:
     """Count and share of the four severities; others are ignored."""
     known = alerts.select(F.upper("severity").alias("severity")).filter(F.col("severity").isin(SEVERITIES))

@@ -6,10 +6,10 @@ a projection (plus a filter where rows are dropped) without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,10 +245,24 @@ def repair_balances(df: DataFrame) -> DataFrame:
 
 
 # ---- whole cleaning ------------------------------------------------------------
-def clean(df: DataFrame, strategy: str = "auto", method: str = "iqr", threshold: float = 1.5,
-          fix_balances: bool = True, imputation: Imputation | None = None,
-          outlier_on: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, counters). Give ``imputation`` to reuse fitted fills."""
+@dataclass
+class _Steps:
+    """The filled rows with a mark for each outlier, what becomes of them, and the numbers known from fitting."""
+
+    marked: DataFrame
+    counted: dict[str, Column]
+    finish: Callable[[DataFrame], DataFrame]
+    handled: int
+    converted: int
+
+    def counters(self, outliers, violations) -> dict:
+        """Names and values of the counters; the two given may be columns or numbers."""
+        return {"missing_values_handled": int(self.handled), "outliers_detected": outliers, "outliers_treated": outliers,
+                "data_type_conversions": self.converted, "business_rule_violations": violations}
+
+
+def _steps(df: DataFrame, strategy: str, method: str, threshold: float, fix_balances: bool, imputation: Imputation | None,
+           outlier_on: list[str] | None) -> _Steps:
     changed = sum(1 for f in TRANSACTION.fields
                   if f.name in df.columns and df.schema[f.name].dataType != f.dataType)
     typed = convert_types(df)
@@ -257,22 +271,39 @@ def clean(df: DataFrame, strategy: str = "auto", method: str = "iqr", threshold:
     columns = outlier_columns(filled) if outlier_on is None else outlier_on
     fences = iqr_fences(filled, columns, threshold)
     masks = outlier_masks(filled, columns, method, threshold, fences)
+    marks = F.lit(0).cast("bigint")
+    for m in masks.values():
+        marks = marks + F.coalesce(m, F.lit(False)).cast("bigint")
+    marked = filled.withColumn("_outliers", marks)
     if method == "iqr":
-        treated = clip_to(filled, fences)
+        treated = clip_to(marked, fences)
     else:
-        treated = treat_outliers(filled, "clip", columns, method, threshold)
-    out = repair_balances(treated) if fix_balances else treated
-    found = filled.agg(*[F.count_if(m).alias(c) for c, m in masks.items()])
-    total = F.lit(0).cast("bigint")
-    for c in masks:
-        total = total + F.col(c)
-    outliers = found.select(total.alias("n")).scalar()
-    broken = treated.agg(F.count_if(off_balance(*REPAIRED_TYPES)).alias("n")).scalar() if fix_balances \
-        else F.lit(0).cast("bigint")
-    stats = df.sparkSession.range(1).select(
-        F.lit(imputation.handled).cast("bigint").alias("missing_values_handled"),
-        outliers.alias("outliers_detected"), outliers.alias("outliers_treated"),
-        F.lit(changed).cast("bigint").alias("data_type_conversions"),
-        broken.alias("business_rule_violations"),
-    )
-    return out, stats
+        treated = treat_outliers(marked, "clip", columns, method, threshold)
+    broken = off_balance(*REPAIRED_TYPES).cast("bigint") if fix_balances else F.lit(0).cast("bigint")
+    counted = {"outliers": F.coalesce(F.sum("_outliers"), F.lit(0)).cast("bigint"), "violations": F.coalesce(F.sum(broken), F.lit(0)).cast("bigint")}
+
+    def finish(rows: DataFrame) -> DataFrame:
+        return (repair_balances(rows) if fix_balances else rows).drop("_outliers")
+
+    return _Steps(treated, counted, finish, imputation.handled, changed)
+
+
+def clean(df: DataFrame, strategy: str = "auto", method: str = "iqr", threshold: float = 1.5,
+          fix_balances: bool = True, imputation: Imputation | None = None,
+          outlier_on: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, counters). Give ``imputation`` to reuse fitted fills. The counters are one aggregate of their own;
+    ``write_clean`` takes them while it writes."""
+    steps = _steps(df, strategy, method, threshold, fix_balances, imputation, outlier_on)
+    seen = steps.marked.agg(*[c.alias(n) for n, c in steps.counted.items()])
+    named = steps.counters(F.col("outliers"), F.col("violations"))
+    return steps.finish(steps.marked), seen.select(*[(v if isinstance(v, Column) else F.lit(v).cast("bigint")).alias(n) for n, v in named.items()])
+
+
+def write_clean(df: DataFrame, path: str, strategy: str = "auto", method: str = "iqr", threshold: float = 1.5,
+                fix_balances: bool = True, imputation: Imputation | None = None,
+                outlier_on: list[str] | None = None, mode: str = "error") -> dict[str, int]:
+    """Write the clean rows to ``path`` and return the counters, observed while the rows pass by: no scan is added."""
+    steps = _steps(df, strategy, method, threshold, fix_balances, imputation, outlier_on)
+    seen = Observation()
+    steps.finish(steps.marked.observe(seen, *[c.alias(n) for n, c in steps.counted.items()])).write.mode(mode).parquet(path)
+    return steps.counters(seen.get["outliers"], seen.get["violations"])

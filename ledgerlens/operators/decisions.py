@@ -128,3 +128,8 @@ def retained(decisions: DataFrame, as_of) -> DataFrame:
     """Rows within their own retention period."""
     age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds("ts")
     return decisions.filter(age <= F.col("data_retention_days").cast("bigint") * 86400)
+
+
+def kept_until() -> Column:
+    """The end of a row's own retention period; a table written by it (``retention.write_days``) drops expired days."""
+    return F.timestamp_seconds(F.unix_seconds("ts") + F.col("data_retention_days").cast("bigint") * 86400)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import cleaning, correlation, encoding, splitting
 from ..schema import COLUMNS, MEASURES
+from ..session import shared_folder
 from ..sources.driver_tables import transactions, transactions_dirty
 from .base import dirty_sql, query, tx_sql, union_all
 
@@ -152,15 +153,24 @@ def clean_transactions(spark, sf):
     return round_doubles(cleaning.clean(transactions_dirty(spark, sf))[0], 4)
 
 
-@query("c12_cleaning_counters", dirty_sql(f"""
+_COUNTERS = dirty_sql(f"""
 SELECT (SELECT count(*) * 4 - count(amount) - count(type) - count(oldbalanceDest) - count(newbalanceDest) FROM dirty) AS missing_values_handled,
   o AS outliers_detected, o AS outliers_treated, 0::BIGINT AS data_type_conversions,
   (SELECT count(*) FROM clipped WHERE type IN ('CASH_IN', 'CASH_OUT') AND abs({EXPECTED} - newbalanceOrig) > 0.01) AS business_rule_violations
-FROM (SELECT {" + ".join(f"count(*) FILTER ({_outside(c, '1.5', 'filled')})" for c in MEASURES)} AS o FROM filled)""", _CLEAN))
+FROM (SELECT {" + ".join(f"count(*) FILTER ({_outside(c, '1.5', 'filled')})" for c in MEASURES)} AS o FROM filled)""", _CLEAN)
+
+
+@query("c12_cleaning_counters", _COUNTERS)
 def _(spark, sf):
     return cleaning.clean(transactions_dirty(spark, sf))[1]
 
 
+@query("c12_observed_counters", _COUNTERS)
+def _(spark, sf):
+    found = cleaning.write_clean(transactions_dirty(spark, sf), shared_folder(spark, "clean"))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} bigint" for c in found))
+
+
 # ---- encoding --------------------------------------------------------------------
 @query("e01_detect_types", tx_sql("""
 SELECT "column", CASE WHEN d / n < 0.05 AND d < 20 THEN 'categorical' ELSE 'numerical' END AS kind FROM (""" + union_all(

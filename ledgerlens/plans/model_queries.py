@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
-from ..operators import drift, evaluation, monitoring, timers
+from ..operators import drift, evaluation, monitoring, retention, timers
 from ..schema import MEASURES
 from ..sources.driver_tables import drift_pair, metric_events, model_scores, scored, table, transactions
+from ..session import shared_folder
 from .base import models_sql, query, scored_sql, tx_sql, union_all
 
 EPOCH = 1704067200
@@ -337,6 +338,14 @@ def _(spark, sf):
     return monitoring.retained(performance_history(spark, sf), "2024-02-10 00:00:00").agg(F.count("*").alias("rows"))
 
 
+@query("m09_days_left", scored_sql("SELECT CAST(DATE '2024-01-01' + CAST(batch AS INTEGER) AS VARCHAR) AS day, 1::BIGINT AS rows FROM hist WHERE batch >= 11", BY_DAY))
+def _(spark, sf):
+    folder, at = shared_folder(spark, "history"), F.col("ts")
+    retention.write_days(performance_history(spark, sf), folder, at)
+    retention.drop_before(spark, folder, "2024-01-11 12:00:00", at)
+    return retention.read_days(spark, folder).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
+
+
 @query("m11_limit_alerts", scored_sql("""
 SELECT type, severity, metric, threshold, round(current_value, 6) AS current_value FROM (
   SELECT 'accuracy_low' AS type, 'medium' AS severity, 'accuracy' AS metric, 0.8::DOUBLE AS threshold, accuracy AS current_value, accuracy < 0.8 AS hit FROM base

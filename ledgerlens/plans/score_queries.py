@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions.columns import round_doubles
-from ..operators import alerts, decisions, monitoring, quality, scoring
+from ..operators import alerts, decisions, monitoring, quality, retention, scoring
+from ..session import shared_folder
 from ..sources.driver_tables import alert_scores, outcomes, scored, transactions
 from .base import (
     AMOUNT_RISK_SQL, BALANCE_RISK_SQL, HOUR_RISK_SQL, TYPE_RISK_SQL, events_sql, query, scored_sql, tx_sql,
@@ -254,6 +255,20 @@ def _(spark, sf):
     return alerts.retained(raised(spark, sf), "2024-02-04 00:00:00").select("alert_id")
 
 
+def days_left(spark, df, at, limit, purpose):
+    """Rows a day after ``df`` was written by day and the days before ``limit`` were dropped."""
+    folder = shared_folder(spark, purpose)
+    retention.write_days(df, folder, at)
+    retention.drop_before(spark, folder, limit, at)
+    return retention.read_days(spark, folder).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
+
+
+@query("l10_days_left", events_sql("""
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows FROM alerts WHERE ts >= TIMESTAMP '2024-01-11 09:30:00' GROUP BY 1""", _EMITTED, recursive=True))
+def _(spark, sf):
+    return days_left(spark, raised(spark, sf), F.col("ts"), alerts.oldest_kept("2024-02-10 09:30:00"), "alerts")
+
+
 @query("l11_severity_share", events_sql("""
 SELECT s.severity, count(a.severity) AS alerts, round(count(a.severity) / (SELECT count(*) FROM alerts)::DOUBLE, 6) AS share
 FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS severity) s LEFT JOIN alerts a ON lower(a.severity) = s.severity GROUP BY s.severity""", _EMITTED, recursive=True))
@@ -347,6 +362,13 @@ def _(spark, sf):
     return decisions.retained(decision_log(spark, sf), "2031-01-24 00:00:00").agg(F.count("*").alias("rows"))
 
 
+@query("g06_days_left", scored_sql("""
+SELECT strftime(to_timestamp(ts + 2555 * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS rows FROM decisions
+WHERE ts + 2555 * 86400 >= epoch(TIMESTAMP '2031-01-24 07:00:00') GROUP BY 1""", _DECISIONS))
+def _(spark, sf):
+    return days_left(spark, decision_log(spark, sf), decisions.kept_until(), "2031-01-24 07:00:00", "decisions")
+
+
 @query("j01_latest_outcome_join", scored_sql("SELECT decision_id, prediction, actual_outcome FROM decisions", _DECISIONS))
 def _(spark, sf):
     return decisions.with_outcomes(decision_log(spark, sf), outcomes(spark, sf)).select("decision_id", "prediction", "actual_outcome")

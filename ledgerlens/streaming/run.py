@@ -1,9 +1,7 @@
-"""Start streams: to a table, or fanned out to several."""
+"""Start streams to a table and read their outputs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,23 +26,5 @@ def drain(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
-def fan_out(stream: DataFrame, outputs: Mapping[str, Callable[[DataFrame], DataFrame]], folder: str,
-            once: bool = False, interval: str = "1 minute") -> StreamingQuery:
-    """Write several projections of each micro-batch under ``folder/<name>/batch=<id>``.
-
-    A repeated batch overwrites its own folder, so retries leave no copies.
-    """
-    def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            for name, build in outputs.items():
-                build(batch).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-        finally:
-            batch.unpersist()
-
-    trigger = {"availableNow": True} if once else {"processingTime": interval}
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start()
-
-
 def read_output(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}").drop("batch")

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import cleaning, encoding, isolation, quality
 from ledgerlens.schema import TRANSACTION
+from ledgerlens.sources import driver_tables
+
+from .conftest import SF
 
 SAMPLE = [
     (1, "CASH_IN", 1000.0, "C1", 2000.0, 3000.0, "C2", 0.0, 0.0, 0, 0),
@@ -123,3 +126,27 @@ def test_scaling_inverts(spark, kind, span):
     if kind == "minmax":
         r = encoding.scale(df, s).agg(F.min("x"), F.max("x")).first()
         assert (r[0], r[1]) == pytest.approx(span)
+
+
+def test_counters_are_observed_while_the_rows_are_written(spark, tmp_path):
+    tx = driver_tables.transactions_dirty(spark, SF)
+    rows, counters = cleaning.clean(tx)
+    seen = cleaning.write_clean(tx, str(tmp_path / "clean"))
+    assert seen == counters.first().asDict() and seen["outliers_detected"] > 0 and seen["business_rule_violations"] > 0
+    written = spark.read.parquet(str(tmp_path / "clean"))
+    assert written.columns == rows.columns and written.exceptAll(rows).count() == 0 == rows.exceptAll(written).count()
+
+
+def test_counting_adds_no_scan(spark, tmp_path):
+    tx, read = driver_tables.transactions_dirty(spark, SF), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    watched, fills = tx.mapInArrow(count, tx.schema), cleaning.fit_imputation(tx)
+    cleaning.clean(watched, imputation=fills)[0].write.parquet(str(tmp_path / "a"))
+    uncounted = read.value
+    cleaning.write_clean(watched, str(tmp_path / "b"), imputation=fills)
+    assert 0 < uncounted == read.value - uncounted
