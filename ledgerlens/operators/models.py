@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..schema import RISK_THRESHOLD
 from ..session import cut_lineage, ensure_checkpoint_folder
+from . import attribution
 from .evaluation import confusion_metrics
 from .splitting import stratified_folds, stratified_split
 
@@ -176,10 +177,14 @@ class FraudModel:
         ).drop(FEATURES, *names, *work)
 
     def attributions(self, df: DataFrame) -> DataFrame:
-        """Exact additive contributions of a linear model: ``base_value`` plus one
-        ``coefficient * (value - mean)`` per feature gives the log-odds."""
+        """Exact additive contributions: ``base_value`` plus one part per feature.
+
+        Of a linear model ``coefficient * (value - mean)``, adding up to the log-odds; of trees the parts along their paths,
+        adding up to the probability (forest) or half the log-odds (boosting).
+        """
         if self.spec.kind != "logistic":
-            raise ValueError("additive contributions need a linear model; use permutation_importance")
+            check_features(df, self.features)
+            return attribution.attribute(df, self.core, self.spec.kind, self.features)
         means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in self.features]).first()
         coefs = dict(zip(self.features, [float(v) for v in self.core.coefficients]))
         base = float(self.core.intercept) + sum(coefs[c] * (means[c] or 0.0) for c in self.features)

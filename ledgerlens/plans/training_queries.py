@@ -93,6 +93,27 @@ def _(spark, sf):
     return model.attributions(test).groupBy("isFraud").agg(F.count("*").alias("rows"), (F.max(gap) < 1e-6).alias("adds_up"))
 
 
+_ADDS_UP = tx_sql("SELECT isFraud, floor(0.2 * count(*) + 0.5)::BIGINT AS rows, true AS adds_up FROM tx GROUP BY isFraud")
+
+
+def _tree_attribution(spark, sf, kind, link, **kw):
+    """Whether base value and contributions of every held-out row give its score."""
+    model, test = _trained(spark, sf, kind, **kw)
+    margin = F.aggregate(F.map_values("contributions"), F.col("base_value"), lambda a, v: a + v)
+    gap = F.abs(link(margin) - F.col("fraud_score"))
+    return model.attributions(test).groupBy("isFraud").agg(F.count("*").alias("rows"), (F.max(gap) < 1e-9).alias("adds_up"))
+
+
+@query("t18_forest_attribution", _ADDS_UP)
+def _(spark, sf):
+    return _tree_attribution(spark, sf, "forest", lambda m: m)
+
+
+@query("t18_boosting_attribution", _ADDS_UP)
+def _(spark, sf):
+    return _tree_attribution(spark, sf, "boosting", lambda m: 1 / (1 + F.exp(-2 * m)), early_stopping=True)
+
+
 @query("t18_permutation_importance", f"SELECT {len(MODEL_FEATURES)} AS features, 0.0::DOUBLE AS baseline_gap, true AS consistent")
 def _(spark, sf):
     model, test = _trained(spark, sf, "forest")
