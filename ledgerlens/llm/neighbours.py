@@ -38,8 +38,8 @@ from .store import settle
 from .words import release, tidy
 
 BITS = 7
-_SPARE = 4
 _COPIES = 8192
+_PAIRS = 1 << 16
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -146,6 +146,31 @@ def distinct_vectors(rows: DataFrame, ids: int, salts: int = 8) -> DataFrame:
     return final.groupBy("key").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def id_order(ids: pa.ChunkedArray) -> np.ndarray:
+    """The place of each entry's smallest id among those of all entries."""
+    least = [row[0].as_py() for row in ids]
+    return np.unique(np.array(least), return_inverse=True)[1] if least else np.zeros(0, np.int64)
+
+
+def best_pairs(q: np.ndarray, x: np.ndarray, order: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its ``take`` entries of largest exact score, equal ones in order of id: query, entry, score.
+
+    A fast product finds all that may be among them, whatever the number of ties; sums from the first component on decide.
+    """
+    fast = q @ x.T
+    n = min(take, len(x))
+    least = -np.partition(-fast, n - 1, axis=1)[:, n - 1]
+    slack = 1e-14 * (len(x[0]) + 1) * np.abs(q).max(axis=1) * np.abs(x).max() * len(x[0])
+    own, other = np.nonzero(fast >= (least - slack)[:, None])
+    score = np.empty(len(own))
+    for lo in range(0, len(own), _PAIRS):
+        score[lo: lo + _PAIRS] = np.cumsum(q[own[lo: lo + _PAIRS]] * x[other[lo: lo + _PAIRS]], axis=1)[:, -1]
+    by = np.lexsort((order[other], -score, own))
+    own, other, score = own[by], other[by], score[by]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    return own[place < n], other[place < n], score[place < n]
+
+
 def deal(queries: DataFrame, entries: DataFrame, fitted: Curves, largest: float, window: float, query_rows: int, entry_rows: int):
     """Queries and entries by ``curve``, ``block`` and ``part``: each pair that is to be scored on a curve meets in one part.
 
@@ -235,20 +260,13 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
     different = wanted.groupBy("key").agg(F.first("vector").alias("vector")).withColumn("number", F.xxhash64("key"))
     sought, dealt = deal(different.select("key", "vector", "number"), entries.select("key", "vector", "number", "ids"),
                          fitted, largest, window, query_rows, block_rows)
-    take = k + 1 + _SPARE
+    take = k + 1  # a query's own id may be one of them
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         q, x = (_vectors(t.column("vector").combine_chunks()) for t in (left, right))
-        own, other, score = [], [], []
-        for lo in range(0, len(q) if len(x) else 0, 512):
-            part = q[lo: lo + 512]
-            all_scores = part @ x.T
-            best = np.argpartition(-all_scores, min(take, len(x)) - 1, axis=1)[:, :take] if len(x) > take else np.tile(np.arange(len(x)), (len(part), 1))
-            exact = np.cumsum(part[:, None, :] * x[best], axis=2)[:, :, -1]  # summed from the first component on
-            own.append(np.repeat(np.arange(lo, lo + len(part)), best.shape[1]))
-            other.append(best.ravel())
-            score.append(exact.ravel())
-        own, other, score = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (own, other, score))
+        kept = [best_pairs(q[lo: lo + 512], x, id_order(right.column("ids")), take) for lo in range(0, len(q) if len(x) else 0, 512)]
+        own = np.concatenate([r + 512 * i for i, (r, _, _) in enumerate(kept)]) if kept else np.zeros(0, np.int64)
+        other, score = (np.concatenate([t[j] for t in kept]) if kept else np.zeros(0, np.int64) for j in (1, 2))
         release()
         return pa.table({"query": left.column("key").take(pa.array(own, pa.int64())), "key": right.column("key").take(pa.array(other, pa.int64())),
                          "ids": right.column("ids").take(pa.array(other, pa.int64())), "score": pa.array(score, pa.float64())})
@@ -258,7 +276,7 @@ def search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 20,
     again = F.row_number().over(Window.partitionBy("query", "key").orderBy("score"))
     merged = found.withColumn("again", again).where("again = 1")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0], "key")
-    top = settle(merged.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1 + _SPARE)
+    top = settle(merged.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= take)
                  .groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near")), "near")
     own = F.col("id")
     ranked = F.slice(F.array_sort(F.flatten(F.transform("near", lambda n: F.transform(
