@@ -6,7 +6,7 @@ k-means; a text takes the language of the centroid of largest cosine, and is rej
 cosine lies below a floor learned for texts of its length.
 
 Document frequencies cover all labelled rows; k-means is fitted on a sample of at most
-``sample`` rows per language (chosen by hash), the one bound here. The set of label values
+``sample`` different texts per language (chosen by hash, so that copies of a text count once), the one bound here. The set of label values
 is taken as small. Defined cases: a null text, or one without a letter, is ``und`` with score
 0 and rejected; rows without a label are not learned from; without any label every text is
 ``und``; repeated rows are predicted each; other columns are not read.
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import settle
 from .words import LOWER, buffers, release, slices, tidy
 
 WIDTH = 1 << 13
@@ -29,6 +30,7 @@ UNKNOWN = "und"
 _FOLD = LOWER.copy()
 _FOLD[:128][~np.array([chr(b).isalpha() for b in range(128)])] = 32
 _SLICE = 1 << 19
+_TEXTS = 256  # a text takes WIDTH counters, however short
 
 
 def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +47,13 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return counts, counts.sum(axis=1)
 
 
+def _parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of bounded text size and of few texts."""
+    for part in slices(batch, text, _SLICE):
+        for at in range(0, part.num_rows, _TEXTS):
+            yield part.slice(at, _TEXTS)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return v / np.where(norm > 0, norm, 1)
@@ -65,7 +74,7 @@ class Model:
         """Language, cosine and rejection of lower-cased texts."""
         best, score, grams = [], [], []
         batch = pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], names=["text"])
-        for part in slices(batch, 0, _SLICE):
+        for part in _parts(batch, 0):
             counts, n = _counts(*buffers(part.column(0)))
             cosine = _vectors(counts, self.idf) @ self.centroids.T
             top = cosine.argmax(axis=1)
@@ -104,7 +113,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(WIDTH, np.int64), 0
         for batch in batches:
-            for part in slices(batch, 0, _SLICE):
+            for part in _parts(batch, 0):
                 total += (_counts(*buffers(part.column(0)))[0] > 0).sum(axis=0)
                 n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WIDTH)), pa.array(np.append(n, total))], names=["feature", "n"])
@@ -117,23 +126,34 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
     seen[found["feature"].to_numpy() + 1] = found["n"].to_numpy()
     idf = (np.log((1 + seen[0]) / (1 + seen[1:])) + 1).astype(np.float32)
 
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    key = F.xxhash64("text")
+    draw = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    different = settle(rows.select(key.alias("key"), "lang").distinct(), "different")  # copies of a text share one draw
+    sizes = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 2.0 * sample / n)])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = (rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
-              .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
-              .where(F.col("rank") <= sample).select("text", "lang"))
+    picked = (different.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")])
+              .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key")))
+              .where(F.col("rank") <= sample).select("key", "lang"))
+    picked = F.broadcast(settle(picked, "picked"))  # at most sample rows a language
+    chosen = rows.withColumn("key", key).join(picked, ["key", "lang"]).select("text", "lang", "key")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # a task gives each text once
         for batch in batches:
-            for part in slices(batch, 0, _SLICE):
+            fresh = []
+            for i, pair in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist())):
+                if pair not in seen:
+                    seen.add(pair)
+                    fresh.append(i)
+            for part in _parts(batch.take(pa.array(fresh, pa.int64())), 0):
                 counts, _ = _counts(*buffers(part.column(0)))
                 at = [np.flatnonzero(c) for c in counts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
-                     pa.array([c[a].astype(np.int32) for c, a in zip(counts, at)], pa.list_(pa.int32()))], names=["lang", "at", "n"])
+                    [part.column(2), part.column(1), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
+                     pa.array([c[a].astype(np.int32) for c, a in zip(counts, at)], pa.list_(pa.int32()))], names=["key", "lang", "at", "n"])
 
-    drawn = picked.mapInArrow(tidy(sparse), "lang string, at array<int>, n array<int>").collect()  # at most sample rows a language
+    drawn = (chosen.mapInArrow(tidy(sparse), "key long, lang string, at array<int>, n array<int>")
+             .groupBy("key", "lang").agg(F.first(F.struct("at", "n")).alias("v")).select("lang", "v.*").collect())  # at most sample rows a language
     langs, centroids, nearest = [], [], []
     for name in sorted({r["lang"] for r in drawn}):
         own = sorted((tuple(r["at"]), tuple(r["n"])) for r in drawn if r["lang"] == name)
