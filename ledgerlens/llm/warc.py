@@ -22,6 +22,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -62,15 +63,20 @@ def mark_revisits(df: DataFrame, id: str, payload: str, least_bytes: int = 0) ->
     return joined.withColumn("refers_to", F.when(F.col("refers_to") != F.col(id), F.col("refers_to")))
 
 
+def _name(id: object) -> str:
+    """The URN of an id: other characters than letters, digits and ``-._~`` are percent-encoded."""
+    return "<urn:page>" if id is None else f"<urn:page:{quote(str(id), safe='')}>"
+
+
 def record(id: object, url: str, payload: bytes, named: str, refers_to: object = None) -> bytes:
     """One WARC record as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{id}>",
+    head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_name(id)}",
             f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{named}",
             f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>",
+        head += [f"WARC-Refers-To: {_name(refers_to)}",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -159,8 +165,8 @@ def parse(fields: dict[str, str], block: bytes) -> dict:
             "url": fields["WARC-Target-URI"], "payload": body if fields["WARC-Type"] == "response" else None}
 
 
-def _page(name: str) -> str:
-    return name.removeprefix("<urn:page:").removesuffix(">")
+def _page(name: str) -> str | None:
+    return None if name == "<urn:page>" else unquote(name.removeprefix("<urn:page:").removesuffix(">"))
 
 
 def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -187,7 +193,8 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], k) for n, k in zip(names, kinds)], names=names)
 
-    dealt = paths.select("path").repartition(F.col("path"))
+    # a task an archive: a number given to repartition stands, whatever the planner would join
+    dealt = paths.select("path").repartitionByRange(max(1, paths.count()), "path")
     return dealt.mapInArrow(read, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, "
                                   "url string, payload binary")
 
