@@ -79,9 +79,11 @@ def stratified_folds(df: DataFrame, label: str, key: list[str], k: int = 5, seed
     return hashed.withColumn("fold", _cases(label, found, fold)).drop("_h")
 
 
-def stratified_downsample(df: DataFrame, label: str, key: list[str], above: int = 500_000,
-                          size: int = 200_000, seed: int = 42) -> DataFrame:
-    """All rows up to ``above``; beyond it ``size`` rows with the fraud share kept."""
+def stratified_downsample(df: DataFrame, label: str, key: list[str], above: int | None = None,
+                          size: int | None = None, seed: int = 42) -> DataFrame:
+    """Of a table with more than ``above`` rows, ``size`` rows with the fraud share kept; both are the caller's, else all rows stay."""
+    if above is None or size is None:
+        return df
     hashed = df.withColumn("_h", row_hash(key, seed))
     counts = {r[label]: r["n"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
