@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import student_t_two_sided
 from .evaluation import metrics_by
+from .prefix import assign_buckets, range_splits
 from .quality import since
 
 # ---- fixed values -----------------------------------------------------------------
@@ -101,6 +102,33 @@ def performance_trend(history: DataFrame) -> DataFrame:
     return fit.withColumn("p_value", p).withColumn("trend", verdict).select("records", "slope", "p_value", "trend")
 
 
+def running_recent(records: DataFrame, value: str, order: str, key: str, n: int = RECENT_RECORDS, buckets: int | None = None) -> DataFrame:
+    """Of every record and the ``n - 1`` before it: ``records``, ``average``, ``slope`` (against the position; null below two).
+
+    ``order`` is a number or a time, ``key`` a column that tells apart records of one instant. The order is cut into range
+    buckets; each gets the last ``n - 1`` records before it as a halo, so frames reach across without a window over all.
+    """
+    kind = dict(records.dtypes)[order]
+    place = F.unix_micros(order) if kind.startswith("timestamp") else F.col(order)
+    rows = records.where(F.col(order).isNotNull()).select(place.cast("double").alias("_at"), F.col(order), F.col(key), F.col(value).cast("double").alias(value))
+    rows = assign_buckets(rows, range_splits(rows, ["_at"], buckets)).withColumn("_halo", F.lit(False))
+    back = Window.partitionBy("_at_bucket").orderBy(F.desc(order), F.desc(key))
+    last = F.struct(*[F.col(c) for c in ("_at", order, key, value)])
+    tails = (rows.withColumn("_r", F.row_number().over(back)).where(F.col("_r") < n).groupBy("_at_bucket")
+             .agg(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("p"), last.alias("row")))).alias("_tail")))
+    # a bucket has a record at least, so the n - 1 buckets before hold the halo; a row a bucket is windowed here
+    before = Window.orderBy("_at_bucket").rowsBetween(1 - n, -1)
+    halo = F.flatten(F.collect_list("_tail").over(before))
+    halo = tails.withColumn("_h", halo).withColumn("_h", F.slice("_h", F.greatest(F.size("_h") - n + 2, F.lit(1)), n - 1))
+    halo = halo.select("_at_bucket", F.explode("_h").alias("_e")).select("_e.row.*", "_at_bucket", F.lit(True).alias("_halo"))
+    along = Window.partitionBy("_at_bucket").orderBy(order, key)
+    frame = along.rowsBetween(1 - n, 0)
+    numbered = rows.unionByName(halo).withColumn("_x", F.row_number().over(along).cast("double"))
+    slope = F.when(F.count(value).over(frame) > 1, F.regr_slope(F.col(value), F.col("_x")).over(frame))
+    return numbered.withColumns({"records": F.count(F.lit(1)).over(frame), "average": F.avg(value).over(frame), "slope": slope}).where(~F.col("_halo")).select(
+        order, key, value, "records", "average", "slope")
+
+
 def summary(history: DataFrame, drift: DataFrame, as_of) -> DataFrame:
     """Record counts, recent averages and drift status as (section, name, value)."""
     last = recent(history).agg(

@@ -296,6 +296,22 @@ def _(spark, sf):
     return round_doubles(monitoring.performance_trend(performance_history(spark, sf)))
 
 
+@query("m06_w05_running_records", scored_sql("""
+SELECT batch, count(*) OVER w AS records, round(avg(f1_score) OVER w, 6) AS average, CASE WHEN count(*) OVER w > 1 THEN round(regr_slope(f1_score, x) OVER w, 6) END AS slope
+FROM (SELECT *, row_number() OVER (ORDER BY batch) AS x FROM hist) WINDOW w AS (ORDER BY batch ROWS 9 PRECEDING)""", BY_DAY))
+def _(spark, sf):
+    out = monitoring.running_recent(performance_history(spark, sf), "f1_score", "ts", "batch")
+    return round_doubles(out.select("batch", "records", "average", "slope"))
+
+
+@query("m06_w05_running_events", """
+SELECT event_id, count(*) OVER w AS records, round(avg(value) OVER w, 4) AS average
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS 9 PRECEDING)""")
+def _(spark, sf):
+    out = monitoring.running_recent(metric_events(spark, sf), "value", "ts", "event_id")
+    return round_doubles(out.select("event_id", "records", "average"), 4)
+
+
 @query("m07_recent_volume", scored_sql("""
 SELECT (SELECT count(*) FROM drifts WHERE p < 0.05 AND ts >= TIMESTAMP '2024-01-24' AND ts <= TIMESTAMP '2024-01-25') AS drift_alerts,
   (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-20 11:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00') AS prediction_volume""", _DRIFTS))

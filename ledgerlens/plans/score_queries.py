@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions.columns import round_doubles
-from ..operators import alerts, decisions, monitoring, quality, retention, scoring
+from ..operators import alerts, decisions, monitoring, quality, ranges, retention, scoring
 from ..session import shared_folder
-from ..sources.driver_tables import alert_scores, outcomes, scored, transactions
+from ..sources.driver_tables import alert_scores, outcomes, scored, table, transactions
 from .base import (
     AMOUNT_RISK_SQL, BALANCE_RISK_SQL, HOUR_RISK_SQL, TYPE_RISK_SQL, events_sql, query, scored_sql, tx_sql,
 )
@@ -282,6 +282,17 @@ def _(spark, sf):
     return alerts.match(alert_scores(spark, sf), SLOW).select("tx_id", "threshold_name", "severity")
 
 
+@query("j02_l02_range_table", events_sql("""
+SELECT tx_id, min(position) AS position FROM scores JOIN ranges ON fraud_score >= low AND fraud_score < high GROUP BY tx_id""", """,
+ranges AS (SELECT c_custkey AS position, (c_custkey * 7919 % 10000) / 10000.0::DOUBLE AS low,
+  (c_custkey * 7919 % 10000) / 10000.0::DOUBLE + (1 + c_custkey % 40) / 20000.0::DOUBLE AS high FROM customer)"""))
+def _(spark, sf):
+    """As many ranges as customers."""
+    low = F.col("c_custkey") * 7919 % 10000 / F.lit(10000.0)
+    held = table(spark, sf, "customer").select(F.col("c_custkey").alias("position"), low.alias("low"), (low + (1 + F.col("c_custkey") % 40) / F.lit(20000.0)).alias("high"))
+    return ranges.lowest_match(alert_scores(spark, sf), "fraud_score", "tx_id", held, top=float("inf"))
+
+
 # ---- decision log ------------------------------------------------------------------
 _TS = f"{DECISION_EPOCH} + step * 3600"
 _DECISIONS = f""",
