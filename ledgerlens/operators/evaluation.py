@@ -63,11 +63,30 @@ def metrics_by(df: DataFrame, by: Sequence[str], label: str, prediction: str, sc
     """Confusion, rates, AUC (ties averaged) and average precision per group. One class
     only: AUC is null."""
     by = list(by)
+    return _measured(_swept(df, by, label, score, prediction, buckets), by)
+
+
+def kept_counts(df: DataFrame, by: Sequence[str], label: str, prediction: str, score: str) -> DataFrame:
+    """(by, score, tp, tn, fp, fn): a histogram that can be added up, from which ``metrics_of_counts`` takes every measure."""
+    rows = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("_y"), F.col(prediction).cast("int").alias("_p"))
+    return rows.filter("score is not null and _y is not null").groupBy(*by, "score").agg(*_counts())
+
+
+def metrics_of_counts(counts: DataFrame, by: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``metrics_by`` of the rows that were counted, over any union of their histograms."""
+    by = list(by)
+    whole = counts.groupBy(*by, F.col("score").alias("_s")).agg(*[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")])
+    whole = whole.withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("tn") + F.col("fp")})
+    splits = range_splits(whole, ["_s"], buckets)
+    swept = running_totals(assign_buckets(whole, splits), by, "_s", {"cum_tp": "pos", "cum_fp": "neg"}, "_s_bucket" if splits["_s"] else None, descending=True)
+    return _measured(swept, by)
+
+
+def _measured(swept: DataFrame, by: list[str]) -> DataFrame:
     pos, neg, cum = F.col("pos").cast("double"), F.col("neg").cast("double"), F.col("cum_tp").cast("double")
     area = F.sum(neg * (cum - pos / 2))
     step = F.sum(pos * cum / (cum + F.col("cum_fp")))
     wins, losses = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    swept = _swept(df, by, label, score, prediction, buckets)
     grouped = swept.groupBy(*by).agg(
         F.sum("tp").alias("true_positives"), F.sum("tn").alias("true_negatives"),
         F.sum("fp").alias("false_positives"), F.sum("fn").alias("false_negatives"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
-from ..operators import drift, evaluation, monitoring, retention, timers
+from ..operators import drift, evaluation, history, monitoring, retention, timers
 from ..schema import MEASURES
 from ..sources.driver_tables import drift_pair, metric_events, model_scores, scored, table, transactions
 from ..session import shared_folder
@@ -254,6 +254,26 @@ def _(spark, sf):
     return round_doubles(performance_history(spark, sf).drop("ts"))
 
 
+def _histograms(spark, sf):
+    """Histograms by day, the days after the 15th added later and the 15th written twice."""
+    folder, rows, ts = shared_folder(spark, "histograms"), scored(spark, sf), F.timestamp_seconds(F.lit(EPOCH) + F.col("step") * 3600)
+    history.add_days(rows.filter("step < 360"), folder, ts)
+    history.add_days(rows.filter("step >= 336"), folder, ts)
+    return folder
+
+
+@query("m01_g05_incremental_days", scored_sql(f"SELECT batch, {ROUNDED} FROM hist", BY_DAY))
+def _(spark, sf):
+    days = history.daily_metrics(spark, _histograms(spark, sf))
+    return round_doubles(days.withColumn("batch", F.datediff("held_day", F.lit("2024-01-01").cast("date")).cast("long")).drop("held_day"))
+
+
+@query("m01_g05_window_of_days", scored_sql(
+    f"SELECT {ROUNDED} FROM base", metrics_cte("(SELECT *, 1 AS one FROM scored WHERE step // 24 BETWEEN 10 AND 16)", "one", "isFraud", "fraud_prediction", "fraud_score", "base")))
+def _(spark, sf):
+    return round_doubles(history.window_metrics(spark, _histograms(spark, sf), "2024-01-11", "2024-01-17"))
+
+
 @query("m02_baseline", scored_sql(f"SELECT {ROUNDED} FROM base", BASE))
 def _(spark, sf):
     return round_doubles(baseline(spark, sf))
