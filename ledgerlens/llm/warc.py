@@ -64,8 +64,9 @@ def mark_revisits(df: DataFrame, id: str, payload: str, least_bytes: int = 0) ->
 
 
 def _name(id: object) -> str:
-    """The URN of an id: other characters than letters, digits and ``-._~`` are percent-encoded."""
-    return "<urn:page>" if id is None else f"<urn:page:{quote(str(id), safe='')}>"
+    """The URN of an id: other characters than letters, digits and ``-._~`` are percent-encoded, and the first of the text
+    ``None``, as that alone names a null id."""
+    return f"<urn:page:{'%4Eone' if id == 'None' else quote(str(id), safe='')}>"
 
 
 def record(id: object, url: str, payload: bytes, named: str, refers_to: object = None) -> bytes:
@@ -160,19 +161,19 @@ def parse(fields: dict[str, str], block: bytes) -> dict:
     if fields["WARC-Type"] == "response" and (sha1(body) != named or len(body) != size):
         raise ValueError(f"payload differs in {fields['WARC-Record-ID']}")
     refers = fields.get("WARC-Refers-To")
-    return {"id": _page(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": named,
+    return {"id": _page(fields["WARC-Record-ID"]), "named": fields["WARC-Record-ID"] != _name(None), "payload_bytes": size, "payload_digest": named,
             "record_type": fields["WARC-Type"], "refers_to": _page(refers) if refers else None,
             "url": fields["WARC-Target-URI"], "payload": body if fields["WARC-Type"] == "response" else None}
 
 
-def _page(name: str) -> str | None:
-    return None if name == "<urn:page>" else unquote(name.removeprefix("<urn:page:").removesuffix(">"))
+def _page(name: str) -> str:
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">"))
 
 
 def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records of the archives in column ``path``, each archive read by one task from front to back."""
-    names = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    """Records of the archives in column ``path``, each archive read by one task from front to back; ``named`` is false for a null id."""
+    names = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "named"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +197,7 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     # a task an archive: a number given to repartition stands, whatever the planner would join
     dealt = paths.select("path").repartitionByRange(max(1, paths.count()), "path")
     return dealt.mapInArrow(read, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string, "
-                                  "url string, payload binary")
+                                  "url string, payload binary, named boolean")
 
 
 def round_trip(df: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -206,7 +207,7 @@ def round_trip(df: DataFrame, id: str = "page_id", url: str = "url", payload: st
     archives = write_archives(mark_revisits(body, id, "payload", least_bytes), folder, id, url, "payload")
     kind = df.schema[id].dataType
     return read_archives(archives, with_payload=False).select(
-        F.col("id").try_cast(kind).alias(id), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast(kind).alias("refers_to"))
+        F.when(F.col("named"), F.col("id")).try_cast(kind).alias(id), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast(kind).alias("refers_to"))
 
 
 def round_trip_sql() -> str:
