@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import settle
+from .store import discard, settle
 
 TASK_EDGES = 1_000_000
 
@@ -49,7 +49,8 @@ def connected_components(edges: DataFrame, purpose: str, task_edges: int = TASK_
     kind = edges.schema["u"].dataType.simpleString()
     links = settle(edges.select("u", "v"), purpose)
     tasks = max(1, math.ceil(links.count() / task_edges))
-    links = settle(links.coalesce(tasks).mapInArrow(_local_stars, f"u {kind}, v {kind}"), purpose)
+    read, links = links, settle(links.coalesce(tasks).mapInArrow(_local_stars, f"u {kind}, v {kind}"), purpose)
+    discard(read)
     if tasks > 1:
         links = _star_rounds(links.where("u <> v").distinct(), purpose, most_rounds)
         roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

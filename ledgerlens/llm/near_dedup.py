@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import settle, whole_text
+from .store import discard, settle, whole_text
 from .words import buffers, find_words, mix, release, sequence_hash, slices, tidy
 
 SIGNATURE = 3
 BLOCK = 128
+BLOCK_BYTES = 64 << 20
 _SLAB = 4096
 
 
@@ -98,19 +99,27 @@ def describe(df: DataFrame, id: str, text: str, size: int, m: int, r: int) -> Da
         tidy(rows), f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, signatures array<long>")
 
 
-def candidate_edges(classes: DataFrame, m: int) -> DataFrame:
-    """Edges ``u``, ``v`` between classes that share a table key, as stars around the least class."""
-    signs = classes.select("set_key", F.posexplode("signatures").alias("slot", "sign"))
+def candidate_components(classes: DataFrame, m: int) -> DataFrame:
+    """Per class that shares a table key with another: set key, first document, set size, and its candidate component.
+
+    Classes go by an 8-byte hash of the set key here; two of one hash share a component, where sets are compared in full.
+    """
+    signs = classes.select(F.xxhash64("set_key").alias("node"), F.posexplode("signatures").alias("slot", "sign"))
     often = settle(signs.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sign"), "signs")
-    shared = signs.join(often, "sign").groupBy("set_key").agg(F.collect_list(F.struct("slot", "sign")).alias("s"))  # at most 2m
+    shared = signs.join(often, "sign").groupBy("node").agg(F.collect_set(F.struct("slot", "sign")).alias("s"))  # at most 2m a class
     left = F.filter("s", lambda x: x["slot"] < m)
     right = F.filter("s", lambda x: x["slot"] >= m)
-    halves = shared.select("set_key", left.alias("a"), right.alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
-    keys = settle(halves.select("set_key", F.explode("a.sign").alias("a"), "b").select("set_key", "a", F.explode("b.sign").alias("b"))
-                  .select("set_key", F.xxhash64("a", "b").alias("key")), "keys")
-    hubs = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("hub"))
+    halves = shared.select("node", left.alias("a"), right.alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    keys = settle(halves.select("node", F.explode("a.sign").alias("a"), "b").select("node", "a", F.explode("b.sign").alias("b"))
+                  .select("node", F.xxhash64("a", "b").alias("key")), "keys")
+    hubs = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub"))
                   .where("n > 1").select("key", "hub"), "hubs")
-    return keys.join(hubs, "key").where("set_key <> hub").select(F.col("set_key").alias("u"), F.col("hub").alias("v"))
+    edges = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    found = connected_components(edges, "candidates")
+    named = classes.select(F.xxhash64("set_key").alias("node"), "set_key", "rep", "n_shingles")
+    out = settle(named.join(found, "node").select("set_key", "rep", "n_shingles", "component"), "candidates")
+    discard(often, keys, hubs, found)
+    return out
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -142,19 +151,25 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = new
 
 
-def verified_edges(df: DataFrame, classes: DataFrame, candidates: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """Edges of a spanning forest of the exact links inside each candidate component."""
-    big = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    spread = settle(big.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).select("component", "n", "blocks"), "sizes")
-    small = max(1, math.ceil((spread.where("blocks = 1").agg(F.sum("n")).first()[0] or 0) / BLOCK))
-    placed = (candidates.join(spread, "component").join(classes.select(F.col("set_key").alias("node"), "rep"), "node")
-              .select("component", "blocks", "node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"),
-                      F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+def verified_edges(df: DataFrame, candidates: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """Edges of a spanning forest of the exact links inside each candidate component.
+
+    A block holds about ``BLOCK`` sets and ``BLOCK_BYTES`` of them at most, whichever is less; one larger set is alone.
+    """
+    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("bytes") / BLOCK_BYTES), F.col("n")))
+    spread = settle(sizes.select("component", "n", "bytes", blocks.cast("int").alias("blocks")), "sizes")
+    few = spread.where("blocks = 1").agg(F.sum("n"), F.sum("bytes")).first()
+    small = max(1, math.ceil((few[0] or 0) / BLOCK), math.ceil((few[1] or 0) / BLOCK_BYTES))
+    placed = (candidates.join(spread, "component")
+              .select("component", "blocks", F.col("set_key").alias("node"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"),
+                      F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block"),
                       F.pmod(F.xxhash64("component"), F.lit(small)).cast("int").alias("share")))
     placed = settle(placed, "placed")
     body = whole_text(F.col(text))
     texts = df.select(F.col(id).alias("own_id"), F.xxhash64(body).alias("own_hash"), body.alias("text"))
-    rows = texts.join(placed, F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_hash") == F.col("rep_hash")))
+    # merged whatever the sizes: texts are exchanged alike for few and for many candidates
+    rows = texts.join(placed.hint("merge"), F.col("own_id").eqNullSafe(F.col("rep_id")) & (F.col("own_hash") == F.col("rep_hash")))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["component", "low", "high", "node", "members"]
@@ -175,11 +190,11 @@ def verified_edges(df: DataFrame, classes: DataFrame, candidates: DataFrame, id:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=names)
 
     spread_sets = rows.select("component", "blocks", "node", "block", "share", "text").mapInArrow(
-        tidy(replicate), "component binary, low int, high int, node binary, members binary")
+        tidy(replicate), "component long, low int, high int, node binary, members binary")
     grouping = [F.when(F.col("high") >= 0, F.col("component")).alias("whole"), "low", "high"]
 
     def verify(table: pa.Table) -> pa.Table:
-        parts: dict[bytes, dict[bytes, np.ndarray]] = {}
+        parts: dict[int, dict[bytes, np.ndarray]] = {}
         for comp, node, members in zip(*(table.column(c).to_pylist() for c in ("component", "node", "members"))):
             parts.setdefault(comp, {})[node] = np.frombuffer(members, dtype=np.uint64)
         u, v = [], []
@@ -192,10 +207,12 @@ def verified_edges(df: DataFrame, classes: DataFrame, candidates: DataFrame, id:
         release()
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    return spread_sets.groupBy(*grouping).applyInArrow(verify, "u binary, v binary")
+    links = settle(spread_sets.groupBy(*grouping).applyInArrow(verify, "u binary, v binary"), "links")
+    discard(spread, placed)
+    return links
 
 
-_KINDS = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
@@ -204,30 +221,44 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", size:
 
     ``first`` holds the id (null only if all are) and the text hash of one document of the component.
     """
+    rows, of_class = _components(df, id, text, size, percent, missed, r)
+    columns = ["doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), "first"]
+    some = rows.join(of_class, F.col("set_key") == F.col("of")).select(*columns)
+    none = rows.where(F.col("set_key").isNull()).withColumn("first", _place()).select(*columns)
+    return some.unionByName(none)
+
+
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+
+
+def _components(df: DataFrame, id: str, text: str, size: int, percent: int, missed: float, r: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their set keys, and the first document of each set's component."""
     m = signatures_needed(percent / 100, missed, r)
-    rows = settle(describe(df, id, text, size, m, r), "rows")
-    named = rows.where(F.col("set_key").isNotNull())
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = settle(named.groupBy("set_key").agg(F.min(place).alias("rep"), F.first("signatures").alias("signatures")), "classes")
-    candidates = settle(connected_components(candidate_edges(classes, m), "candidates"), "candidates")
-    links = settle(verified_edges(df, classes, candidates, id, text, size, percent), "links")
+    described = settle(describe(df, id, text, size, m, r), "described")
+    rows = settle(described.drop("signatures"), "rows")
+    classes = settle(described.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
+        F.min(_place()).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signatures").alias("signatures")), "classes")
+    discard(described)
+    candidates = candidate_components(classes, m)
+    reps = settle(classes.select("set_key", "rep"), "reps")
+    discard(classes)
+    links = verified_edges(df, candidates, id, text, size, percent)
     found = connected_components(links, "components")
-    labelled = settle(classes.join(found, classes["set_key"] == found["node"], "left")
+    labelled = settle(reps.join(found, reps["set_key"] == found["node"], "left")
                       .select("set_key", "rep", F.coalesce("component", "set_key").alias("component")), "labelled")
     first = settle(labelled.groupBy("component").agg(F.min("rep").alias("first")), "first")
     of_class = settle(labelled.join(first, "component").select(F.col("set_key").alias("of"), "first"), "of")
-    columns = ["doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), "first"]
-    some = named.join(of_class, F.col("set_key") == F.col("of")).select(*columns)
-    none = rows.where(F.col("set_key").isNull()).withColumn("first", place).select(*columns)
-    return some.unionByName(none)
+    discard(candidates, reps, links, found, labelled, first)
+    return rows, of_class
 
 
 def keep_first(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one row of each near-duplicate group; rows of equal id and text are one document."""
     found = near_duplicates(df, id, text, size, percent)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    kept = found.where(own == F.col("first")).select(F.xxhash64("doc_id", "text_hash").alias("_llm_key")).distinct()
+    kept = found.where(_place() == F.col("first")).select(F.xxhash64("doc_id", "text_hash").alias("_llm_key")).distinct()
     kept = settle(kept, "kept")
+    discard(found)
     keyed = df.withColumn("_llm_own", F.xxhash64(F.col(id), F.xxhash64(whole_text(F.col(text)))))
     joined = keyed.join(kept, F.col("_llm_own") == F.col("_llm_key"), "left_semi")
     once = F.row_number().over(Window.partitionBy("_llm_own").orderBy("_llm_own"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,19 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
         conf.set(ARROW_ROWS, before)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the settled tables that ``tables`` read, once everything made from them is settled itself.
+
+    Files that ``settle`` has not written stay.
+    """
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            if re.search(r"/ledgerlens/[^/]+-[0-9a-f]{32}$", folder):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def whole_text(text: Column) -> Column:
     """The text, an empty string for null."""
     return F.coalesce(text.cast("string"), F.lit(""))

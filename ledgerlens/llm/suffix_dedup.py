@@ -5,8 +5,9 @@ suffixes only those at minimisers are kept: every run of ``passage`` words has t
 least gram hash among its first ``reach`` grams, so equal runs keep the same suffix. Suffixes
 are keyed and brought together by the hash of their first ``passage - reach + 1`` words, which
 any repeated run around them shares. Where all neighbours of a key agree over the whole stretch
-that the suffix answers for (extended left and right), the stretch repeats as one; otherwise each
-run of the stretch is compared by hash of its own. Extended runs that overlap become spans.
+that the suffix answers for (extended left and right), the stretch repeats as one; otherwise equal
+stretches count as one, the runs of each different stretch are compared by hash of their own, and
+adjacent repeated runs are one interval. Extended runs that overlap become spans.
 
 The result is exact up to 64-bit hashes: the union of all runs with an equal one elsewhere. The
 first place of a run (smallest id, then text hash and position) is kept, later ones are marked
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import settle, whole_text
+from .store import discard, settle, whole_text
 from .words import buffers, find_words, mix, release, sequence_hash, slices, tidy
 
 PASSAGE, GRAM, REACH = 50, 8, 36
@@ -87,17 +88,16 @@ def suffixes(texts: pa.Array, passage: int = PASSAGE, gram: int = GRAM, reach: i
 
 
 def run_hashes(texts: pa.Array, stretches: list[list[dict]], passage: int = PASSAGE):
-    """Text number, run and hash of every run in the given stretches of each text."""
+    """The given stretches one after the other: text number, the stretch itself, and the hashes of its runs."""
     w = find_words(*buffers(texts))
     h = sequence_hash(w.hash, passage).view(np.int64)
-    owner, runs = [], []
-    for i, spans in enumerate(stretches):
-        for s in spans:
-            part = np.arange(s["a"], s["z"] + 1)
-            runs.append(part)
-            owner.append(np.full(len(part), i))
-    owner, runs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, runs))
-    return owner, runs, h[runs + w.first[owner]]
+    owner, spans, runs = [], [], []
+    for i, own in enumerate(stretches):
+        for s in own:
+            owner.append(i)
+            spans.append(s)
+            runs.append(h[w.first[i] + s["a"]: w.first[i] + s["z"] + 1])
+    return owner, spans, runs
 
 
 def _documents(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -127,32 +127,64 @@ def repeated_runs(df: DataFrame, id: str, text: str) -> DataFrame:
     kept = settle(documents.mapInArrow(tidy(keep), f"doc_id {kind}, text_hash long, a int, z int, key long, stretch long"), "suffixes")
     often = settle(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"))
                    .where("n > 1").select("key", (F.col("least") == F.col("most")).alias("even")), "keys")
-    shared = settle(kept.join(often, "key"), "shared")
-    even = shared.where("even")
-    firsts = settle(even.groupBy("key").agg(F.min(_place("a")).alias("first")), "firsts")
-    alike = even.join(firsts, "key").select("doc_id", "text_hash", "a", "z", (_place("a") != F.col("first")).alias("later"))
-
-    uneven = (shared.where("not even").groupBy("doc_id", "text_hash")
-              .agg(F.collect_set(F.struct("a", "z")).alias("stretches"))
-              .select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "stretches"))
-    uneven = settle(uneven, "uneven")
-    held = documents.join(uneven, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    shared = settle(kept.join(often, "key").drop("key"), "shared")
+    discard(kept, often)
+    classes = settle(shared.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"), F.min(_place("a")).alias("first"),
+                                                   F.first(F.col("z") - F.col("a")).alias("width"), F.first("even").alias("even")), "classes")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("width").alias("hi")))
+    even = classes.where("even").select("stretch", whole.alias("each"), whole.alias("fresh"), F.filter(whole, lambda s: F.lit(False)).alias("old"))
+    inside = _repeated_inside(documents, classes.where("not even"), kind)
+    marks = settle(even.unionByName(inside).join(classes.select("stretch", "first"), "stretch"), "marks")
+    discard(classes, inside)
+    later = F.transform("each", lambda s: s.withField("later", F.lit(True)))
+    own = F.concat(F.transform("fresh", lambda s: s.withField("later", F.lit(False))), F.transform("old", lambda s: s.withField("later", F.lit(True))))
+    spans = shared.join(marks, "stretch").select(
+        "doc_id", "text_hash", "a", F.explode(F.when(_place("a") == F.col("first"), own).otherwise(later)).alias("s"))
+    return spans.select("doc_id", "text_hash", (F.col("a") + F.col("s.lo")).alias("a"), (F.col("a") + F.col("s.hi")).alias("z"), F.col("s.later").alias("later"))
+
+
+def _repeated_inside(documents: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """Per different stretch, its repeated runs as intervals: all, those first there, and those with an earlier place.
+
+    Only the first place of a stretch is read again, whatever the number of its places.
+    """
+    reps = (classes.groupBy(F.col("first.doc_id").alias("own_id"), F.col("first.text_hash").alias("own_hash"))
+            .agg(F.collect_list(F.struct(F.col("first.a").alias("a"), (F.col("first.a") + F.col("width")).alias("z"), "stretch", "n")).alias("stretches")))
+    reps = settle(reps, "uneven")
+    # merged whatever the sizes: texts are exchanged alike for few and for many stretches
+    held = documents.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                owner, run, h = run_hashes(part.column(2), part.column(3).to_pylist())
-                owner = pa.array(owner)
+                owner, spans, runs = run_hashes(part.column(2), part.column(3).to_pylist())
+                take = pa.array(owner, pa.int64())
+                ends = np.cumsum([0, *(len(r) for r in runs)])
+                flat = pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(owner), part.column(1).take(owner), pa.array(run.astype(np.int32)), pa.array(h, pa.int64())],
-                    names=["doc_id", "text_hash", "a", "run"])
+                    [part.column(0).take(take), part.column(1).take(take), pa.array([s["a"] for s in spans], pa.int32()),
+                     pa.array([s["stretch"] for s in spans], pa.int64()), pa.array([s["n"] for s in spans], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                    names=["doc_id", "text_hash", "from", "stretch", "n", "runs"])
+
+    stretches = settle(held.select("doc_id", "text_hash", "text", "stretches").mapInArrow(
+        tidy(hashes), f"doc_id {kind}, text_hash long, from int, stretch long, n long, runs array<long>"), "stretches")
+    runs = stretches.select("doc_id", "text_hash", "from", "stretch", "n", F.posexplode("runs").alias("i", "run")).withColumn("a", F.col("from") + F.col("i"))
+    twice = settle(runs.groupBy("run").agg(F.sum("n").alias("n"), F.min(_place("a")).alias("least")).where("n > 1").select("run", "least"), "twice")
+    found = runs.select("doc_id", "text_hash", "a", "stretch", "i", "run").join(twice, "run")
+    fresh = F.when(_place("a") == F.col("least"), F.col("i"))
+    sets = found.groupBy("stretch").agg(F.collect_set("i").alias("all_runs"), F.collect_set(fresh).alias("new_runs"))  # a stretch has at most REACH runs
+    out = settle(sets.withColumn("old_runs", F.array_except("all_runs", "new_runs")).select(
+        "stretch", _intervals(F.col("all_runs")).alias("each"), _intervals(F.col("new_runs")).alias("fresh"), _intervals(F.col("old_runs")).alias("old")), "inside")
+    discard(reps, stretches, twice)
+    return out
+
 
-    runs = settle(held.select("doc_id", "text_hash", "text", "stretches").mapInArrow(
-        tidy(hashes), f"doc_id {kind}, text_hash long, a int, run long"), "runs")
-    twice = settle(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(_place("a")).alias("first")).where("n > 1")
-                   .select("run", "first"), "twice")
-    single = runs.join(twice, "run").select("doc_id", "text_hash", "a", F.col("a").alias("z"), (_place("a") != F.col("first")).alias("later"))
-    return alike.unionByName(single)
+def _intervals(numbers: Column) -> Column:
+    """Sorted intervals of adjacent numbers."""
+    lows = F.sort_array(F.filter(numbers, lambda x: ~F.array_contains(numbers, x - 1)))
+    highs = F.sort_array(F.filter(numbers, lambda x: ~F.array_contains(numbers, x + 1)))
+    return F.transform(F.arrays_zip(lows.alias("lo"), highs.alias("hi")), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
 
 def _joined(df: DataFrame, id: str, text: str, gap: int) -> DataFrame:
@@ -236,6 +268,8 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     cuts = settle(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_word", "n_words", "removed")).alias("_llm_cuts"))
                   .where(F.exists("_llm_cuts", lambda c: c["removed"])).select(F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), "_llm_cuts"), "cuts")
 
+    discard(spans)
+
     @F.arrow_udf("string")
     def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
         out = pa.array(cut_words(texts, cuts.to_pylist()), pa.string())

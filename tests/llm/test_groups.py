@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -308,3 +309,29 @@ def test_packing_padding_is_small(spark):
     sizes = pieces.groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
     padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes)
     assert padding / sizes.sum() < 0.02
+
+
+def test_copies_of_a_stretch_count_as_one(spark):
+    rng = random.Random(21)
+    passage, ahead, behind = (sentence(rng, n) for n in (70, 40, 40))
+    rows = [(i, f"{ahead if i % 3 else sentence(rng, 20)} {passage} {behind if i % 2 else sentence(rng, 20)}", None) for i in range(90)]
+    rows += [(200 + i, f"{passage} {passage if i % 2 else ''} x{i}", None) for i in range(20)]
+    got = suffix_dedup.repeated_spans(documents(spark, rows).repartition(7)).drop("text_hash").collect()
+    assert sorted(map(tuple, got)) == brute.repeats([(d, t) for d, t, _ in rows], 50)
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    rows = near_copies(60)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)  # five sets or so
+    found = near_dedup.near_duplicates(documents(spark, rows).repartition(3), size=3, percent=85)
+    got = sorted((tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute.components([(d, t) for d, t, _ in rows], 3, 85)
+
+
+def test_tables_in_between_are_deleted(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "ledgerlens"
+    docs = documents(spark, hard_rows())
+    for stage, left in ((near_dedup.keep_first, "kept"), (suffix_dedup.remove_repeats, "cuts")):
+        before = set(folder.iterdir()) if folder.exists() else set()
+        stage(docs).collect()
+        assert [p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before] == [left]
