@@ -272,13 +272,16 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
 
     @F.arrow_udf("string")
     def without(texts: pa.Array, cuts: pa.Array) -> pa.Array:
-        out = pa.array(cut_words(texts, cuts.to_pylist()), pa.string())
+        out: list[str] = []
+        for part in slices(pa.RecordBatch.from_arrays([texts, cuts], names=["text", "cuts"]), 0):
+            out += cut_words(part.column(0), part.column(1).to_pylist())
         release()
-        return out
+        return pa.array(out, pa.string())
 
     own = F.xxhash64(whole_text(df[text]))
     joined = df.join(cuts, df[id].eqNullSafe(F.col("_llm_id")) & (own == F.col("_llm_hash")), "left")
-    kept = joined.withColumn(text, F.when(F.col("_llm_cuts").isNotNull(), without(text, "_llm_cuts")).otherwise(F.col(text)))
+    uncut = F.when(F.col("_llm_cuts").isNotNull(), F.col(text))  # other texts stay in the JVM
+    kept = joined.withColumn(text, F.when(F.col("_llm_cuts").isNotNull(), without(uncut, "_llm_cuts")).otherwise(F.col(text)))
     if length:
         now = F.length(text).cast(df.schema[length].dataType)
         kept = kept.withColumn(length, F.when(F.col("_llm_cuts").isNotNull(), now).otherwise(F.col(length)))
