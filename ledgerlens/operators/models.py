@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..schema import RISK_THRESHOLD
 from ..session import cut_lineage, ensure_checkpoint_folder
-from . import attribution
+from . import attribution, elastic
 from .evaluation import confusion_metrics
 from .splitting import stratified_folds, stratified_split
 
@@ -252,7 +253,8 @@ GRIDS = {
 
 def grid_search(spec: Spec, df: DataFrame, features: Sequence[str], label: str = "isFraud", key: Sequence[str] = ("tx_id",),
                 grid: dict | None = None, folds: int = 5, parallelism: int = 4) -> tuple[FraudModel, DataFrame]:
-    """(best model, results): stratified folds, F1 of the fraud class, models trained in parallel."""
+    """(best model, results): stratified folds, F1 of the fraud class. All logistic models of a search are fitted together
+    (``elastic``); the models of other kinds in parallel."""
     features, grid = list(features), grid or GRIDS[spec.kind]
     rows, counts = _prepared(df, features, label, spec.kind)
     rows = rows.withColumns({f"_f{i}": F.col(c) for i, c in enumerate(features)})
@@ -261,9 +263,37 @@ def grid_search(spec: Spec, df: DataFrame, features: Sequence[str], label: str =
     n = sum(counts.values())
     rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, "fold", *key), key)
     rows = cut_lineage(rows, "training")  # read by every fold and point
+    search = _logistic_points if spec.kind == "logistic" else _separate_points
+    tried, scores, pipeline, more = search(spec, rows, inputs, grid, folds, n, parallelism)
+    best = int(np.argmax(scores))
+    results = df.sparkSession.createDataFrame(
+        [(i, json.dumps(t, sort_keys=True), float(s), i == best) for i, (t, s) in enumerate(zip(tried, scores))],
+        "position int, parameters string, f1_score double, is_best boolean",
+    )
+    chosen = Spec(spec.kind, spec.name, {**spec.params, **tried[best]}, spec.seed)
+    if pipeline is None:
+        pipeline = Pipeline(stages=[_assembler(features), _estimator(chosen, n)]).fit(rows)
+    meta = {"training_rows": n, "best_score": float(scores[best]), "best_params": tried[best],
+            "class_distribution": {str(k): v for k, v in counts.items()}, "feature_count": len(features), **more}
+    return FraudModel(chosen, pipeline, features, meta), results
+
+
+def _logistic_points(spec: Spec, rows: DataFrame, inputs: list[str], grid: dict, folds: int, n: int, parallelism: int):
+    """Every point on every fold, all in the same passes over the rows."""
+    tried = [dict(zip(grid, values)) for values in product(*grid.values())]
+    full = [{**spec.params, **t} for t in tried]
+    without = [f for _ in full for f in range(folds)]
+    fits = elastic.fit_all(
+        rows, inputs, LABEL, WEIGHT, "fold", [1.0 / (p["C"] * max(n, 1)) for p in full for _ in range(folds)],
+        [p["elastic_net"] for p in full for _ in range(folds)], without, max(p["max_iter"] for p in full))
+    scores = elastic.held_out_f1(rows, inputs, LABEL, "fold", fits, without).reshape(len(full), folds).mean(axis=1)
+    return tried, scores, None, {"passes": fits.rounds + 1, "unfinished": int((~fits.converged).sum())}
+
+
+def _separate_points(spec: Spec, rows: DataFrame, inputs: list[str], grid: dict, folds: int, n: int, parallelism: int):
+    """A training run for each point and fold."""
     est = _estimator(spec, n)
     params = {
-        "C": ("regParam", lambda v: 1.0 / (v * n)), "elastic_net": ("elasticNetParam", float), "max_iter": ("maxIter", int),
         "trees": ("numTrees", int), "max_depth": ("maxDepth", int), "min_rows": ("minInstancesPerNode", int),
         "features": ("featureSubsetStrategy", str), "rounds": ("maxIter", int), "learning_rate": ("stepSize", float),
         "row_share": ("subsamplingRate", float),
@@ -276,19 +306,11 @@ def grid_search(spec: Spec, df: DataFrame, features: Sequence[str], label: str =
     points = build.build()
     evaluator = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(
-        estimator=Pipeline(stages=[_assembler(features), est]), estimatorParamMaps=points, evaluator=evaluator,
+        estimator=Pipeline(stages=[_assembler(inputs), est]), estimatorParamMaps=points, evaluator=evaluator,
         numFolds=folds, foldCol="fold", parallelism=parallelism, seed=spec.seed,
     ).fit(rows)
     tried = [dict(back[p.name][v] for p, v in point.items()) for point in points]
-    best = int(np.argmax(cv.avgMetrics))
-    results = df.sparkSession.createDataFrame(
-        [(i, json.dumps(t, sort_keys=True), float(s), i == best) for i, (t, s) in enumerate(zip(tried, cv.avgMetrics))],
-        "position int, parameters string, f1_score double, is_best boolean",
-    )
-    chosen = Spec(spec.kind, spec.name, {**spec.params, **tried[best]}, spec.seed)
-    meta = {"training_rows": n, "best_score": float(cv.avgMetrics[best]), "best_params": tried[best],
-            "class_distribution": {str(k): v for k, v in counts.items()}, "feature_count": len(features)}
-    return FraudModel(chosen, cv.bestModel, features, meta), results
+    return tried, cv.avgMetrics, cv.bestModel, {}
 
 
 def cross_validate(spec: Spec, df: DataFrame, features: Sequence[str], label: str = "isFraud",
