@@ -1,20 +1,24 @@
 """Licence scan with a positional rare-token index (operator 3), in DataFrame expressions only.
 
 Each template is a list of words with a mandatory key phrase inside it. Document frequencies
-of the templates' words come from all rows; a template's anchor is the key-phrase word of
-highest inverse document frequency. A file's positions of anchors, moved back by the anchor's
-place in the template, are the possible template starts; there the key phrase must stand
-word by word, and the weights of the template's words found at their places are summed.
+of the templates' words come from all rows; a template's probes are the key-phrase words of
+highest inverse document frequency. A file's postings are its positions of the probes; moved back
+by a probe's place in the template they are possible template starts, and only starts that all
+probes of a template share remain. There the whole key phrase must stand word by word, and the
+weights of the template's words found at their places are summed.
 
 Matching is row by row, without a shuffle. Defined cases: a null text is empty; a text without
-words has no label and score 0; repeated rows are reported each; an empty table gives an empty
-result; other columns are not read.
+words has no label and score 0; a text that breaks off inside a template is weighed by what stands
+there; a very long text is one row's arrays of words and postings (its size bounds the memory);
+repeated rows are reported each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +28,7 @@ from .store import whole_text
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHARE = 0.8
+PROBES = 3
 
 
 @dataclass(frozen=True)
@@ -36,14 +41,14 @@ class Template:
 
 
 def template(label: str, text: str, key: str | None = None) -> Template:
-    """A template of lower-case words; without a key phrase all of it is mandatory."""
-    words, must = tuple(text.split()), tuple((key or text).split())
+    """A template of a text's lower-case words; without a key phrase all of it is mandatory."""
+    words, must = (tuple(w for w in re.split(SEPARATORS, t.lower()) if w) for t in (text, key or text))
     at = next(i for i in range(len(words)) if words[i: i + len(must)] == must)
     return Template(label, words, at, len(must), key is None)
 
 
 BASE = [template("cc-by", "cc by"), template("gpl", "general public license"), template("reserved", "all rights reserved")]
-TEMPLATES = BASE + [
+NOTICES = [
     template("agpl", "gnu affero general public license", "affero general public license"),
     template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
     template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
@@ -56,6 +61,51 @@ TEMPLATES = BASE + [
     template("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted"),
     template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 ]
+# ---- fixed values: grants and notices of public licences, word for word ---------------
+GRANTS = [
+    template("apache-2.0-notice", """
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to
+in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+             "Licensed under the Apache License"),
+    template("boost-text", """
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software,
+and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so""",
+             "to any person or organization obtaining a copy"),
+    template("bsd-2-text", """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution.""",
+             "Redistribution and use in source and binary forms"),
+    template("gpl-notice", """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+             "redistribute it and/or modify it under the terms of the GNU General Public License"),
+    template("isc-text", """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies.""",
+             "with or without fee is hereby granted"),
+    template("mit-text", """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
+so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software.""",
+             "Permission is hereby granted, free of charge"),
+    template("mpl-2.0-notice", """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+this file, You can obtain one at http://mozilla.org/MPL/2.0/.""", "Mozilla Public License"),
+    template("unlicense-text", """
+This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell,
+or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+by any means.""", "unencumbered software released into the public domain"),
+]
+TEMPLATES = BASE + NOTICES + GRANTS
 
 
 def words_of(text: Column) -> Column:
@@ -75,36 +125,48 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", templates: list[
          share: float = SHARE) -> DataFrame:
     """Per row: words, places of base phrases, labels, the best share of a template, and its matches."""
     weight = rarity(df, text, sorted({w for t in templates for w in t.words}))
-    anchor = [max(range(t.key_at, t.key_at + t.key_words), key=lambda i: (weight[t.words[i]], -i)) for t in templates]
-    sought = sorted({t.words[a] for t, a in zip(templates, anchor)})
+
+    def probes(t: Template) -> list[int]:
+        """Places of the key-phrase words of highest inverse document frequency."""
+        return sorted(range(t.key_at, t.key_at + t.key_words), key=lambda i: (-weight[t.words[i]], i))[:PROBES]
+
+    sought = sorted({t.words[k] for t in templates for k in probes(t)})
+    posting = {w: f"at_{i}" for i, w in enumerate(sought)}
     words, hits = F.col("words"), F.col("hits")
 
-    def starts(t: Template, a: int) -> Column:
+    def moved_back(at: str, places: int) -> Column:
+        return F.transform(at, lambda p: p - places)
+
+    def postings(word: str) -> Column:
+        return F.transform(F.filter(hits, lambda h: h["word"] == word), lambda h: h["at"])
+
+    def starts(t: Template) -> Column:
         """Verified starts of one template with the weight found there."""
-        total = sum(weight[w] for w in t.words)
-        here = F.transform(F.filter(hits, lambda h: h["word"] == t.words[a]), lambda h: h["at"] - a)
-        key = range(t.key_at, t.key_at + t.key_words)
+        total, key = sum(weight[w] for w in t.words), range(t.key_at, t.key_at + t.key_words)
+        shared = reduce(F.array_intersect, [moved_back(posting[t.words[k]], k) for k in probes(t)])
+        sure = sum(weight[t.words[k]] for k in key)
+        rest = [(k, w) for k, w in enumerate(t.words) if k not in key]
 
         def holds(at: Column) -> Column:
-            out = F.lit(True)
-            for k in key:
-                if k != a:
-                    out = out & F.coalesce(F.get(words, at + k) == t.words[k], F.lit(False))
-            return out
+            unseen = [F.coalesce(F.get(words, at + k) == t.words[k], F.lit(False)) for k in key if k not in probes(t)]
+            return reduce(lambda a, b: a & b, unseen, F.lit(True))
 
         def found(at: Column) -> Column:
-            sure = sum(weight[t.words[k]] for k in key)
-            rest = [F.when(F.get(words, at + k) == w, weight[w]).otherwise(0) for k, w in enumerate(t.words) if k not in key]
-            return sum(rest, F.lit(sure)) / float(total)
+            if not rest:
+                return F.lit(sure) / float(total)
+            places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("word"), F.lit(weight[w]).alias("weight")) for k, w in rest])
+            return F.aggregate(places, F.lit(sure), lambda got, p: got + F.when(
+                F.get(words, at + p["k"]) == p["word"], p["weight"]).otherwise(0)) / float(total)
 
-        return F.transform(F.filter(here, holds), lambda at: F.struct(
+        return F.transform(F.filter(shared, holds), lambda at: F.struct(
             F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), at.alias("at"), found(at).alias("share")))
 
     split = df.select(F.col(id), words_of(F.col(text)).alias("words"))
     marked = F.transform(words, lambda w, i: F.when(w.isin(sought), F.struct(w.alias("word"), i.alias("at"))))
     held = split.select(F.col(id), "words", F.filter(marked, lambda h: h.isNotNull()).alias("hits"))
-    matched = held.select(F.col(id), F.size("words").cast("long").alias("n_words"), F.flatten(F.array(
-        *[starts(t, a) for t, a in zip(templates, anchor)])).alias("matches"))
+    posted = held.select(F.col(id), "words", *[postings(w).alias(name) for w, name in posting.items()])
+    matched = posted.select(F.col(id), F.size("words").cast("long").alias("n_words"), F.flatten(F.array(
+        *[starts(t) for t in templates])).alias("matches"))
     base = F.filter("matches", lambda m: m["base"])
     places = F.transform(base, lambda m: m["at"].cast("long"))
 
