@@ -154,7 +154,8 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", templates: list[
         def found(at: Column) -> Column:
             if not rest:
                 return F.lit(sure) / float(total)
-            places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("word"), F.lit(weight[w]).alias("weight")) for k, w in rest])
+            each = ", ".join(f"named_struct('k', {k}, 'word', '{w}', 'weight', {weight[w]})" for k, w in rest)  # words hold no quotes
+            places = F.expr(f"array({each})")
             return F.aggregate(places, F.lit(sure), lambda got, p: got + F.when(
                 F.get(words, at + p["k"]) == p["word"], p["weight"]).otherwise(0)) / float(total)
 
