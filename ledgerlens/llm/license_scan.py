@@ -115,7 +115,7 @@ def words_of(text: Column) -> Column:
 
 def rarity(df: DataFrame, text: str, words: list[str]) -> dict[str, int]:
     """Integer weight of each word: 1 + 1000 ln((rows + 1) / (rows with it + 1)), over all rows."""
-    vocabulary = F.array(*[F.lit(w) for w in words])
+    vocabulary = F.split(F.lit(" ".join(words)), " ")
     held = df.select(F.explode(F.array_append(F.array_intersect(words_of(F.col(text)), vocabulary), F.lit(""))).alias("word"))
     rows = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a word
     return {w: 1 + math.floor(1000 * math.log((rows.get("", 0) + 1) / (rows.get(w, 0) + 1)) + 0.5) for w in words}
