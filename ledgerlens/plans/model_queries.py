@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
-from ..operators import drift, evaluation, history, monitoring, retention, timers
+from ..operators import drift, evaluation, history, monitoring, reference, retention, timers
 from ..schema import MEASURES
 from ..sources.driver_tables import drift_pair, metric_events, model_scores, scored, table, transactions
 from ..session import shared_folder
@@ -274,6 +274,27 @@ def _(spark, sf):
     return round_doubles(history.window_metrics(spark, _histograms(spark, sf), "2024-01-11", "2024-01-17"))
 
 
+_CELLS = ["amount", "oldbalanceOrg", "newbalanceOrig"]
+_CELL_SQL = """CASE WHEN abs(v) < 1e-9 THEN 0 ELSE sign(v) * (floor((ln(abs(v)) - ln(1e-9::DOUBLE)) / 0.02::DOUBLE) + 1) END"""
+
+
+@query("m03_stored_reference", tx_sql("""
+SELECT feature, n_reference, n_current, round(max(abs(cr / n_reference - cc / n_current)), 6) AS drift_score,
+  round(max(greatest(r / n_reference, c / n_current)), 6) AS most_below
+FROM (SELECT *, sum(r) OVER (PARTITION BY feature ORDER BY cell) AS cr, sum(c) OVER (PARTITION BY feature ORDER BY cell) AS cc,
+        (sum(r) OVER (PARTITION BY feature))::BIGINT AS n_reference, (sum(c) OVER (PARTITION BY feature))::BIGINT AS n_current FROM cells)
+GROUP BY ALL""", ", long AS (" + union_all([f"SELECT '{c}' AS feature, {c}::DOUBLE AS v, step FROM tx WHERE {c} IS NOT NULL" for c in _CELLS])
+    + f"""), cells AS (
+  SELECT feature, {_CELL_SQL} AS cell, count(*) FILTER (step < 480) AS r, count(*) FILTER (step >= 480 AND step < 504) AS c
+  FROM long WHERE step < 504 GROUP BY ALL)"""))
+def _(spark, sf):
+    """The 21st day against the stored profile of the twenty before it; the days' rows are read once, when each is written."""
+    folder, rows, ts = shared_folder(spark, "reference"), transactions(spark, sf), F.timestamp_seconds(F.lit(EPOCH) + F.col("step") * 3600)
+    reference.add_days(rows, _CELLS, folder, ts)
+    found = reference.distance(reference.merged(spark, folder, "2024-01-01", "2024-01-20"), reference.merged(spark, folder, "2024-01-21", "2024-01-21"))
+    return round_doubles(found.drop("p_value", "is_drift"))
+
+
 @query("m02_baseline", scored_sql(f"SELECT {ROUNDED} FROM base", BASE))
 def _(spark, sf):
     return round_doubles(baseline(spark, sf))
