@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,7 @@ from ..schema import MEASURES
 from .prefix import assign_buckets, range_splits, running_totals
 
 COLUMNS = ["step", *MEASURES]
+ROWS_IN_RANGE, LEAST_RANGES, MOST_RANGES = 1_000_000, 64, 512
 
 
 def pearson(df: DataFrame, columns: list[str] = COLUMNS) -> DataFrame:
@@ -23,6 +29,28 @@ def pearson(df: DataFrame, columns: list[str] = COLUMNS) -> DataFrame:
     return report_rows(stats, [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)], ["x", "y", "r"])
 
 
+def _range_cuts(rows: DataFrame, columns: list[str], buckets: int | None = None) -> list[np.ndarray]:
+    """Cut points of each column, so many that a range between two of them holds about a million rows at most."""
+    if buckets is None:
+        buckets = min(MOST_RANGES, max(LEAST_RANGES, rows.count() // ROWS_IN_RANGE))
+    splits = range_splits(rows, columns, buckets)
+    return [np.array(splits[c], float) for c in columns]
+
+
+def _read(batch: pa.RecordBatch, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values (null as NaN) and their places along the cuts. A value on a cut has an odd place, which holds no other value,
+    however many rows there are; one between cuts has an even place; NaN and null have the last two odd ones."""
+    columns = batch.columns[:len(cuts)]
+    values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]).astype(float)
+    places = np.empty(values.shape, np.int16)
+    for i, (column, cut) in enumerate(zip(columns, cuts)):
+        v, k = values[:, i], len(cut)
+        at = np.searchsorted(cut, v, "left")
+        places[:, i] = np.where(np.isnan(v), 2 * k + 1, 2 * at + (np.append(cut, np.nan)[at] == v))
+        places[column.is_null().to_numpy(zero_copy_only=False), i] = 2 * k + 3
+    return values, places
+
+
 def with_ranks(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
     """Columns replaced by their average ranks.
 
@@ -62,51 +90,125 @@ def _any_null(columns):
     return cond
 
 
-def kendall_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
-    """Kendall's tau-b of one pair: (x, y, r).
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs of a lower rank behind a higher one. Two ranks differ first at one bit, where they share all higher bits: bit by
+    bit, groups with equal higher bits are split into those with 0 and 1, both in the old order."""
+    r, n, total = ranks.astype(np.int64), len(ranks), 0
+    if not n:
+        return 0
+    first, behind = np.zeros(n, np.int64), np.full(n, n, np.int64)  # each row's group
+    ones = np.zeros(n + 1, np.int64)
+    for bit in range(int(r.max()).bit_length() - 1, -1, -1):
+        one = (r >> bit & 1).astype(bool)
+        np.cumsum(one, out=ones[1:])
+        before = ones[:-1] - ones[first]
+        total += int(before[~one].sum())
+        middle = behind - (ones[behind] - ones[first])
+        to = np.where(one, middle + before, np.arange(n) - before)
+        moved = np.empty((3, n), np.int64)
+        moved[:, to] = r, np.where(one, middle, first), np.where(one, behind, middle)
+        r, first, behind = moved
+    return total
+
+
+def _ties(*keys: np.ndarray) -> int:
+    """Pairs of rows equal in all keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    n = np.bincount(np.cumsum(new))
+    return int((n * (n - 1) // 2).sum())
+
+
+COUNTED = ["pair", "rows", "discordant", "tied_x", "tied_y", "tied_both"]
+_LAYOUT = ", ".join(f"{c} long" for c in COUNTED)
+
 
-    Discordant pairs are counted bit by bit over the dense rank of ``y``: two ranks
-    differ first at exactly one bit, where they share all higher bits. For that bit the
-    rows are ordered by ``x`` and running totals give, for every 0-bit row, the 1-bit
-    rows before it. All bits run in one job; no pair of rows is ever built.
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTED))], names=COUNTED)
+
+
+def kendall_counts(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+    """(pair, rows, discordant, tied_x, tied_y, tied_both): pairs of rows, summed over complete rows; pairs as in ``combinations``.
+
+    Ranges of each column hold a bounded number of rows. Two rows in different ranges of both columns are counted from a table
+    of rows by ranges, two in the same range of a column inside that range's task, which sorts its rows; rows on a cut are
+    equal there and sent nowhere. A row is sent once a column, and no pair of rows is ever built.
     """
-    rows = df.filter(~_any_null([x, y])).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    splits = range_splits(rows, ["x", "y"], buckets)
-    rows = assign_buckets(rows, splits)
-    cells = rows.groupBy("x", "y", "x_bucket").agg(F.count("*").cast("double").alias("n"))
-    distinct = rows.select("y", "y_bucket").distinct().withColumn("one", F.lit(1))
-    ranks = running_totals(distinct, [], "y", {"rank": "one"}, "y_bucket" if splits["y"] else None).select("y", "rank")
-    levels = max(int(distinct.count()).bit_length(), 1)
-    split_bits = cells.join(ranks, "y").select(
-        "x", "x_bucket", "n", "rank", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
-    )
-    bit = F.floor(F.col("rank") / F.pow(F.lit(2.0), F.col("level"))) % 2
-    above = F.floor(F.col("rank") / F.pow(F.lit(2.0), F.col("level") + 1))
-    per_x = split_bits.groupBy("level", above.alias("above"), "x", "x_bucket").agg(
-        F.sum(F.when(bit == 1, F.col("n")).otherwise(0.0)).alias("ones"),
-        F.sum(F.when(bit == 0, F.col("n")).otherwise(0.0)).alias("zeros"),
-    )
-    swept = running_totals(per_x, ["level", "above"], "x", {"ones_upto": "ones"}, "x_bucket" if splits["x"] else None)
-    discordant = swept.agg(
-        F.coalesce(F.sum(F.col("zeros") * (F.col("ones_upto") - F.col("ones"))), F.lit(0.0))
-    ).scalar()
-
-    def tied(*keys):
-        n = F.count("*").cast("double")
-        return rows.groupBy(*keys).agg((n * (n - 1) / 2).alias("t")).agg(F.coalesce(F.sum("t"), F.lit(0.0))).scalar()
-
-    n = F.count("*").cast("double")
-    stats = rows.agg((n * (n - 1) / 2).alias("all")).withColumns(
-        {"tx": tied("x"), "ty": tied("y"), "txy": tied("x", "y"), "d": discordant}
-    )
-    score = F.col("all") - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.col("d")
-    size = F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty")))
-    return stats.select(F.lit(x).alias("x"), F.lit(y).alias("y"), F.when(size > 0, score / size).alias("r"))
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    cuts = _range_cuts(rows, columns, buckets)
+    pairs = list(combinations(range(len(columns)), 2))
+    number = {p: i for i, p in enumerate(pairs)}
+    sizes = [2 * len(cut) + 2 for cut in cuts]  # places but null's
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(sizes[i] * sizes[j], np.int64) for i, j in pairs]
+        for batch in batches:
+            _, places = _read(batch, cuts)
+            for t, (i, j) in zip(total, pairs):
+                both = (places[:, i] < sizes[i]) & (places[:, j] < sizes[j])
+                t += np.bincount(places[both, i].astype(np.int64) * sizes[j] + places[both, j], minlength=len(t))
+        for k, t in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([t], pa.list_(pa.float64()))], names=["pair", "part"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, part in zip(batch.column("pair").to_pylist(), batch.column("total")):
+                i, j = pairs[k]
+                n = part.values.to_numpy().astype(np.int64).reshape(sizes[i], sizes[j])
+                higher = n[::-1].cumsum(axis=0)[::-1] - n
+                discordant = (n * (higher.cumsum(axis=1) - higher)).sum()
+                x, y, cells = n.sum(axis=1)[1::2], n.sum(axis=0)[1::2], n[1::2, 1::2]
+                yield _counted([(k, int(n.sum()), int(discordant), *(int((v * (v - 1) // 2).sum()) for v in (x, y, cells)))])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, places = _read(batch, cuts)
+            for i in range(len(columns)):
+                at = np.flatnonzero(places[:, i] % 2 == 0)
+                at = at[np.argsort(places[at, i], kind="stable")]
+                starts = np.flatnonzero(np.append(True, places[at[1:], i] != places[at[:-1], i])) if len(at) else []
+                parts = np.split(at, starts[1:]) if len(at) else []
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([i] * len(parts), pa.int32()), pa.array([int(places[p[0], i]) for p in parts], pa.int32()),
+                    pa.array([values[p, i:].tobytes() for p in parts], pa.binary()),
+                    pa.array([places[p].tobytes() for p in parts], pa.binary())], names=["column", "place", "later", "places"])
+
+    def inside(group: pa.Table) -> pa.Table:
+        i = group.column("column")[0].as_py()
+        values = np.concatenate([np.frombuffer(b.as_buffer()).reshape(-1, len(columns) - i) for b in group.column("later")])
+        places = np.concatenate([np.frombuffer(b.as_buffer(), np.int16).reshape(-1, len(columns)) for b in group.column("places")])
+        own = np.unique(values[:, 0], return_inverse=True)[1]
+        found = []
+        for j in range(len(columns)):
+            both = places[:, j] < sizes[j]
+            mine, other = own[both], places[both, j]
+            if j > i:
+                other = np.unique(values[both, j - i], return_inverse=True)[1]
+                found.append((number[i, j], 0, inversions(other[np.lexsort((other, mine))]), _ties(mine), 0, _ties(mine, other)))
+            elif j < i:  # rows in the same range of j meet there
+                on = other % 2 == 1
+                found.append((number[j, i], 0, inversions(mine[np.lexsort((mine, other))]), 0, _ties(mine), _ties(mine[on], other[on])))
+        return pa.Table.from_batches([_counted(found)])
+
+    grid = rows.mapInArrow(tables, "pair long, part array<double>").groupBy("pair").agg(Summarizer.sum(array_to_vector("part")).alias("total"))
+    far = grid.select("pair", vector_to_array("total").alias("total")).mapInArrow(across, _LAYOUT)
+    near = rows.mapInArrow(sent, "column int, place int, later binary, places binary").groupBy("column", "place").applyInArrow(inside, _LAYOUT)
+    return far.unionByName(near).groupBy("pair").agg(*[F.sum(c).cast("double").alias(c) for c in COUNTED[1:]])
 
 
 def kendall(df: DataFrame, columns: list[str] = COLUMNS, buckets: int | None = None) -> DataFrame:
-    out = None
-    for a, b in combinations(columns, 2):
-        part = kendall_pair(df, a, b, buckets)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(x, y, r): Kendall's tau-b of every pair of columns; each pair skips the rows with a null in one of its two."""
+    names = [(i, a, b) for i, (a, b) in enumerate(combinations(columns, 2))]
+    every = df.sparkSession.createDataFrame(names, "pair long, x string, y string")
+    found = every.join(F.broadcast(kendall_counts(df, columns, buckets)), "pair", "left").na.fill(0.0)  # a row a pair
+    pairs_of_rows = F.col("rows") * (F.col("rows") - 1) / 2
+    score = pairs_of_rows - F.col("tied_x") - F.col("tied_y") + F.col("tied_both") - 2 * F.col("discordant")
+    size = F.sqrt((pairs_of_rows - F.col("tied_x")) * (pairs_of_rows - F.col("tied_y")))
+    return found.select("x", "y", F.when(size > 0, score / size).alias("r"))
+
+
+def kendall_pair(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
+    """Kendall's tau-b of one pair: (x, y, r)."""
+    return kendall(df, [x, y], buckets)
