@@ -12,9 +12,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import report_rows, unpivot
+from ..functions.columns import report_rows
 from ..schema import MEASURES
-from .prefix import assign_buckets, range_splits, running_totals
+from .prefix import range_splits
 
 COLUMNS = ["step", *MEASURES]
 ROWS_IN_RANGE, LEAST_RANGES, MOST_RANGES = 1_000_000, 64, 512
@@ -51,24 +51,91 @@ def _read(batch: pa.RecordBatch, cuts: list[np.ndarray]) -> tuple[np.ndarray, np
     return values, places
 
 
+def _place_counts(rows: DataFrame, cuts: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows at every place of each column: a row a place reaches the driver."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(2 * len(cut) + 4, np.int64) for cut in cuts]
+        for batch in batches:
+            _, places = _read(batch, cuts)
+            for i, t in enumerate(total):
+                t += np.bincount(places[:, i], minlength=len(t))
+        for i, t in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), i)), pa.array(np.arange(len(t))), pa.array(t)], names=["column", "place", "n"])
+
+    out = [np.zeros(2 * len(cut) + 4, np.int64) for cut in cuts]
+    parts = rows.mapInArrow(task, "column long, place long, n long")
+    for r in parts.groupBy("column", "place").agg(F.sum("n").alias("n")).collect():
+        out[r["column"]][r["place"]] = r["n"]
+    return out
+
+
 def with_ranks(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """Columns replaced by their average ranks.
+    """Columns replaced by their average ranks, null by null.
 
-    Equal values are counted first, ranked by running totals, and joined back; the
-    adaptive skew join splits rows that share a frequent value.
+    One column after the other: its rows are brought together by ranges and ranked there, behind the rows of lower ranges.
+    Rows of a value on a cut share one rank, known from the counts, so they are spread over all tasks and only passed on.
     """
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    splits = range_splits(rows, columns, buckets)
-    long = unpivot(rows.withColumn("_row", F.monotonically_increasing_id()), ["_row"], columns)
-    bucketed = assign_buckets(rows, splits)
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"{c}_bucket").alias("bucket")) for c in columns
-    ])
-    counts = bucketed.select(F.inline(pairs)).groupBy("column", "bucket", "value").agg(F.count("*").alias("n"))
-    totals = running_totals(counts, ["column"], "value", {"upto": "n"}, "bucket" if any(splits.values()) else None)
-    ranks = totals.select("column", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
-    ranked = long.join(ranks, ["column", "value"])
-    return ranked.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
+    cuts = _range_cuts(rows, columns, buckets)
+    counts = _place_counts(rows, cuts)
+    layout = ", ".join(f"`{c}` double" for c in columns)
+
+    def batch_of(values: np.ndarray, nulls: np.ndarray, following: int) -> pa.RecordBatch:
+        arrays = [pa.array(values[:, i], mask=nulls[:, i]) for i in range(len(columns))]
+        names = list(columns)
+        if following < len(columns):
+            place = _read(pa.RecordBatch.from_arrays([arrays[following]], names=["v"]), [cuts[following]])[1][:, 0]
+            arrays, names = [*arrays, pa.array(place.astype(np.int32))], [*names, "_place"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, _ = _read(batch, cuts)
+            yield batch_of(values, np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns]), 0)
+
+    def ranker(i: int):
+        below = np.cumsum(counts[i]) - counts[i]
+
+        def ranked(places: np.ndarray, values: np.ndarray, nulls: np.ndarray) -> pa.RecordBatch:
+            rank = below[places] + (counts[i][places] + 1) / 2
+            for place in np.unique(places[places % 2 == 0]):
+                here = places == place
+                _, of, n = np.unique(values[here, i], return_inverse=True, return_counts=True)
+                rank[here] = below[place] + (np.cumsum(n) - (n - 1) / 2)[of]
+            values[:, i] = rank
+            return batch_of(values, nulls, i + 1)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []  # rows of the range at hand
+            for batch in batches:
+                values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]).astype(float)
+                nulls = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in batch.columns[:-1]])
+                places = batch.columns[-1].to_numpy()
+                on = places % 2 == 1
+                if on.any():
+                    yield ranked(places[on], values[on], nulls[on])
+                places, values, nulls = places[~on], values[~on], nulls[~on]
+                if not len(places):
+                    continue
+                if held and held[0][0][0] != places[0]:
+                    yield ranked(*map(np.concatenate, zip(*held)))
+                    held = []
+                done = np.searchsorted(places, places[-1])  # the last range may go on in the next batch
+                if done:
+                    yield ranked(*map(np.concatenate, zip(*held, (places[:done], values[:done], nulls[:done]))))
+                    held = []
+                held.append((places[done:], values[done:], nulls[done:]))
+            if held:
+                yield ranked(*map(np.concatenate, zip(*held)))
+
+        return task
+
+    out = rows.mapInArrow(start, f"{layout}, _place int")
+    for i in range(len(columns)):
+        spread = F.when(F.col("_place") % 2 == 1, F.xxhash64(*columns))
+        apart = out.repartition("_place", spread).sortWithinPartitions("_place")
+        out = apart.mapInArrow(ranker(i), layout if i + 1 == len(columns) else f"{layout}, _place int")
+    return out
 
 
 def spearman(df: DataFrame, columns: list[str] = COLUMNS, buckets: int | None = None) -> DataFrame:

@@ -60,3 +60,13 @@ def test_inversions():
     for n in (0, 1, 2, 77):
         r = rng.integers(0, 20, n)
         assert correlation.inversions(r) == sum(int(r[i] > r[j]) for i, j in combinations(range(n), 2))
+
+
+@pytest.mark.parametrize("buckets", [1, 6, None])
+def test_ranks_need_no_join(spark, table, buckets):
+    x, _ = table
+    df = rows_of(spark, (x, np.zeros(x.shape, bool)))
+    out = correlation.with_ranks(df, NAMES, buckets)
+    plan = out._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted(tuple(r) for r in out.collect()) == sorted(map(tuple, np.column_stack([ranks(x[:, c]) for c in range(4)])))
