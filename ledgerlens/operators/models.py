@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..schema import RISK_THRESHOLD
 from ..session import cut_lineage, ensure_checkpoint_folder
-from . import attribution, elastic
+from . import attribution, elastic, forest
 from .evaluation import confusion_metrics
 from .splitting import stratified_folds, stratified_split
 
@@ -68,8 +68,16 @@ def row_weight(kind: str, counts: dict[int, int], label: str) -> Column:
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     if kind == "boosting":
         return F.when(F.col(label) == 1, neg / pos if pos else 1.0).otherwise(1.0)
+    other, fraud = class_weights(counts)[:2]
+    return F.when(F.col(label) == 1, fraud).otherwise(other)
+
+
+def class_weights(counts: dict[int, int]) -> list[float]:
+    """The balanced weight of each class."""
+    pos, neg = counts.get(1, 0), counts.get(0, 0)
     n = pos + neg
-    return F.when(F.col(label) == 1, n / (2.0 * pos) if pos else 1.0).otherwise(n / (2.0 * neg) if neg else 1.0)
+    other = n / (2.0 * neg) if neg else 1.0
+    return [other, n / (2.0 * pos) if pos else 1.0] + [other] * (max(counts, default=1) - 1)
 
 
 def _estimator(spec: Spec, n: int, validated: bool = False):
@@ -233,8 +241,12 @@ def fit(spec: Spec, df: DataFrame, features: Sequence[str], label: str = "isFrau
         ensure_checkpoint_folder(df.sparkSession)
     n = sum(counts.values())
     inputs = [f"_f{i}" for i in range(len(features))]
-    rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, *([VALIDATION] if validated else []), *key), key)
-    pipeline = Pipeline(stages=[_assembler(features), _estimator(spec, n, validated)]).fit(rows)
+    if spec.kind == "forest":
+        core = forest.fit(_estimator(spec, n), rows, inputs, LABEL, class_weights(counts))
+        pipeline = PipelineModel([_assembler(features), core])
+    else:
+        rows = _balanced(rows.select(*inputs, LABEL, WEIGHT, *([VALIDATION] if validated else []), *key), key)
+        pipeline = Pipeline(stages=[_assembler(features), _estimator(spec, n, validated)]).fit(rows)
     meta = {
         "training_seconds": time.time() - start, "training_rows": n, "feature_count": len(features),
         "class_distribution": {str(k): v for k, v in counts.items()},
