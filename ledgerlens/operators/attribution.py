@@ -3,7 +3,7 @@
 For a leaf, each feature on its path has a share: of the training weight that takes the leaf's side at every split on the
 feature (what is expected when the feature is unknown), and of the row (0 or 1). The polynomial of these shares is extended by
 one feature after the other and unwound by each in turn; weighing its coefficients gives the feature's part of the leaf's value.
-Rows that agree on which features lead to a leaf share one computation. The parts of all leaves add up, with the base value
+Rows that agree on which features lead to a leaf share one entry of a table. The parts of all leaves add up, with the base value
 (the expectation without any feature), to the model's margin.
 
 The node tables are as large as the model, whatever the data: they are read on the driver and broadcast.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 from math import factorial
 
 import numpy as np
@@ -22,7 +23,14 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
-_CODES = 20  # path features up to here are told apart by one number
+_CODES = 12  # path features up to here are told apart by one number, for which a table holds the parts
+
+
+@cache
+def _gauss(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights of an integral from 0 to 1."""
+    point, weight = np.polynomial.legendre.leggauss(n)
+    return (point + 1) / 2, weight / 2
 
 
 @dataclass
@@ -34,13 +42,32 @@ class Leaf:
     share: np.ndarray
     rules: list[list[tuple]]  # of each feature: (threshold or categories, whether the path goes left)
 
-    def agrees(self, x: np.ndarray) -> np.ndarray:
-        """Rows x features: whether the row's value takes the leaf's side."""
-        out = np.ones((len(x), len(self.features)), dtype=bool)
-        for j, (f, rules) in enumerate(zip(self.features, self.rules)):
+    def agrees(self, x: np.ndarray, known: dict | None = None) -> np.ndarray:
+        """Rows x features: whether the row's value takes the leaf's side. ``known`` keeps the sides of the rows at each split,
+        which the leaves of all trees share."""
+        known = {} if known is None else known
+        out = np.ones((len(self.features), len(x)), dtype=bool)
+        for j, (f, rules) in enumerate(zip(self.features.tolist(), self.rules)):
             for split, left in rules:
-                goes = np.isin(x[:, f], list(split)) if isinstance(split, frozenset) else x[:, f] <= split  # NaN goes right
-                out[:, j] &= goes == left
+                if (f, split) not in known:
+                    goes = np.isin(x[:, f], list(split)) if isinstance(split, frozenset) else x[:, f] <= split  # NaN goes right
+                    known[f, split] = (~goes, goes)
+                out[j] &= known[f, split][left]
+        return out.T
+
+    def table(self) -> np.ndarray:
+        """Features x codes: the parts for every way to agree, bit ``j`` of the code for feature ``j``. The weights of the
+        coefficients are integrals of ``t^k (1 - t)^(m - 1 - k)``, so a sum over Gauss points in place of ``parts``' unwinding is exact."""
+        m, z = len(self.features), self.share
+        t, weight = _gauss(m // 2 + 1)
+        factor = (1 - t) * z[:, None, None] + t * np.array([[0.0], [1.0]])  # features x agreeing x points
+        path = (self.value * weight)[:, None]
+        for j in range(m):
+            path = np.concatenate([path * factor[j, 0][:, None], path * factor[j, 1][:, None]], axis=1)
+        side = (np.array([[0.0], [1.0]]) - z[:, None, None]) / factor
+        out = np.empty((m, 1 << m))
+        for j in range(m):
+            out[j] = np.einsum("qhol,oq->hol", path.reshape(len(t), -1, 2, 1 << j), side[j]).ravel()
         return out
 
     def parts(self, agrees: np.ndarray) -> np.ndarray:
@@ -75,19 +102,23 @@ class Ensemble:
     width: int
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.width))
+        out, known = np.zeros((self.width, len(x))), {}
+        x = np.asfortranarray(x)
         for leaf in self.leaves:
             m = len(leaf.features)
             if not m:
                 continue
-            agrees = leaf.agrees(x)
-            if m <= _CODES:
-                code, of = np.unique(agrees @ (1 << np.arange(m)), return_inverse=True)
-                parts = leaf.parts((code[:, None] >> np.arange(m) & 1).astype(bool))[of]
+            agrees = leaf.agrees(x, known)
+            if m <= _CODES and leaf.share.min() > 0:
+                code = np.zeros(len(x), np.uint16)
+                for j in range(m):
+                    code |= agrees[:, j].astype(np.uint16) << np.uint16(j)
+                code = code.astype(np.intp)
+                for f, part in zip(leaf.features, leaf.table()):
+                    out[f] += part.take(code)
             else:
-                parts = leaf.parts(agrees)
-            out[:, leaf.features] += parts
-        return out
+                out[leaf.features] += leaf.parts(agrees).T
+        return out.T
 
 
 def _leaves(nodes: dict[int, dict], value, scale: float) -> tuple[list[Leaf], float]:
@@ -155,7 +186,7 @@ def contributions(spark: SparkSession, ensemble: Ensemble, features: Sequence[Co
         width = shared.value.width
         x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), width)
         found = shared.value.contributions(x)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(found.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(found).ravel()))
 
     return parts(F.array(*[F.coalesce(c.cast("double"), F.lit(float("nan"))) for c in features]))
 
@@ -164,6 +195,7 @@ def attribute(df: DataFrame, core, kind: str, features: Sequence[str]) -> DataFr
     """Add ``base_value`` and ``contributions`` (feature to part); together they give the margin."""
     spark = df.sparkSession
     ensemble = export(spark, core, kind, len(features))
+    df = df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a row's work is that of all leaves
     found = contributions(spark, ensemble, [F.col(c) for c in features])
     named = F.map_from_arrays(F.array(*[F.lit(c) for c in features]), found)
     return df.withColumns({"base_value": F.lit(ensemble.base), "contributions": named})

@@ -72,6 +72,19 @@ def test_long_paths_without_codes(monkeypatch):
     assert np.allclose(by_code.sum(axis=1) + ensemble.base, 2.0 * leaf.agrees(x).all(axis=1))
 
 
+def test_table_holds_the_parts_of_every_way_to_agree():
+    rng = np.random.default_rng(4)
+    for m in (1, 2, 5, 10):
+        leaf = attribution.Leaf(1.7, np.arange(m), rng.uniform(0.01, 1, m), [[(0.0, True)]] * m)
+        ways = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(bool)
+        assert np.allclose(leaf.table().T, leaf.parts(ways), rtol=1e-9, atol=1e-12)
+
+
+def test_rows_of_one_partition_are_spread_before_attribution(spark, rows):
+    model = models.fit(models.Spec("forest", params={"trees": 2, "max_depth": 2}), rows.where(~F.isnan("x2")), NAMES)
+    assert model.attributions(rows.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_categories_and_a_single_leaf():
     leaf = attribution.Leaf(1.0, np.array([1]), np.array([0.25]), [[(frozenset({0.0, 2.0}), True)]])
     x = np.array([[5.0, 0.0], [5.0, 1.0]])
