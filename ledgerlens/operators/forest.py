@@ -36,8 +36,10 @@ def cuts(rows: DataFrame, inputs: Sequence[str]) -> list[np.ndarray]:
 
 
 def binned(rows: DataFrame, inputs: Sequence[str], label: str, at: list[np.ndarray]) -> DataFrame:
-    """A written table (block, bins, labels): the bins feature by feature, a byte each. NaN and null have the last bin."""
+    """A written table (block, bins, labels): the bins feature by feature, a byte each. A null or non-finite feature is an error."""
     def pack(number: int, table: np.ndarray) -> pa.RecordBatch:
+        if not np.isfinite(table).all():
+            raise ValueError("null or non-finite values in the features")
         bins = np.array([np.searchsorted(cut, table[:, i], "left") for i, cut in enumerate(at)], np.uint8)
         return pa.RecordBatch.from_arrays([
             pa.array([number], pa.int64()), pa.array([bins.tobytes()], pa.binary()),

@@ -12,7 +12,6 @@ def table():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 3)).round(1)
     x[:, 2] = x[:, 2] > 1.9  # a rare value
-    x[::50, 1] = np.nan
     return x, ((x[:, 0] > 0.2) ^ (rng.random(500) < 0.05)).astype(int)
 
 
@@ -66,5 +65,10 @@ def test_model_scores_by_its_trees(spark, rows, table):
     assert model.importance(spark, top=1).first().feature == "x0"
 
 
+def test_missing_values_are_an_error(rows):
+    with pytest.raises(Exception, match="null or non-finite"):
+        forest.binned(rows.withColumn("x1", F.when(F.col("tx_id") != 3, F.col("x1"))), NAMES, "isFraud", forest.cuts(rows, NAMES))
+
+
 def test_drawn_features_are_those_of_mllib():
     assert [forest.drawn_features(s, 21) for s in ("auto", "sqrt", "log2", "onethird", "all", "4", "0.5")] == [5, 5, 5, 7, 21, 4, 11]
