@@ -20,6 +20,30 @@ def test_cooldown_over_many_batches(spark, tmp_path):
     assert got == greedy(rows)
 
 
+def test_cooldown_groups_do_not_grow_with_accounts(spark, tmp_path):
+    """Python is called for each threshold and bucket, not for each account; rows without a time raise no alert."""
+    rows = [(2 * a + i, 1_700_000_000_000_000 + 100 * i, f"A{a}", "DEBIT", 1.0, 0.95) for a in range(3000) for i in range(2)]
+    made = frame(spark, rows).unionByName(frame(spark, [(9000, 0, "A1", "DEBIT", 1.0, 0.95)]).withColumn("ts", F.lit(None).cast("timestamp")))
+    made.coalesce(2).write.parquet(str(tmp_path / "in"))
+    out = cooldown.alert_stream(spark.readStream.schema(made.schema).parquet(str(tmp_path / "in")), T, "3650 days")
+    query = run.to_table(out, str(tmp_path / "table"), str(tmp_path / "checkpoint"), once=True)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= cooldown.BUCKETS
+    assert {r.tx_id for r in spark.read.parquet(str(tmp_path / "table")).collect()} == greedy(rows)
+
+
+def test_cooldown_state_expires(spark, tmp_path):
+    """The state of a bucket goes with the last of its accounts; accounts that alert later start anew."""
+    rows = [(i, 1_700_000_000_000_000 + 4_000_000_000 * i, f"A{i % 7}", "DEBIT", 1.0, 0.95) for i in range(60)]
+    for i in range(6):
+        frame(spark, rows[10 * i:10 * i + 10]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = run.to_table(cooldown.alert_stream(stream, T), str(tmp_path / "table"), str(tmp_path / "checkpoint"), once=True)
+    query.awaitTermination()
+    assert {r.tx_id for r in spark.read.parquet(str(tmp_path / "table")).collect()} == greedy(rows)
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 1
+
+
 def test_fan_out_of_scores(spark, tmp_path):
     tx = driver_tables.transactions(spark, SF).limit(300)
     bad = tx.limit(7).withColumn("amount", F.lit(-1.0))
