@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..functions.pvalues import normal_two_sided, rank_sum_exact, signed_rank_exact, student_t_two_sided
+from ..session import cut_lineage
 from .prefix import assign_buckets, range_splits, running_totals
 
 METRICS = ["accuracy", "precision", "recall", "f1_score", "auc_roc"]
@@ -43,14 +44,15 @@ def _rates() -> dict[str, Column]:
 
 def score_counts(df: DataFrame, by: Sequence[str], label: str, score: str, prediction: str | None = None,
                  buckets: int | None = None) -> tuple[DataFrame, str | None]:
-    """Confusion counts per (group, score), and the bucket column if the scores need one."""
+    """Confusion counts per (group, score) in a written table, and the bucket column if the scores need one."""
     p = F.col(prediction) if prediction else (F.col(score) >= 0.5).cast("int")
     rows = df.select(*by, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y"),
-                     p.cast("int").alias("_p")).filter("_s is not null and _y is not null")
-    splits = range_splits(rows, ["_s"], buckets)
-    counted = assign_buckets(rows, splits).groupBy(*by, "_s_bucket", "_s").agg(*_counts())
-    counted = counted.withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("tn") + F.col("fp")})
-    return counted, ("_s_bucket" if splits["_s"] else None)
+                     p.cast("int").alias("_p"))
+    # the rows are read here only; a filter before the write would be moved below joins, where the score is computed once more
+    counted = cut_lineage(rows.groupBy(*by, "_s").agg(*_counts(), F.count("_y").alias("_n")), "score-counts")
+    counted = counted.filter("_s is not null and _n > 0").drop("_n").withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("tn") + F.col("fp")})
+    splits = range_splits(counted, ["_s"], buckets)
+    return assign_buckets(counted, splits), ("_s_bucket" if splits["_s"] else None)
 
 
 def _swept(df, by, label, score, prediction, buckets):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import student_t_two_sided
+from ..session import cut_lineage
 from .evaluation import metrics_by
 from .prefix import assign_buckets, range_splits
 from .quality import since
@@ -131,6 +132,7 @@ def running_recent(records: DataFrame, value: str, order: str, key: str, n: int
 
 def summary(history: DataFrame, drift: DataFrame, as_of) -> DataFrame:
     """Record counts, recent averages and drift status as (section, name, value)."""
+    history, drift = cut_lineage(history, "history"), cut_lineage(drift, "drift")  # a row a batch or check, read by several parts
     last = recent(history).agg(
         F.avg("f1_score").alias("avg_f1_score"), F.avg("precision").alias("avg_precision"), F.avg("recall").alias("avg_recall"),
         F.sum("total_predictions").cast("double").alias("total_predictions"), F.avg("fraud_rate").alias("avg_fraud_rate"),
