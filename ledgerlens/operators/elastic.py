@@ -2,7 +2,7 @@
 
 All models of a search take their Newton steps together: one pass over the rows gives every model's loss, gradient and
 curvature (added up per task, then per model), so a search costs a few dozen passes whatever the size of its grid. What
-reaches the driver is a row a model. The steps themselves (to the minimum of the penalised quadratic, halved until the
+reaches the driver is a row a model. One model a fold is fitted first; the others start from it. The steps themselves (to the minimum of the penalised quadratic, halved until the
 objective falls) work on these sums. The objective is MLlib's without standardisation: weighted mean log loss plus
 ``strength * (l1 * |b| + (1 - l1) / 2 * b^2)`` on the original scale, the intercept left out.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_AT_ONCE = 4096
+FEW_MODELS = 12  # up to so many, curvature is summed model by model
 TOLERANCE = 1e-10
 
 
@@ -100,11 +101,20 @@ def _descend(b: np.ndarray, g: np.ndarray, h: np.ndarray, l1: np.ndarray, l2: np
     return u
 
 
+def _leaders(strength: np.ndarray, without: np.ndarray) -> np.ndarray:
+    """For every model the one of median strength among those that leave out the same fold: it is fitted first."""
+    out = np.zeros(len(strength), int)
+    for fold in np.unique(without):
+        group = np.flatnonzero(without == fold)
+        out[group] = group[np.argsort(strength[group], kind="stable")[len(group) // 2]]
+    return out
+
+
 def fit_all(rows: DataFrame, features: Sequence[str], label: str, weight: str, fold: str, strength: Sequence[float],
             l1_share: Sequence[float], without_fold: Sequence[int], most_rounds: int = 1000) -> Fits:
     """Fit model ``m`` with its penalty on the rows of all folds but ``without_fold[m]`` (-1: on all rows).
 
-    ``rows`` is read once a round, so it should be a written table. Features without spread get coefficient 0; a null or
+    ``rows`` is read once a round, so it should be a written table. Most rounds are those of the first models, one a fold. Features without spread get coefficient 0; a null or
     non-finite feature is an error; a model without rows stays at 0.
     """
     d, m = len(features), len(strength)
@@ -128,26 +138,35 @@ def fit_all(rows: DataFrame, features: Sequence[str], label: str, weight: str, f
         return (l1 * np.abs(u) + l2 * u * u / 2).sum(axis=1)
 
     def evaluate(at: np.ndarray, live: np.ndarray):
-        """Loss, gradient and curvature of the live models at ``at``."""
+        """Loss, gradient and curvature of the live models at ``at``; models at one point that leave out one fold are one."""
         numbers = np.flatnonzero(live)
+        points, place = np.unique(np.column_stack([at[numbers], without[numbers]]), axis=0, return_inverse=True)
+        at, left_out = points[:, :-1], points[:, -1]
 
         def add(table: np.ndarray, totals: dict[int, np.ndarray]) -> None:
             for f, x, y, w in _by_fold(table, d, mean, scale):
-                mine = numbers[without[numbers] != f]
+                mine = np.flatnonzero(left_out != f)
                 if not len(mine):
                     continue
                 x[:, :d][:, fixed] = 0
+                weighted, real = x * w[:, None], w * y
                 margin = x @ at[mine].T
-                p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
-                loss = w @ (np.logaddexp(0, margin) - y[:, None] * margin)
-                gradient = ((p - y[:, None]) * w[:, None]).T @ x
-                curved = (p * (1 - p) * w[:, None]).T @ (x[:, upper[0]] * x[:, upper[1]])
+                e = np.exp(-np.abs(margin))
+                q = 1 / (1 + e)
+                p, curve = np.where(margin >= 0, q, e * q), e * q * q
+                loss = w @ (np.maximum(margin, 0) + np.log1p(e)) - real @ margin
+                gradient = p.T @ weighted - real @ x
+                if len(mine) > FEW_MODELS:
+                    curved = curve.T @ (weighted[:, upper[0]] * x[:, upper[1]])
+                else:
+                    curved = np.array([((weighted * c[:, None]).T @ x)[upper] for c in curve.T])
+                mass = w.sum()
                 for k, n in enumerate(mine.tolist()):
-                    part = np.concatenate([[w.sum(), loss[k]], gradient[k], curved[k]])
+                    part = np.concatenate([[mass, loss[k]], gradient[k], curved[k]])
                     totals[n] = totals[n] + part if n in totals else part
 
         found = _sums(rows, columns, add)
-        out = np.array([found.get(n, np.zeros(width)) for n in numbers]).reshape(len(numbers), width)
+        out = np.array([found.get(n, np.zeros(width)) for n in range(len(points))])[place.ravel()].reshape(len(numbers), width)
         mass = np.where(out[:, 0] > 0, out[:, 0], 1.0)[:, None]
         out = out[:, 1:] / mass
         h = np.zeros((len(numbers), d + 1, d + 1))
@@ -157,8 +176,13 @@ def fit_all(rows: DataFrame, features: Sequence[str], label: str, weight: str, f
 
     at = np.zeros((m, d + 1))
     trial, step, target, fall = at.copy(), np.ones(m), at.copy(), np.zeros(m)
-    objective, live, converged, rounds = np.full(m, np.inf), np.ones(m, bool), np.zeros(m, bool), 0
-    while live.any() and rounds < most_rounds:
+    leader = _leaders(strength, without)
+    objective, converged, rounds = np.full(m, np.inf), np.zeros(m, bool), 0
+    live = leader == np.arange(m)
+    waiting = ~live
+    while (live.any() or waiting.any()) and rounds < most_rounds:
+        if not live.any():  # the others start where the model ended that leaves out the same fold
+            trial[waiting], live, waiting = at[leader[waiting]], waiting, np.zeros(m, bool)
         rounds += 1
         numbers = np.flatnonzero(live)
         loss, g, h = evaluate(trial, live)

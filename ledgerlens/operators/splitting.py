@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .quantiles import ranked_threshold
 
 HASH_DIGITS = 13  # 52 bits: exact in a double
@@ -62,8 +63,8 @@ def train_test(df: DataFrame, label: str, key: list[str], test_share: float = 0.
 def stratified_folds(df: DataFrame, label: str, key: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold`` 0..k-1; within a label the fold sizes differ by at most one."""
     hashed = df.withColumn("_h", row_hash(key, seed))
-    found = ranked_threshold(
-        hashed, "_h", lambda n: [-(-n * i // k) - 1 for i in range(1, k)], label
+    found = ranked_threshold(  # reads the hashes several times
+        cut_lineage(hashed.select(label, "_h"), "hashes"), "_h", lambda n: [-(-n * i // k) - 1 for i in range(1, k)], label
     )
 
     def fold(f):

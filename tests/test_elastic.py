@@ -51,6 +51,23 @@ def test_strong_absolute_penalty_leaves_the_intercept(rows):
     assert not fits.coefficients.any() and fits.intercepts[0] == pytest.approx(0.0, abs=1e-6)  # balanced weights
 
 
+def test_most_rounds_are_of_one_model_a_fold(rows, monkeypatch):
+    """The grid starts from the first models, and models at the same point count once."""
+    made, real = [], elastic._sums
+
+    def sums(*a):
+        out = real(*a)
+        made.append(len(out))
+        return out
+
+    monkeypatch.setattr(elastic, "_sums", sums)
+    points = [(s, a) for s in (1e-6, 1e-5, 1e-4, 1e-3) for a in (0.0, 0.5, 1.0)]
+    fits = elastic.fit_all(rows, COLS, models.LABEL, models.WEIGHT, "fold", [s for s, _ in points for _ in range(3)],
+                           [a for _, a in points for _ in range(3)], [f for _ in points for f in range(3)])
+    assert fits.converged.all() and len(made) == fits.rounds
+    assert made[0] == 3 and sum(made) < 36 * fits.rounds / 2
+
+
 def test_held_out_scores(rows):
     fits = elastic.fit_all(rows, COLS, models.LABEL, models.WEIGHT, "fold", [1e-4] * 3, [0.5] * 3, [0, 1, 2])
     got = elastic.held_out_f1(rows, COLS, models.LABEL, "fold", fits, [0, 1, 2])
